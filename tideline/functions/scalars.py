@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,8 +54,6 @@ def slug(x: str | Column) -> Column:
 
 def unicode_key(x: str | Column, form: str = "NFKD") -> Column:
     """Unicode normalised, accents stripped for NFKD, case folded; vectorised because Spark has no normaliser."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def norm(s: pd.Series) -> pd.Series:
         import unicodedata

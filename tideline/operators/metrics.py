@@ -30,9 +30,9 @@ def auc(df: DataFrame, label: str, prob: str) -> DataFrame:
 
     Scores are counted first, so the running sum is over distinct scores only.
     """
-    per = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull()).groupBy(prob).agg(F.sum((F.col(label) > 0).cast("double")).alias("p"), F.sum((F.col(label) <= 0).cast("double")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(prob).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return per.select((F.col("p") * (below + F.col("n") / 2)).alias("w"), "p", "n").agg((F.sum("w") / (F.sum("p") * F.sum("n"))).alias("auc"))
+    per = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull()).groupBy(prob).agg(F.sum((F.col(label) > 0).cast("double")).alias("_p"), F.sum((F.col(label) <= 0).cast("double")).alias("_n"))
+    below = F.coalesce(F.sum("_n").over(Window.orderBy(prob).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return per.select((F.col("_p") * (below + F.col("_n") / 2)).alias("_w"), "_p", "_n").agg((F.sum("_w") / (F.sum("_p") * F.sum("_n"))).alias("auc"))
 
 
 def gaussian_crps(y: Column, mu: Column, sigma: Column) -> Column:

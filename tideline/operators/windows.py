@@ -109,7 +109,7 @@ def standing(rating: str, by: list[str]) -> Column:
     return F.when(F.col(rating).isNotNull(), r)
 
 
-def expanding_robust_z(df: DataFrame, by: list[str], time: str, value: str, least: int) -> DataFrame:
+def expanding_robust_z(df: DataFrame, by: list[str], time: str, value: str, least: int, keep: list[str] = ()) -> DataFrame:
     """z of value against the median and MAD of strictly earlier rows of its group.
 
     The prior values are kept sorted in a grouped pandas pass, since no window aggregate gives
@@ -120,10 +120,10 @@ def expanding_robust_z(df: DataFrame, by: list[str], time: str, value: str, leas
     import numpy as np
     import pandas as pd
 
-    schema = df.select(*by, time, value).withColumn("z", F.lit(0.0)).schema
+    schema = df.select(*by, time, value, *keep).withColumn("z", F.lit(None).cast("double")).schema
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[[*by, time, value]].sort_values(time, kind="stable").reset_index(drop=True)
+        rows = rows[[*by, time, value, *keep]].sort_values(time, kind="stable").reset_index(drop=True)
         past: list[float] = []
         z = np.full(len(rows), np.nan)
         for _, block in rows.groupby(time, sort=True):

@@ -1,29 +1,6 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
-from __future__ import annotations
+from . import queries_aggs, queries_api, queries_joins, queries_models, queries_scalar, queries_windows  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def team_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Games, wins and win rate per customer nation; an order of status F counts as won."""
-    orders, customer, nation = (_table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    rows = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).join(nation, customer["c_nationkey"] == nation["n_nationkey"])
-    won = F.sum((F.col("o_orderstatus") == "F").cast("long"))
-    return rows.groupBy("n_name").agg(F.count(F.lit(1)).alias("games"), won.alias("wins"), (won / F.count(F.lit(1))).alias("win_rate"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"team_record": team_record}
-ORACLE_SQL: dict[str, str] = {
-    "team_record": """
-        SELECT n_name, CAST(count(*) AS BIGINT) AS games, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS wins,
-            CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS win_rate
-        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""",
-}
+__all__ = ["ORACLE_SQL", "QUERIES"]
