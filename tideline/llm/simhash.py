@@ -230,6 +230,21 @@ def signatures(distinct: DataFrame, parts: Parts) -> DataFrame:
     return distinct.select("fp", "fp2").mapInArrow(emit, "part int, key long, fp long, fp2 long, own boolean")
 
 
+def _near(fp: np.ndarray, fp2: np.ndarray, i: np.ndarray, j: np.ndarray | int, max_bits: int, check_bits: int) -> np.ndarray:
+    """Whether rows i and j link.
+
+    With the second fingerprint, the bits that differ must also be few against the bits that
+    are set: short texts have sparse fingerprints, which differ little by chance.
+    """
+    d = np.bitwise_count(fp[i] ^ fp[j])
+    near = d <= max_bits
+    if check_bits >= 0:
+        d2 = np.bitwise_count(fp2[i] ^ fp2[j])
+        ones = sum(np.bitwise_count(x[k]).astype(np.int64) for x in (fp, fp2) for k in (i, j))
+        near &= (d2 <= check_bits) & (2 * BITS * (d.astype(np.int64) + d2) <= (max_bits + check_bits) * ones)
+    return near
+
+
 def _forest(fp: np.ndarray, fp2: np.ndarray, own: np.ndarray, max_bits: int, check_bits: int) -> list[tuple[int, int]]:
     """Edges that join what is linked in one bucket, at most one per row.
 
@@ -245,9 +260,7 @@ def _forest(fp: np.ndarray, fp2: np.ndarray, own: np.ndarray, max_bits: int, che
         queue = [root]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(fp[left] ^ fp[x]) <= max_bits
-            if check_bits >= 0:
-                near &= np.bitwise_count(fp2[left] ^ fp2[x]) <= check_bits
+            near = _near(fp, fp2, left, x, max_bits, check_bits)
             if not own[x]:
                 near &= own[left]
             hit = left[near]
@@ -268,9 +281,7 @@ def _bucket_links(rows: list[np.ndarray], max_bits: int, check_bits: int) -> tup
         if len(fp) <= shift:
             break
         k = np.flatnonzero((bucket[shift:] == bucket[:-shift]) & small[shift:] & (own[shift:] | own[:-shift]))
-        near = np.bitwise_count(fp[k] ^ fp[k + shift]) <= max_bits
-        if check_bits >= 0:
-            near &= np.bitwise_count(fp2[k] ^ fp2[k + shift]) <= check_bits
+        near = _near(fp, fp2, k, k + shift, max_bits, check_bits)
         a.append(fp[k[near]])
         b.append(fp[k[near] + shift])
     for s, n in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist()):
@@ -358,8 +369,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, max_bits: int = 12, check_b
     """One row per input row: doc_id, fingerprint (hex), component_id (smallest doc_id reachable).
 
     Rows link where their fingerprints differ in max_bits or fewer bits and, unless check_bits
-    is negative, a second fingerprint of independent hashes differs in check_bits or fewer (it
-    protects short texts, whose fingerprints are sparse). Null and wordless texts share
+    is negative, a second fingerprint of independent hashes differs in check_bits or fewer and
+    both differ in at most (max_bits + check_bits) / 128 of the bits they have set. Null and wordless texts share
     fingerprint zero and link like others. Null ids count only where a component has no other:
     its component_id is then null. An empty table gives no rows.
     """
