@@ -1,38 +1,17 @@
-"""Helpers that the corpus operators share: durable intermediate tables and ordered offsets."""
+"""Helpers that the corpus operators share."""
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise, scratch_path  # noqa: F401
+
 #: The white space that separates words, as a Java and RE2 pattern of one word.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "/tmp/checkpoints/tideline"
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tideline/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def n_words(text: str | Column) -> Column:
     """Number of words of a text; null has none."""
     col = F.col(text) if isinstance(text, str) else text

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ._shared import materialise, utf8
 
 BITS = 64
@@ -342,29 +343,6 @@ def links(distinct: DataFrame, parts: Parts, max_bits: int, check_bits: int = -1
     return found.where("a != b").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, label): smallest node reachable, for nodes with an edge; alternating large and small stars.
-
-    Every round is written to the shared folder. Rounds grow with the logarithm of the longest
-    chain, and no round makes more rows than there are edges and nodes.
-    """
-    pairs = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "cc-edges")
-    state = None
-    for _ in range(max_rounds):
-        sums = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sums == state:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
-        state = sums
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large, "cc-large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        pairs = materialise(small.where("u != v").distinct(), "cc-edges")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, max_bits: int = 12, check_bits: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (hex), component_id (smallest doc_id reachable).
 
