@@ -133,3 +133,50 @@ def equal_weights(df: DataFrame, by: list[str]) -> DataFrame:
 
 def any_of(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, cols)
+
+
+def shapley(df: DataFrame, key: str, mask: str, value: str, players: int) -> DataFrame:
+    """(key, player, contribution) from the value of every coalition bitmask, in one pass.
+
+    A coalition of size s counts for its members with (s-1)!(n-s)!/n! and against the others
+    with s!(n-s-1)!/n!.
+    """
+    from math import factorial
+
+    n = players
+    size = F.bit_count(F.col(mask))
+    member = F.array(*[F.lit(factorial(s - 1) * factorial(n - s) / factorial(n) if s else 0.0) for s in range(n + 1)])
+    other = F.array(*[F.lit(factorial(s) * factorial(n - s - 1) / factorial(n) if s < n else 0.0) for s in range(n + 1)])
+    rows = df.select(key, F.col(mask).alias("_m"), F.col(value).alias("_v"), size.alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("player"))
+    inside = F.expr("(_m >> player) & 1") == 1
+    part = F.when(inside, F.element_at(member, F.col("_s") + 1) * F.col("_v")).otherwise(-F.element_at(other, F.col("_s") + 1) * F.col("_v"))
+    return rows.groupBy(key, "player").agg(F.sum(part).alias("contribution"))
+
+
+def observed_composite(weights: dict[str, float], limit: float = 3.0) -> Column:
+    """Weighted mean of clipped scores over those that are not null; null without any."""
+    total = sum((F.when(F.col(c).isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), F.col(c))) * w).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
+    weight = sum((F.when(F.col(c).isNotNull(), F.lit(w)).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
+    return F.when(weight > 0, total / weight)
+
+
+def best_sets(df: DataFrame, key: str, items: str, slots: int, score: str, top: int = 3) -> DataFrame:
+    """(key, place, chosen, total): the best-scored sets of `slots` items of each row's array of (name, score, cost-free) structs.
+
+    The search is exhaustive, so arrays should be short; it runs where the rows are.
+    """
+    from itertools import combinations
+
+    import pandas as pd
+
+    kind = df.schema[key].dataType.simpleString()
+
+    def search(frames):
+        for f in frames:
+            out = []
+            for k, arr in zip(f[key], f[items]):
+                found = sorted(((-sum(x[score] for x in c), "|".join(sorted(x["name"] for x in c))) for c in combinations(arr, slots)))[:top]
+                out += [(k, p + 1, names, -total) for p, (total, names) in enumerate(found)]
+            yield pd.DataFrame(out, columns=[key, "place", "chosen", "total"])
+
+    return df.select(key, items).mapInPandas(search, f"{key} {kind}, place int, chosen string, total double")

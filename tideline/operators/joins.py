@@ -137,3 +137,27 @@ def crosswalk(pairs: DataFrame, left: str, right: str) -> DataFrame:
     p = pairs.select(left, right).where(F.col(left).isNotNull() & F.col(right).isNotNull()).distinct()
     n = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c))
     return p.withColumn("status", F.when((n(left) == 1) & (n(right) == 1), "unique").otherwise("conflict"))
+
+
+def signature_match(left: DataFrame, right: DataFrame, signature: list[str], left_id: str, right_id: str) -> DataFrame:
+    """(left_id, right_id): rows of equal signature where it is unique on both sides; a right id stays null elsewhere."""
+    one = lambda df, i: df.groupBy(*signature).agg(F.count(F.lit(1)).alias("_n"), F.first(i).alias(i)).where("_n = 1").drop("_n")
+    pairs = one(left, left_id).join(one(right, right_id), signature).select(left_id, right_id)
+    return left.select(left_id).join(pairs, left_id, "left")
+
+
+def checkpoint_states(checks: DataFrame, states: DataFrame, by: list[str], ts: str, seq: str, take: list[str], max_age: float) -> DataFrame:
+    """Checkpoints with the latest state at or before them; null where it is older than max_age or its sequence number skips one."""
+    w = Window.partitionBy(*by).orderBy(ts, seq)
+    marked = states.withColumn("_gap", F.coalesce(F.col(seq) - F.lag(seq).over(w) > 1, F.lit(False))).withColumn("state_ts", F.col(ts))
+    once = marked.groupBy(*by, ts).agg(F.max_by(F.struct(*take, "_gap", "state_ts"), seq).alias("_s")).select(*by, ts, "_s.*")
+    got = asof_backward(checks, once, by, ts, [*take, "_gap", "state_ts"])
+    ok = (F.col(ts) - F.col("state_ts") <= max_age) & ~F.col("_gap")
+    return got.select(*checks.columns, *[F.when(ok, F.col(c)).alias(c) for c in take])
+
+
+def viable_candidates(edges: DataFrame, picked: DataFrame, ref: str, candidate: str, score: str, least: float) -> DataFrame:
+    """(candidate, ref, score): the best reference of each candidate that is not picked itself, at `least` or more."""
+    open_ = edges.join(picked.select(F.col("id").alias(candidate)), candidate, "left_anti").join(picked.select(F.col("id").alias(ref)), ref, "left_semi")
+    best = open_.groupBy(candidate).agg(F.max_by(F.struct(ref, score), F.struct(F.col(score), -F.col(ref))).alias("_b"))
+    return best.select(candidate, f"_b.{ref}", f"_b.{score}").where(F.col(score) >= least)

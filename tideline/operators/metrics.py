@@ -158,3 +158,44 @@ def poisson_race(mu_a: Column, mu_b: Column, target: int, draws: int = 20000, se
         return pd.Series(out)
 
     return race(mu_a, mu_b)
+
+
+def affine_logit_calibration(df: DataFrame, label: str, prob: str, least: int = 200, rounds: int = 40, ridge: float = 1e-2) -> dict:
+    """intercept, slope and status of p' = logistic(a + b logit(p)); thin data leave p as it is.
+
+    Each Newton step, of at most 1, is one distributed sum of five numbers; a small ridge
+    toward (0, 1) keeps separable data finite.
+    """
+    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(prob)))
+    rows = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull()).select(F.log(p / (1 - p)).alias("x"), F.col(label).cast("double").alias("y"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")).first()
+    if size["n"] < least or not 0 < size["k"] < size["n"]:
+        return {"intercept": 0.0, "slope": 1.0, "status": "thin"}
+    a, b = 0.0, 1.0
+    for _ in range(rounds):
+        q = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
+        w = q * (1 - q)
+        g = rows.agg(F.sum(q - F.col("y")), F.sum((q - F.col("y")) * F.col("x")), F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("x") * F.col("x"))).first()
+        step = np.linalg.solve(np.array([[g[2] + ridge, g[3]], [g[3], g[4] + ridge]]), np.array([g[0] + ridge * a, g[1] + ridge * (b - 1)]))
+        step = np.clip(step, -1.0, 1.0)
+        a, b = a - float(step[0]), b - float(step[1])
+        if np.abs(step).max() < 1e-9:
+            break
+    return {"intercept": a, "slope": b, "status": "fitted"}
+
+
+def isotonic_calibration(df: DataFrame, label: str, prob: str) -> DataFrame:
+    """(low, high, value): the steps of the isotonic fit of label on prob.
+
+    Equal probabilities are pooled first in a distributed sum of at most a few thousand cells;
+    pool-adjacent-violators then runs on those.
+    """
+    cell = F.round(F.col(prob), 3)
+    rows = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull()).groupBy(cell.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).cast("double").alias("s")).orderBy("p").collect()
+    pools: list[list[float]] = []
+    for r in rows:
+        pools.append([r["p"], r["p"], r["s"], r["n"]])
+        while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
+            last = pools.pop()
+            pools[-1] = [pools[-1][0], last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
+    return df.sparkSession.createDataFrame([(float(x[0]), float(x[1]), float(x[2] / x[3])) for x in pools], "low double, high double, value double")
