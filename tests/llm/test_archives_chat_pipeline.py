@@ -142,6 +142,7 @@ def test_pipeline_stages_against_brute_force(spark, sf):
     assert sorted(r["doc_id"] for r in unique.collect()) == sorted(best.values()) and unique.columns == docs.columns
     near = cp.near_dedup(spark, unique, sf)
     fp = {r["doc_id"]: simhash.fingerprint(r["text"].encode(), 5, True) for r in unique.collect()}
+    sets = {r["doc_id"]: set(simhash.shingle_set(r["text"].encode(), 5).tolist()) for r in unique.collect()}
     ids = sorted(fp)
     root = {i: i for i in ids}
 
@@ -154,7 +155,7 @@ def test_pipeline_stages_against_brute_force(spark, sf):
         for j in ids:
             d, e = (fp[i][0] ^ fp[j][0]).bit_count(), (fp[i][1] ^ fp[j][1]).bit_count()
             ones = sum(x.bit_count() for k in (i, j) for x in fp[k])
-            if j < i and d <= 12 and e <= 14 and d + e <= 26 / 128 * ones:
+            if j < i and d <= 14 and e <= 16 and d + e <= 30 / 128 * ones and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     assert sorted(r["doc_id"] for r in near.collect()) == sorted({find(i) for i in ids})

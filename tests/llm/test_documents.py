@@ -119,7 +119,7 @@ def brute_components(fp: list[int], ids: list, bits: int) -> list:
 @pytest.mark.parametrize("bits", [4, 9])
 def test_simhash(docs, bits):
     data = [r for r in rows() if len(r[1] or "") < 49000 or r[1][0] == "x"]
-    got = simhash.near_duplicates(docs.where("doc_id is null or doc_id <> 403"), 4, bits, -1).collect()
+    got = simhash.near_duplicates(docs.where("doc_id is null or doc_id <> 403"), 4, bits, -1, None).collect()
     fp = [brute_fingerprint(r[1], 4) for r in data]
     want = Counter((r[0], f"{f:016x}", c) for r, f, c in zip(data, fp, brute_components(fp, [r[0] for r in data], bits)))
     assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == want
@@ -156,13 +156,54 @@ def test_pigeonhole_thresholds_cover_the_budget():
     assert sorted(b for g in groups for b in g) == list(range(64))
 
 
-def test_near_dedup_protects_short_texts(spark):
+@pytest.mark.parametrize("similarity", [0.8, None])
+def test_near_dedup_protects_short_texts(spark, similarity):
     rng = random.Random(1)
     data = [(k, " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(6))) for k in range(300)]
-    got = simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 5, 12, 14).collect()
+    got = simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 5, 14, 16, similarity).collect()
     assert all(r["doc_id"] == r["component_id"] for r in got)
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_near_dedup_verifies_similarity(spark, block, monkeypatch):
+    rng = random.Random(9)
+    data, k = [], 0
+    for c in range(12):
+        base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(150)]
+        for _ in range(rng.randint(1, 6)):
+            w = list(base)
+            for _ in range(rng.randint(0, 6)):
+                w[rng.randrange(150)] = "new" + str(rng.randrange(1000))
+            data.append((k, " ".join(w)))
+            k += 1
+    data += [(k, data[0][1]), (k + 1, None), (k + 2, ""), (None, data[3][1]), (k, data[0][1])]
+    plain = simhash.verified_links
+    monkeypatch.setattr(simhash, "verified_links", lambda *a: plain(*a, block=block))
+    got = simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 5, 14, 16, 0.8).collect()
+    fp = [simhash.fingerprint((t or "").encode(), 5, True) for _, t in data]
+    sets = [set(simhash.shingle_set((t or "").encode(), 5).tolist()) for _, t in data]
+    root = list(range(len(data)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(data)):
+        for j in range(i):
+            d, e = (fp[i][0] ^ fp[j][0]).bit_count(), (fp[i][1] ^ fp[j][1]).bit_count()
+            ones = sum(x.bit_count() for m in (i, j) for x in fp[m])
+            union = len(sets[i] | sets[j])
+            if d <= 14 and e <= 16 and d + e <= 30 / 128 * ones and (not union or len(sets[i] & sets[j]) / union >= 0.8):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    least = {}
+    for i, (d, _) in enumerate(data):
+        old = least.get(find(i))
+        least[find(i)] = d if old is None else old if d is None else min(d, old)
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((d, least[find(i)]) for i, (d, _) in enumerate(data))
+
+
 def test_mixing(docs):
     mix = mixing.mix_sources(docs, block=64)
     got = mixing.taken_words(mix).collect()

@@ -72,14 +72,15 @@ def _signed(x: list[int]) -> pa.Array:
 
 
 def fingerprints(docs: DataFrame, width: int, check: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, fp2) per row; null and wordless texts have fingerprint zero."""
+    """(doc_id, fp, fp2, node) per row; node is the hash of the text. Null and wordless texts have fingerprint zero."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [fingerprint(x, width, check) for x in utf8(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), _signed([o[0] for o in out]), _signed([o[1] for o in out])], names=["doc_id", "fp", "fp2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _signed([o[0] for o in out]), _signed([o[1] for o in out]), b.column(2)], names=["doc_id", "fp", "fp2", "node"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(scan, "doc_id long, fp long, fp2 long")
+    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col), node).mapInArrow(scan, "doc_id long, fp long, fp2 long, node long")
 
 
 @dataclass(frozen=True)
@@ -343,18 +344,87 @@ def links(distinct: DataFrame, parts: Parts, max_bits: int, check_bits: int = -1
     return found.where("a != b").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, max_bits: int = 12, check_bits: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    parts = [np.array([xxhash.xxh64_intdigest(x, 42) for x in part], np.uint64) for part in shingles(text, width)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def similar_forest(fp: np.ndarray, fp2: np.ndarray, sets: list[np.ndarray], max_bits: int, check_bits: int, least: float) -> list[tuple[int, int]]:
+    """Edges that join rows linked by fingerprint and by a Jaccard similarity of at least `least`; breadth first, at most one a row."""
+    size = np.array([len(x) for x in sets])
+    left, edges = np.arange(len(fp)), []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            near = _near(fp, fp2, left, x, max_bits, check_bits)
+            near &= (np.minimum(size[left], size[x]) >= least * np.maximum(size[left], size[x]))
+            at = np.flatnonzero(near)
+            if not len(at):
+                continue
+            held = left[at]
+            joined = np.concatenate([sets[k] for k in held])
+            inside = sets[x][np.minimum(np.searchsorted(sets[x], joined), max(0, len(sets[x]) - 1))] == joined if len(sets[x]) else np.zeros(0, bool)
+            ends = np.cumsum(size[held])
+            both = np.r_[0, np.cumsum(inside)][ends] - np.r_[0, np.cumsum(inside)][ends - size[held]] if len(joined) else np.zeros(len(held), int)
+            union = size[held] + size[x] - both
+            hit = (both >= least * union)
+            edges += [(x, k) for k in held[hit].tolist()]
+            queue += held[hit].tolist()
+            left = np.delete(left, at[hit])
+    return edges
+
+
+def verified_links(texts: DataFrame, width: int, max_bits: int, check_bits: int, least: float, block: int = 1024) -> DataFrame:
+    """(a, b) of nodes: enough similar pairs inside each candidate group to connect all that are.
+
+    texts: (label, node, fp, fp2, text), one row a node. Groups of more than `block` rows are
+    dealt into blocks, and each pair of blocks is compared apart.
+    """
+    counts = texts.groupBy("label").count().where("count > 1").select("label", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = texts.join(counts, "label").withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("pair", F.least("_mine", "_other") * 1_000_000 + F.greatest("_mine", "_other")).select("label", "pair", "node", "fp", "fp2", "text")
+    dealt = rows.repartition("label", "pair").sortWithinPartitions("label", "pair")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def out() -> pa.RecordBatch:
+            node = [h[0] for h in held]
+            fp, fp2 = (np.array([h[k] for h in held], np.int64).view(np.uint64) for k in (1, 2))
+            edges = similar_forest(fp, fp2, [h[3] for h in held], max_bits, check_bits, least)
+            return pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in edges], pa.int64()), pa.array([node[j] for _, j in edges], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            for label, pair, node, fp, fp2, text in zip(*(b.column(k).to_pylist() for k in range(5)), utf8(b.column(5))):
+                if (label, pair) != key:
+                    if len(held) > 1:
+                        yield out()
+                    key, held = (label, pair), []
+                held.append((node, fp, fp2, shingle_set(text, width)))
+        if len(held) > 1:
+            yield out()
+
+    return dealt.mapInArrow(verify, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, max_bits: int = 14, check_bits: int = 16, min_similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (hex), component_id (smallest doc_id reachable).
 
-    Rows link where their fingerprints differ in max_bits or fewer bits and, unless check_bits
-    is negative, a second fingerprint of independent hashes differs in check_bits or fewer and
-    both differ in at most (max_bits + check_bits) / 128 of the bits they have set. Null and wordless texts share
-    fingerprint zero and link like others. Null ids count only where a component has no other:
+    Rows link where their fingerprints differ in max_bits or fewer bits; unless check_bits is
+    negative, where a second fingerprint of independent hashes differs in check_bits or fewer
+    and both differ in at most (max_bits + check_bits) / 128 of the bits they have set; and,
+    unless min_similarity is None, where the Jaccard similarity of their shingle sets is at
+    least that. Equal texts always link. Null and wordless texts share fingerprint zero and link
+    like others (as sets they are equal). Null ids count only where a component has no other:
     its component_id is then null. An empty table gives no rows.
     """
     check = check_bits >= 0
     rows = materialise(fingerprints(docs, width, check, id_col, text_col), "simhash-fp")
     reps = materialise(rows.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep")), "simhash-reps")
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     if not reps.limit(1).count():
         return rows.select("doc_id", F.lit("").alias("fingerprint"), F.col("doc_id").alias("component_id"))
     edges = materialise(links(reps, choose_parts(reps, max_bits), max_bits, check_bits), "simhash-links")
@@ -362,6 +432,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, max_bits: int = 12, check_b
     least = reps.groupBy("fp").agg(F.min("rep").alias("rep"))
     named = least.join(labels, least["fp"] == labels["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     named = materialise(named, "simhash-labels")
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    ids = materialise(named.join(smallest, "label").select("fp", "component_id"), "simhash-ids")
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    if min_similarity is None:
+        smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+        ids = materialise(named.join(smallest, "label").select("fp", "component_id"), "simhash-ids")
+        return rows.join(ids, "fp").select("doc_id", hexed, "component_id")
+
+    # Candidate groups are split by the exact similarity of their texts; a node is a distinct text.
+    nodes = rows.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("rep"))
+    grouped = materialise(nodes.join(named.select("fp", "label"), "fp"), "simhash-nodes")
+    many = grouped.groupBy("label").count().where("count > 1").select("label")
+    wanted = grouped.join(many, "label", "left_semi").select("label", "node", "fp", "fp2", "rep")
+    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = wanted.join(source, F.col("rep").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node"))).select("label", "node", "fp", "fp2", "text").dropDuplicates(["label", "node"])
+    joined = materialise(verified_links(texts, width, max_bits, check_bits, min_similarity), "simhash-verified")
+    final = components(joined)
+    placed = grouped.join(final.withColumnRenamed("label", "group"), "node", "left").select("node", "rep", F.coalesce("group", "node").alias("group"))
+    smallest = placed.groupBy("group").agg(F.min("rep").alias("component_id"))
+    ids = materialise(placed.join(smallest, "group").select("node", "component_id"), "simhash-ids")
+    return rows.join(ids, "node").select("doc_id", hexed, "component_id")
