@@ -42,8 +42,9 @@ def test_precedence_and_components(spark):
     b = spark.createDataFrame([(1, "s", 1), (2, "s", 2)], "k long, v string, w long")
     assert rows(joins.precedence_merge([a, b], ["k"], ["v"]), "k", "v", "w") == [(1, "p", None), (2, "s", 2)]
     chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7), (300, 300)], "a long, b long")
-    got = {r["node"]: r["label"] for r in graph.components(chain).collect()}
-    assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 300: 300}
+    for limit in (50_000, 0):
+        got = {r["node"]: r["label"] for r in graph.components(chain, local_edges=limit).collect()}
+        assert got == {**{k: 0 for k in range(41)}, 7: 0, 100: 100, 101: 100, 300: 300}
 
 
 def test_mode_ties_and_right_closed_bins(spark):
