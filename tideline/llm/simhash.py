@@ -428,7 +428,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, max_bits: int = 14, check_b
     if not reps.limit(1).count():
         return rows.select("doc_id", F.lit("").alias("fingerprint"), F.col("doc_id").alias("component_id"))
     edges = materialise(links(reps, choose_parts(reps, max_bits), max_bits, check_bits), "simhash-links")
-    labels = components(edges)
+    labels = components(edges, local_edges=0)
     least = reps.groupBy("fp").agg(F.min("rep").alias("rep"))
     named = least.join(labels, least["fp"] == labels["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     named = materialise(named, "simhash-labels")
@@ -445,7 +445,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, max_bits: int = 14, check_b
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
     texts = wanted.join(source, F.col("rep").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node"))).select("label", "node", "fp", "fp2", "text").dropDuplicates(["label", "node"])
     joined = materialise(verified_links(texts, width, max_bits, check_bits, min_similarity), "simhash-verified")
-    final = components(joined)
+    final = components(joined, local_edges=0)
     placed = grouped.join(final.withColumnRenamed("label", "group"), "node", "left").select("node", "rep", F.coalesce("group", "node").alias("group"))
     smallest = placed.groupBy("group").agg(F.min("rep").alias("component_id"))
     ids = materialise(placed.join(smallest, "group").select("node", "component_id"), "simhash-ids")
