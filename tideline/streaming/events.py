@@ -15,13 +15,27 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, glob: str =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", glob).parquet(path)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str, partitions: int | None = None) -> DataFrame:
-    """Run a stream over all that is there now and return its memory table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
+    """Run a stream over all that is there now and return what it wrote.
+
+    Each batch overwrites a folder of its own beside the checkpoint, so a repeated batch leaves
+    no double rows and nothing is gathered on the driver. In complete mode the last batch is the
+    result, in append mode all are together.
+    """
+    out, epochs = f"{checkpoint}-out", []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{epoch}")
+        epochs.append(epoch)
+
+    q = stream.writeStream.queryName(name).outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return stream.sparkSession.table(name)
+    kept = epochs[-1:] if mode == "complete" else sorted(set(epochs))
+    if not kept:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(*[f"{out}/{e}" for e in kept])
 
 
 def dedup(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
