@@ -85,16 +85,21 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[-1] / counts[-1].sum())
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, c: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, float]:
-    """Hinge loss with upper bounds c on the duals; the bias is a feature of value 1."""
+def dual_coordinate_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, c: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, float]:
+    """Hinge loss with upper bounds c on the duals; the bias is a feature of value 1.
+
+    The value of feature k in a row of n is ratio[k] / sqrt(n); values are not stored.
+    """
     w, b = np.zeros(DIMS), 0.0
     alpha = np.zeros(len(rows))
-    diag = np.array([float(v @ v) + 1.0 for v in values])
+    scale = np.array([1 / np.sqrt(max(1, len(x))) for x in rows])
+    diag = np.array([float(ratio[x] @ ratio[x]) * s * s + 1.0 for x, s in zip(rows, scale)])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            x, v = rows[i], values[i]
+            x = rows[i]
+            v = ratio[x] * scale[i]
             g = y[i] * (float(w[x] @ v) + b) - 1.0
             new = min(max(alpha[i] - g / diag[i], 0.0), c[i])
             if step := (new - alpha[i]) * y[i]:
@@ -132,10 +137,9 @@ def fit(rows: list[np.ndarray], labels: list[int], beta: float = 0.25, cost: flo
         return Model(np.zeros(DIMS), 0.0, 0.0, float(np.log((pos + 1) / (neg + 1))))
     def train(use: np.ndarray) -> tuple[np.ndarray, float]:
         r = log_count_ratio([rows[i] for i in use], y[use])
-        held = [r[rows[i]] / np.sqrt(max(1, len(rows[i]))) for i in use]
         n = len(use)
         c = np.where(y[use] > 0, cost * n / (2 * max(1, (y[use] > 0).sum())), cost * n / (2 * max(1, (y[use] < 0).sum())))
-        w, b = dual_coordinate_descent([rows[i] for i in use], held, y[use], c, epochs, seed)
+        w, b = dual_coordinate_descent([rows[i] for i in use], r, y[use], c, epochs, seed)
         mean = float(np.abs(w).sum() / max(1, np.count_nonzero(w)))
         return r * ((1 - beta) * mean + beta * w), b
 
@@ -175,7 +179,7 @@ def train_classifier(docs: DataFrame, labels: DataFrame, label_col: str = "quali
     got = rows.mapInArrow(extract, "id long, y int, x binary").limit(max_rows).collect()
     got.sort(key=lambda r: (r["id"], r["y"], bytes(r["x"])))
     order = np.random.default_rng(3).permutation(len(got))
-    return fit([np.frombuffer(bytes(got[i]["x"]), np.int32).astype(np.int64) for i in order], [got[i]["y"] for i in order])
+    return fit([np.frombuffer(got[i]["x"], np.int32) for i in order], [got[i]["y"] for i in order])
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
