@@ -177,8 +177,8 @@ def test_near_dedup_verifies_similarity(spark, block, monkeypatch):
             data.append((k, " ".join(w)))
             k += 1
     data += [(k, data[0][1]), (k + 1, None), (k + 2, ""), (None, data[3][1]), (k, data[0][1])]
-    plain = simhash.verified_links
-    monkeypatch.setattr(simhash, "verified_links", lambda *a: plain(*a, block=block))
+    plain = simhash.compared_blocks
+    monkeypatch.setattr(simhash, "compared_blocks", lambda nodes: plain(nodes, block))
     got = simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 5, 14, 16, 0.8).collect()
     fp = [simhash.fingerprint((t or "").encode(), 5, True) for _, t in data]
     sets = [set(simhash.shingle_set((t or "").encode(), 5).tolist()) for _, t in data]
@@ -428,9 +428,8 @@ def test_classifier_learns_and_scores_all(spark, docs):
 def test_dual_coordinate_descent_reaches_the_optimum():
     rng = np.random.default_rng(0)
     x = [np.array(sorted(rng.choice(12, 4, replace=False))) for _ in range(80)]
-    v = [np.ones(4) for _ in x]
     y = np.where([(a < 6).sum() >= 2 for a in x], 1, -1)
-    w, b = nbsvm.dual_coordinate_descent(x, v, y, np.ones(80), 300, 1)
+    w, b = nbsvm.dual_coordinate_descent(x, np.full(nbsvm.DIMS, 2.0), y, np.ones(80), 300, 1)
 
     def primal(w, b):
         return 0.5 * (w @ w + b * b) + sum(max(0.0, 1 - t * (w[i].sum() + b)) for i, t in zip(x, y))

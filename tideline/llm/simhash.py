@@ -376,20 +376,27 @@ def similar_forest(fp: np.ndarray, fp2: np.ndarray, sets: list[np.ndarray], max_
     return edges
 
 
-def verified_links(texts: DataFrame, width: int, max_bits: int, check_bits: int, least: float, block: int = 1024) -> DataFrame:
-    """(a, b) of nodes: enough similar pairs inside each candidate group to connect all that are.
+def compared_blocks(nodes: DataFrame, block: int = 1024) -> DataFrame:
+    """Nodes of groups of several, with the `pair` of blocks that they are compared in.
 
-    texts: (label, node, fp, fp2, text), one row a node. Groups of more than `block` rows are
-    dealt into blocks, and each pair of blocks is compared apart.
+    Groups of more than `block` rows are dealt into blocks; a node has a row for each block
+    that its own is compared with. No text is moved for this.
     """
-    counts = texts.groupBy("label").count().where("count > 1").select("label", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    counts = nodes.groupBy("label").count().where("count > 1").select("label", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = texts.join(counts, "label").withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("pair", F.least("_mine", "_other") * 1_000_000 + F.greatest("_mine", "_other")).select("label", "pair", "node", "fp", "fp2", "text")
-    dealt = rows.repartition("label", "pair").sortWithinPartitions("label", "pair")
+    rows = nodes.join(counts, "label").withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("pair", F.least("_mine", "_other") * 1_000_000 + F.greatest("_mine", "_other")).drop("_mine", "_other", "blocks")
+
+
+def verified_links(texts: DataFrame, width: int, max_bits: int, check_bits: int, least: float) -> DataFrame:
+    """(a, b) of nodes: enough similar pairs inside each candidate group to connect all that are.
+
+    texts: (label, pair, node, fp, fp2, text); rows of one label and pair are compared.
+    """
+    dealt = texts.repartition("label", "pair").sortWithinPartitions("label", "pair")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held, seen = None, [], set()
 
         def out() -> pa.RecordBatch:
             node = [h[0] for h in held]
@@ -402,7 +409,10 @@ def verified_links(texts: DataFrame, width: int, max_bits: int, check_bits: int,
                 if (label, pair) != key:
                     if len(held) > 1:
                         yield out()
-                    key, held = (label, pair), []
+                    key, held, seen = (label, pair), [], set()
+                if node in seen:  # a repeated row
+                    continue
+                seen.add(node)
                 held.append((node, fp, fp2, shingle_set(text, width)))
         if len(held) > 1:
             yield out()
@@ -440,10 +450,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, max_bits: int = 14, check_b
     # Candidate groups are split by the exact similarity of their texts; a node is a distinct text.
     nodes = rows.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("rep"))
     grouped = materialise(nodes.join(named.select("fp", "label"), "fp"), "simhash-nodes")
-    many = grouped.groupBy("label").count().where("count > 1").select("label")
-    wanted = grouped.join(many, "label", "left_semi").select("label", "node", "fp", "fp2", "rep")
+    wanted = compared_blocks(grouped).select("label", "pair", "node", "fp", "fp2", "rep")
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    texts = wanted.join(source, F.col("rep").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node"))).select("label", "node", "fp", "fp2", "text").dropDuplicates(["label", "node"])
+    texts = wanted.join(source, F.col("rep").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node"))).select("label", "pair", "node", "fp", "fp2", "text")
     joined = materialise(verified_links(texts, width, max_bits, check_bits, min_similarity), "simhash-verified")
     final = components(joined, local_edges=0)
     placed = grouped.join(final.withColumnRenamed("label", "group"), "node", "left").select("node", "rep", F.coalesce("group", "node").alias("group"))
