@@ -185,100 +185,95 @@ def warc_record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block
 
 
-PLACES = "archive string, offset long, key long, record_id string, url string, date string, payload_bytes long, payload_digest string"
-DOCUMENTS = "archive string, offset long, mime string, ip string, document binary"
+PLACES = "path string, archive string, offset long, key long, record_id string, url string, date string, payload_bytes long, payload_digest string"
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
     for b in batches:
-        for content in b.column(0).to_pylist():
+        for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             rows = []
             for r in parse_arc(content):
                 header, payload = split_http(r.document)
                 key = http_field(header, "X-Page-Id")
-                rows.append((r.archive, r.offset, None if key is None else int(key), record_id(r.archive, r.offset, r.fields["URL"]), r.fields["URL"], warc_date(r.fields["Archive-date"]), len(payload), sha1_base32(payload)))
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
+                rows.append((path, r.archive, r.offset, None if key is None else int(key), record_id(r.archive, r.offset, r.fields["URL"]), r.fields["URL"], warc_date(r.fields["Archive-date"]), len(payload), sha1_base32(payload)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in PLACES.split(", ")])
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-    names = [x.split()[0] for x in DOCUMENTS.split(", ")]
-    for b in batches:
-        for content in b.column(0).to_pylist():
-            rows = []
-            for r in parse_arc(content):
-                rows.append((r.archive, r.offset, r.fields["Content-type"], r.fields["IP-address"], r.document))
-                if len(rows) == 256:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names=names)
-
-
 def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_bytes: int = 0, archive_bytes: int = 16 << 20) -> None:
     """Convert all ARC files under arc_path to gzipped WARC files under warc_path.
 
     Identifiers, dates, types and digests are derived from the ARC headers and documents alone.
     Of records with equal payloads of min_revisit_bytes or more, that of the smallest key (null
     keys last, ties by place) is a response; others become revisits that keep the HTTP header.
+    Archives are read twice, for the digests and for the records; what they hold is moved only
+    as packed files, each with the list of its revisits.
     """
     places = materialise(_files(spark, arc_path).mapInArrow(_places, PLACES), "warc-places")
     rank = F.struct(F.col("key").isNull().alias("last"), "key", "archive", "offset", "record_id", "url", "date")
     first = places.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min(rank).alias("r"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = first.select("payload_digest", "payload_bytes", F.col("r.archive").alias("_archive"), F.col("r.offset").alias("_offset"), F.col("r.record_id").alias("ref_id"), F.col("r.url").alias("ref_url"), F.col("r.date").alias("ref_date"), F.col("r.key").alias("ref_key"))
-    revisit = places.join(first, ["payload_digest", "payload_bytes"]).where("archive != _archive or offset != _offset")
-    revisit = revisit.select("archive", "offset", "ref_id", "ref_url", "ref_date", "ref_key")
-    heads = places.select("archive", "offset", "record_id", "url", "date", "payload_digest").join(revisit, ["archive", "offset"], "left")
-    rows = _files(spark, arc_path).mapInArrow(_documents, DOCUMENTS).join(heads, ["archive", "offset"])
-    names = ["record_id", "url", "date", "payload_digest", "ref_id", "ref_url", "ref_date", "ref_key", "mime", "ip", "document"]
+    revisit = places.select("path", "archive", "offset", "payload_digest", "payload_bytes").join(first, ["payload_digest", "payload_bytes"]).where("archive != _archive or offset != _offset")
+    listed = revisit.groupBy("path").agg(F.collect_list(F.struct("offset", "ref_id", "ref_url", "ref_date", "ref_key")).alias("refs"))
+    files = _files(spark, arc_path).join(listed, "path", "left").select("content", "refs")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         archive = TaskContext.get().partitionId() * 1_000_000
-        seq = size = 0
+        seq = size = held = 0
+        out: list[tuple[int, int, bytes]] = []
         for b in batches:
-            out = []
-            for rid, url, date, digest, ref_id, ref_url, ref_date, ref_key, mime, ip, document in zip(*(b.column(k).to_pylist() for k in range(len(names)))):
-                if size > archive_bytes:
-                    archive, seq, size = archive + 1, 0, 0
-                if not seq:
-                    name = f"tideline-{archive}.warc.gz"
-                    info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name, 0, name)), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
-                    out.append((archive, 0, warc_record(info, b"software: tideline\r\nformat: WARC File Format 1.1\r\n")))
-                    seq, size = 1, len(out[-1][2])
-                header, _ = split_http(document)
-                block = document if ref_id is None else header
-                kind = "revisit" if ref_id is not None else "response" if header else "resource"
-                fields = [
-                    ("WARC-Type", kind),
-                    ("WARC-Record-ID", rid),
-                    ("WARC-Date", date),
-                    ("WARC-Target-URI", url),
-                    ("WARC-IP-Address", None if ip == "0.0.0.0" else ip),
-                    ("WARC-Payload-Digest", f"sha1:{digest}"),
-                    ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"),
-                    ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if ref_id is not None else None),
-                    ("WARC-Refers-To", ref_id),
-                    ("WARC-Refers-To-Target-URI", ref_url),
-                    ("WARC-Refers-To-Date", ref_date),
-                    ("X-Refers-To-Key", ref_key),
-                    ("Content-Type", "application/http; msgtype=response" if header else mime),
-                ]
-                out.append((archive, seq, warc_record(fields, block)))
-                seq, size = seq + 1, size + len(out[-1][2])
-                if len(out) == 256:
-                    yield _batch(out)
-                    out = []
-            if out:
-                yield _batch(out)
-
-    _write(rows.select(*names).mapInArrow(build, "archive long, seq long, value binary"), warc_path, "\r\n\r\n")
+            for content, refs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                known = {x["offset"]: x for x in refs or ()}
+                for r in parse_arc(content):
+                    if size > archive_bytes:
+                        archive, seq, size = archive + 1, 0, 0
+                    date = warc_date(r.fields["Archive-date"])
+                    if not seq:
+                        name = f"tideline-{archive}.warc.gz"
+                        info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name, 0, name)), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
+                        out.append((archive, 0, warc_record(info, b"software: tideline\r\nformat: WARC File Format 1.1\r\n")))
+                        seq = 1
+                    out.append((archive, seq, _converted(r, date, known.get(r.offset))))
+                    seq, size, held = seq + 1, size + len(out[-1][2]), held + len(out[-1][2])
+                    if len(out) >= 256 or held > 4 << 20:
+                        yield _batch(out)
+                        out, held = [], 0
+        if out:
+            yield _batch(out)
+
+    _write(files.mapInArrow(build, "archive long, seq long, value binary"), warc_path, "\r\n\r\n")
+
+
+def _converted(r: ArcRecord, date: str, ref: dict | None) -> bytes:
+    """The WARC record of an ARC record; ref: what it is a revisit of, if it is one."""
+    header, payload = split_http(r.document)
+    block = r.document if ref is None else header
+    ip = r.fields["IP-address"]
+    fields = [
+        ("WARC-Type", "revisit" if ref else "response" if header else "resource"),
+        ("WARC-Record-ID", record_id(r.archive, r.offset, r.fields["URL"])),
+        ("WARC-Date", date),
+        ("WARC-Target-URI", r.fields["URL"]),
+        ("WARC-IP-Address", None if ip == "0.0.0.0" else ip),
+        ("WARC-Payload-Digest", f"sha1:{sha1_base32(payload)}"),
+        ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"),
+        ("Content-Type", "application/http; msgtype=response" if header else r.fields["Content-type"]),
+    ]
+    if ref:
+        fields += [
+            ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+            ("WARC-Refers-To", ref["ref_id"]),
+            ("WARC-Refers-To-Target-URI", ref["ref_url"]),
+            ("WARC-Refers-To-Date", ref["ref_date"]),
+            ("X-Refers-To-Key", ref["ref_key"]),
+        ]
+    return warc_record(fields, block)
 
 
 # ---- reading
@@ -333,7 +328,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
-    return _files(spark, path).mapInArrow(scan, RECORDS)
+    return _files(spark, path).select("content").mapInArrow(scan, RECORDS)
 
 
 def archive_pages(pages: DataFrame, min_revisit_bytes: int = 0, archive_bytes: int = 16 << 20) -> DataFrame:
