@@ -42,10 +42,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each component of near copies.
 
-    Five-word shingles, Jaccard similarity of 0.8 or more. Fingerprints find the candidates: at
-    14 of 64 bits they cover nearly all pairs that similar (see the README). Rows that share the smallest id of their component all stay.
+    Five-word shingles, Jaccard similarity of 0.8 or more, all pairs that similar: fingerprints at
+    14 of 64 bits and an exact prefix filter find the candidates (see the README). Rows that share the smallest id of their component all stay.
     """
-    found = simhash.near_duplicates(docs, width=5, max_bits=14, check_bits=16, min_similarity=0.8)
+    found = simhash.similar_documents(docs, width=5, least=0.8, max_bits=14, check_bits=16)
     return _only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
 
 

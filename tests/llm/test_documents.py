@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from tideline.llm import fertility, lsm_dedup, mixing, nbsvm, packing, sharding, simhash, trie_tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, key string, digest string, value string, _n long, bucket string"
@@ -164,6 +165,31 @@ def test_near_dedup_protects_short_texts(spark, similarity):
     assert all(r["doc_id"] == r["component_id"] for r in got)
 
 
+def pure_jaccard_components(data: list[tuple[int, str]], least: float) -> dict[int, int]:
+    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for _, t in data]
+    label = {i: i for i, _ in data}
+    for x, (i, _) in enumerate(data):
+        for y in range(x):
+            if len(sets[x] & sets[y]) >= least * len(sets[x] | sets[y]):
+                a, b = label[i], label[data[y][0]]
+                label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
+    return label
+
+
+def test_near_dedup_finds_short_near_copies(spark):
+    rng = random.Random(21)
+    data = []
+    for n in (8, 9, 12, 16, 24):
+        for _ in range(12):
+            words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n + (n + 3) // 5)]
+            data += [(len(data), " ".join(words[:n])), (len(data) + 1, " ".join(words[: n + (n - 4) // 4]))]
+    want = pure_jaccard_components(data, 0.8)
+    assert len(set(want.values())) <= len(data) // 2
+    docs = spark.createDataFrame([(*d, "en", "a", 1) for d in data], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert {r["doc_id"] for r in kept} == set(want.values())
+
+
 @pytest.mark.parametrize("block", [1024, 7])
 def test_near_dedup_verifies_similarity(spark, block, monkeypatch):
     rng = random.Random(9)

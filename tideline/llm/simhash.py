@@ -13,12 +13,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -350,6 +350,74 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
+def _gathered(rows: Iterator[tuple], names: list[str], enough: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Batches of rows of (hashes, number, ...), a row for each hash."""
+    rows, held, n = iter(rows), [], 0
+    while (row := next(rows, None)) is not None or held:
+        if row is not None:
+            held.append(row)
+            n += len(row[0])
+        if row is None or n >= enough:
+            first = np.concatenate([r[0] for r in held]).view(np.int64)
+            size = [len(r[0]) for r in held]
+            more = [np.repeat(np.array([r[k] for r in held], np.int64), size) for k in range(1, len(names))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first, *more)], names=names)
+            held, n = [], 0
+
+
+def prefix_links(docs: DataFrame, width: int, least: float, bits: int = 26, text_col: str = "text") -> DataFrame:
+    """(a, b) of text hashes: chains that connect every two texts whose Jaccard similarity is `least` or more.
+
+    Two such sets of n and m shingles share one of the first n - ceil(least n) + 1 and
+    m - ceil(least m) + 1 in any common order (prefix filter), here from the rarest. A shingle of
+    one text alone comes first and meets nothing. Under a shingle, texts are chained by the size
+    of their sets; a chain ends where a size is too small for the next. This is exact but for
+    equal hashes: `bits` sizes a bitmap that only spares rows. Wordless texts have no shingle.
+    """
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = (shingle_set(text, width) for b in batches for text in utf8(b.column(0)))
+        yield from _gathered(((x,) for x in sets), ["token"])
+
+    source = docs.select(F.col(text_col).alias("text"))
+    shared = materialise(source.mapInArrow(tokens, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "simhash-shared")
+    words = shared.select(F.shiftrightunsigned("token", 64 - bits).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+    words = words.agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 63 AS INT)))").alias("held")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[words.column("word").to_numpy()] = words.column("held").to_numpy().view(np.uint64)
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def looked_up(b: pa.RecordBatch) -> Iterator[tuple]:
+        for text, node in zip(utf8(b.column(0)), b.column(1).to_pylist()):
+            own = shingle_set(text, width)
+            slot = own >> np.uint64(64 - bits)
+            kept = own[(bitmap.value[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)]
+            after = ceil(least * len(own) - 1e-9) - 1  # shingles past the prefix
+            if len(kept) > after:
+                yield kept, node, len(own), after
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _gathered((x for b in batches for x in looked_up(b)), ["token", "node", "size", "after"])
+
+    rows = source.withColumn("node", F.xxhash64(F.coalesce("text", F.lit("")))).mapInArrow(emit, "token long, node long, size long, after long")
+    rows = rows.join(shared, "token").repartition("node").dropDuplicates(["node", "token"])
+    w = Window.partitionBy("node")
+    rows = rows.withColumn("place", F.row_number().over(w.orderBy("df", "token"))).withColumn("n", F.count(F.lit(1)).over(w))
+    rows = rows.where("place <= n - after").select("token", "size", "node").repartition("token").sortWithinPartitions("token", "size", "node")
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = [np.zeros(0, np.int64)] * 3
+        for b in batches:
+            token, size, node = (np.concatenate([x, b.column(k).to_numpy()]) for k, x in enumerate(last))
+            last = [x[-1:] for x in (token, size, node)]
+            near = (token[1:] == token[:-1]) & (size[:-1] >= least * size[1:] - 1e-9) & (node[1:] != node[:-1])
+            x, y = node[:-1][near], node[1:][near]
+            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    return rows.mapInArrow(chain, "a long, b long").distinct()
+
+
 def similar_forest(fp: np.ndarray, fp2: np.ndarray, sets: list[np.ndarray], max_bits: int, check_bits: int, least: float) -> list[tuple[int, int]]:
     """Edges that join rows linked by fingerprint and by a Jaccard similarity of at least `least`; breadth first, at most one a row."""
     size = np.array([len(x) for x in sets])
@@ -459,3 +527,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, max_bits: int = 14, check_b
     smallest = placed.groupBy("group").agg(F.min("rep").alias("component_id"))
     ids = materialise(placed.join(smallest, "group").select("node", "component_id"), "simhash-ids")
     return rows.join(ids, "node").select("doc_id", hexed, "component_id")
+
+
+def similar_documents(docs: DataFrame, width: int, least: float, max_bits: int = 14, check_bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Like near_duplicates, but rows link where the Jaccard similarity of their shingle sets is `least` or more.
+
+    Fingerprints within max_bits and check_bits are candidates beside the exact ones of
+    prefix_links and rule nothing out.
+    """
+    rows = materialise(fingerprints(docs, width, check_bits >= 0, id_col, text_col), "simhash-fp")
+    reps = materialise(rows.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep")), "simhash-reps")
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    if not reps.limit(1).count():
+        return rows.select("doc_id", F.lit("").alias("fingerprint"), F.col("doc_id").alias("component_id"))
+    edges = links(reps, choose_parts(reps, max_bits), max_bits, check_bits)
+    # A node is a distinct text; those of one fingerprint are linked to its smallest.
+    nodes = materialise(rows.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
+    first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    same = nodes.join(first, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    x, y = first.select(F.col("fp").alias("a"), F.col("first").alias("_a")), first.select(F.col("fp").alias("b"), F.col("first").alias("_b"))
+    found = edges.join(x, "a").join(y, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    found = materialise(found.unionByName(same).unionByName(prefix_links(docs, width, least, text_col=text_col)), "simhash-candidates")
+    labels = components(found, local_edges=0)
+    grouped = materialise(nodes.join(labels, "node", "left").select("node", "fp", "fp2", "rep", F.coalesce("label", "node").alias("label")), "simhash-labels")
+    wanted = compared_blocks(grouped).select("label", "pair", "node", "fp", "fp2", "rep")
+    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = wanted.join(source, F.col("rep").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node"))).select("label", "pair", "node", "fp", "fp2", "text")
+    # All bits may differ: the similarity alone decides.
+    joined = materialise(verified_links(texts, width, BITS, -1, least), "simhash-verified")
+    final = components(joined, local_edges=0)
+    placed = grouped.join(final.withColumnRenamed("label", "group"), "node", "left").select("node", "rep", F.coalesce("group", "node").alias("group"))
+    smallest = placed.groupBy("group").agg(F.min("rep").alias("component_id"))
+    ids = materialise(placed.join(smallest, "group").select("node", "component_id"), "simhash-ids")
+    return rows.join(ids, "node").select("doc_id", hexed, "component_id")
