@@ -176,6 +176,23 @@ def pure_jaccard_components(data: list[tuple[int, str]], least: float) -> dict[i
     return label
 
 
+def test_near_dedup_finds_copies_with_repeated_lines(spark):
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    data = []
+    for times in (1, 5, 10, 20):
+        for _ in range(6):
+            body, line = " ".join(word() for _ in range(104)), " ".join(word() for _ in range(14))
+            data += [(len(data), f"{body} {line}"), (len(data) + 1, f"{body} {line}" + f" {line}" * times)]
+    for _ in range(12):  # 100 shingles, of which one substitution takes 5
+        w = [word() for _ in range(104)]
+        data += [(len(data), " ".join(w)), (len(data) + 1, " ".join("new" if k in (20, 50) else x for k, x in enumerate(w)))]
+    want = pure_jaccard_components(data, 0.8)
+    assert len(set(want.values())) == len(data) // 2
+    docs = spark.createDataFrame([(*d, "en", "a", 1) for d in data], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(want.values())
+
+
 def test_near_dedup_finds_short_near_copies(spark):
     rng = random.Random(21)
     data = []
