@@ -164,3 +164,12 @@ def test_scores(spark):
     assert math.isclose(fit["x"], 2.0, rel_tol=1e-9) and math.isclose(fit["intercept"], 1.0, rel_tol=1e-6)
     bt = {r["entity"]: r["rating"] for r in metrics.bradley_terry(spark.createDataFrame([("a", "b", 1.0)] * 6 + [("b", "a", 0.0)] * 5 + [("b", "c", 1.0)] * 4, "a string, b string, s double"), "a", "b", "s").collect()}
     assert bt["a"] > bt["b"] > bt["c"]
+
+
+def test_structural_overlap_of_many_segments(spark):
+    from types import SimpleNamespace
+
+    from tideline.plans.queries_joins import structural_overlap
+
+    df = spark.createDataFrame([(1, f"s{k}") for k in range(150)], "c_nationkey long, c_mktsegment string")
+    assert [tuple(r) for r in structural_overlap(SimpleNamespace(customer=df)).collect()] == [(1, 1.0)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bhattacharyya, entity_key, epoch_seconds, jaccard
+from ..functions.scalars import entity_key, epoch_seconds, jaccard
 from ..operators import aggs, cdc, graph, joins
 from .registry import Tables, query
 
@@ -222,11 +222,11 @@ def embedding_nearest(t: Tables) -> DataFrame:
 @query("""WITH p AS (SELECT c_nationkey AS k, c_mktsegment AS m, count(*) AS n FROM customer GROUP BY ALL), t AS (SELECT k, sum(n) AS s FROM p GROUP BY ALL), o AS (SELECT m, sum(n) AS n FROM p GROUP BY ALL), g AS (SELECT sum(n) AS s FROM o)
     SELECT k, round(sum(sqrt(p.n / t.s * (o.n / g.s))), 6) AS overlap FROM p JOIN t USING (k) JOIN o USING (m), g GROUP BY k""")
 def structural_overlap(t: Tables) -> DataFrame:
-    names = [r[0] for r in t.customer.select("c_mktsegment").distinct().orderBy("c_mktsegment").limit(100).collect()]
-    count = lambda m: F.count_if(F.col("c_mktsegment") == m).cast("double")
-    shares = F.array(*[count(m) / F.count(F.lit(1)) for m in names])
-    per, overall = t.customer.groupBy("c_nationkey").agg(shares.alias("p")), t.customer.agg(shares.alias("q"))
-    return per.crossJoin(F.broadcast(overall)).select(F.col("c_nationkey").alias("k"), F.round(bhattacharyya("p", "q"), 6).alias("overlap"))
+    p = t.customer.groupBy(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    own = p.groupBy("k").agg(F.sum("n").alias("s"))
+    overall = p.groupBy("m").agg(F.sum("n").alias("o")).crossJoin(F.broadcast(p.agg(F.sum("n").alias("g"))))
+    both = p.join(own, "k").join(overall, "m")
+    return both.groupBy("k").agg(F.round(F.sum(F.sqrt(F.col("n") / F.col("s") * (F.col("o") / F.col("g")))), 6).alias("overlap"))
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN event_type = 'error' THEN '{"id":' || event_id || '}' ELSE '{"id":' || event_id || ',"kind":"' || event_type || '"}' END AS doc FROM events""")
