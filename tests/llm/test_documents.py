@@ -497,3 +497,11 @@ def test_empty_tables(spark, empty):
     ):
         assert frame.count() == 0
     assert mixing.mixed_documents(empty, mixing.mix_sources(empty)).count() == 0
+
+
+def test_quality_fit_has_five_folds_at_every_size(monkeypatch):
+    sizes = []
+    plain = nbsvm.dual_coordinate_descent
+    monkeypatch.setattr(nbsvm, "dual_coordinate_descent", lambda rows, *a: sizes.append(len(rows)) or plain(rows, *a))
+    nbsvm.fit([np.array([k % 2, 2 + k % 7]) for k in range(3010)], [k % 2 for k in range(3010)], epochs=1)
+    assert sizes == [2408] * 5 + [3010]

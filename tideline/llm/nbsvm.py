@@ -130,7 +130,7 @@ def logistic_fit(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(rows: list[np.ndarray], labels: list[int], beta: float = 0.25, cost: float = 1.0, epochs: int = 12, seed: int = 5) -> Model:
-    """Fit on feature rows with labels 0 or 1; classes weigh alike. With fewer than two rows of either class the score is the smoothed prior."""
+    """Fit on feature rows with labels 0 or 1; classes weigh alike. The logistic scores are fitted to margins of five folds at every size. With fewer than two rows of either class the score is the smoothed prior."""
     y = np.where(np.array(labels, int) > 0, 1, -1) if labels else np.zeros(0, int)
     pos, neg = int((y > 0).sum()), int((y < 0).sum())
     if min(pos, neg) < 2:
@@ -144,7 +144,7 @@ def fit(rows: list[np.ndarray], labels: list[int], beta: float = 0.25, cost: flo
         return r * ((1 - beta) * mean + beta * w), b
 
     everything = np.arange(len(y))
-    folds = 5 if len(y) <= 3000 else 2
+    folds = 5
     fold = np.zeros(len(y), int)
     for s in (1, -1):
         fold[y == s] = np.arange((y == s).sum()) % folds
