@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tideline.llm import fertility, lsm_dedup, mixing, nbsvm, packing, sharding, simhash, trie_tokens
@@ -207,6 +208,12 @@ def test_near_dedup_finds_short_near_copies(spark):
     assert {r["doc_id"] for r in kept} == set(want.values())
 
 
+def test_block_pairs_of_large_groups(spark):
+    nodes = spark.range(6000).select(F.lit(0).alias("label"), F.col("id").alias("node"))
+    pairs = simhash.compared_blocks(nodes, 2).where("node < 40").select("pair").distinct()
+    assert pairs.agg(F.max("pair")).first()[0] > 2**31
+
+
 @pytest.mark.parametrize("block", [1024, 7])
 def test_near_dedup_verifies_similarity(spark, block, monkeypatch):
     rng = random.Random(9)

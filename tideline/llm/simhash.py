@@ -311,9 +311,9 @@ def links(distinct: DataFrame, parts: Parts, max_bits: int, check_bits: int = -1
         mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
         rows = rows.join(hot, ["part", "key"], "left").withColumn("_mine", F.coalesce(mine, F.lit(0))).withColumn("_other", other)
-        rows = rows.withColumn("pair", F.least("_mine", "_other") * 1_000_000 + F.greatest("_mine", "_other")).drop("_mine", "_other", "blocks")
+        rows = rows.withColumn("pair", F.least("_mine", "_other").cast("long") * 1_000_000 + F.greatest("_mine", "_other")).drop("_mine", "_other", "blocks")
     else:
-        rows = rows.withColumn("pair", F.lit(0))
+        rows = rows.withColumn("pair", F.lit(0).cast("long"))
     dealt = rows.repartition("part", "key", "pair").sortWithinPartitions("part", "key", "pair")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,7 +453,7 @@ def compared_blocks(nodes: DataFrame, block: int = 1024) -> DataFrame:
     counts = nodes.groupBy("label").count().where("count > 1").select("label", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = nodes.join(counts, "label").withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("pair", F.least("_mine", "_other") * 1_000_000 + F.greatest("_mine", "_other")).drop("_mine", "_other", "blocks")
+    return rows.withColumn("pair", F.least("_mine", "_other").cast("long") * 1_000_000 + F.greatest("_mine", "_other")).drop("_mine", "_other", "blocks")
 
 
 def verified_links(texts: DataFrame, width: int, max_bits: int, check_bits: int, least: float) -> DataFrame:
