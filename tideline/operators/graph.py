@@ -24,23 +24,23 @@ def _local(pairs: list, kind: str, edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame([(x, find(x)) for x in list(parent)], f"node {kind}, label {kind}")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50, local_edges: int = 50_000) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", local_edges: int = 50_000) -> DataFrame:
     """(node, label): the least node reachable, by alternating large and small stars.
 
-    Nodes are those of the edges. Each round is written to the shared folder; no round makes
-    more rows than edges and nodes. Up to local_edges distinct pairs, which is checked, are
-    joined on the driver instead; 0 forbids that.
+    Nodes are those of the edges; an edge with a null end is left out. The distinct pairs are
+    written once. Each round is written to the shared folder until nothing changes; no round
+    makes more rows than edges and nodes. Where the written pairs number local_edges or fewer
+    they are joined on the driver instead; 0 forbids that.
     """
-    if local_edges:
-        some = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().limit(local_edges + 1).collect()
-        if len(some) <= local_edges:
-            return _local(some, edges.schema[a].dataType.simpleString(), edges)
-    pairs = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
-    state = None
-    for _ in range(max_rounds):
+    known = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    written = materialise(known.distinct(), "edges")
+    if local_edges and written.count() <= local_edges:
+        return _local(written.collect(), edges.schema[a].dataType.simpleString(), edges)
+    lone = written.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("label"))
+    pairs, state = written.where("u != v"), None
+    while True:
         sums = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sums == state:
-            lone = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"), F.col(a).alias("label"))
             named = pairs.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("label")))
             return named.unionByName(lone).groupBy("node").agg(F.min("label").alias("label"))
         state = sums
@@ -51,4 +51,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         pairs = materialise(small.where("u != v").distinct(), "edges")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
