@@ -53,34 +53,73 @@ def _packed(majority: np.ndarray) -> int:
     return int(np.packbits(majority, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprint(text: bytes | None, width: int, check: bool = False) -> tuple[int, int]:
-    """The fingerprint, and a second one from hashes mixed anew where check is set (else 0)."""
-    n, ones, other = 0, np.zeros(BITS, np.int64), np.zeros(BITS, np.int64)
+def fingerprint(text: bytes | None, width: int) -> int:
+    """Majority bits of the XXH64 of all shingles, repeats included."""
+    n, ones = 0, np.zeros(BITS, np.int64)
     for part in shingles(text, width):
         h = np.array([xxhash.xxh64_intdigest(s, 42) for s in part], np.uint64)
         n += len(h)
         ones += _ones(h)
-        if check:
-            x = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            other += _ones(x ^ (x >> np.uint64(31)))
-    return _packed(ones * 2 > n), _packed(other * 2 > n)
+    return _packed(ones * 2 > n)
+
+
+class _WordCodes(dict):
+    """XXH64 of words, each hashed once while the table is below its bound."""
+
+    def __init__(self, most: int = 500_000):
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+def _mix64(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(text: bytes | None, width: int, codes: dict | None = None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of lower-cased words; fewer words than width are one shingle.
+
+    A shingle's hash mixes its words' hashes by place, so a word is hashed once, not once a shingle.
+    """
+    words = text.lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    codes = _WordCodes() if codes is None else codes
+    code = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+    used = min(width, len(words))
+    h = np.full(len(code) - used + 1, used, np.uint64)
+    for k in range(used):
+        h = _mix64(h + code[k : len(code) - used + 1 + k])
+    return np.unique(h)
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """Majority bits of a set of shingle hashes: repeated lines count once."""
+    return _packed(sum((_ones(hashes[k : k + 65536]) for k in range(0, len(hashes), 65536)), np.zeros(BITS, np.int64)) * 2 > len(hashes))
 
 
 def _signed(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
 
-def fingerprints(docs: DataFrame, width: int, check: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, fp2, node) per row; node is the hash of the text. Null and wordless texts have fingerprint zero."""
+def fingerprints(docs: DataFrame, width: int, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, node) per row; node is the hash of the text. Null and wordless texts have fingerprint zero."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _WordCodes()
         for b in batches:
-            out = [fingerprint(x, width, check) for x in utf8(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), _signed([o[0] for o in out]), _signed([o[1] for o in out]), b.column(2)], names=["doc_id", "fp", "fp2", "node"])
+            texts = utf8(b.column(1))
+            fp = [set_fingerprint(shingle_set(x, width, codes)) for x in texts] if distinct else [fingerprint(x, width) for x in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), _signed(fp), b.column(2)], names=["doc_id", "fp", "node"])
 
     node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col), node).mapInArrow(scan, "doc_id long, fp long, fp2 long, node long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col), node).mapInArrow(scan, "doc_id long, fp long, node long")
 
 
 @dataclass(frozen=True)
@@ -207,47 +246,62 @@ def _flips(bits: tuple[int, ...], t: int) -> np.ndarray:
     return np.array([sum(1 << k for k in c) for d in range(1, t + 1) for c in combinations(range(len(bits)), d)], np.uint64)
 
 
+def _key_of(part: int, key: np.ndarray) -> np.ndarray:
+    """Part and key as one number; a part has at most 32 bits."""
+    return (key | np.uint64(part) << np.uint64(32)).view(np.int64)
+
+
 def signatures(distinct: DataFrame, parts: Parts) -> DataFrame:
-    """(part, key, fp, fp2, own): each fingerprint under its own key and, own = false, under those it probes."""
+    """(key, fp, own): each fingerprint under its own key of each part and, own = false, under those it probes."""
     flips = [_flips(b, t) if t > 0 else np.zeros(0, np.uint64) for b, t in zip(parts.bits, parts.thresholds)]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             step = max(1, 400_000 // max(1, sum(len(f) + 1 for f in flips)))
             for at in range(0, whole.num_rows, step):
-                b = whole.slice(at, step)
-                fp, fp2 = (b.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+                fp = whole.column(0).slice(at, step).to_numpy().view(np.uint64)
                 for part, (bits, t) in enumerate(zip(parts.bits, parts.thresholds)):
                     if t < 0:
                         continue
                     own = part_keys(fp, bits)
                     key = np.concatenate([own, (own[:, None] ^ flips[part][None, :]).ravel()])
-                    both = [np.concatenate([x, np.repeat(x, len(flips[part]))]).view(np.int64) for x in (fp, fp2)]
+                    who = np.concatenate([fp, np.repeat(fp, len(flips[part]))]).view(np.int64)
                     flag = np.zeros(len(key), bool)
                     flag[: len(own)] = True
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(key), part, np.int32)), pa.array(key.view(np.int64)), pa.array(both[0]), pa.array(both[1]), pa.array(flag)], names=["part", "key", "fp", "fp2", "own"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(_key_of(part, key)), pa.array(who), pa.array(flag)], names=["key", "fp", "own"])
 
-    return distinct.select("fp", "fp2").mapInArrow(emit, "part int, key long, fp long, fp2 long, own boolean")
+    return distinct.select("fp").mapInArrow(emit, "key long, fp long, own boolean")
 
 
-def _near(fp: np.ndarray, fp2: np.ndarray, i: np.ndarray, j: np.ndarray | int, max_bits: int, check_bits: int) -> np.ndarray:
-    """Whether rows i and j link.
+def key_loads(distinct: DataFrame, parts: Parts) -> DataFrame:
+    """(key, own, probes): exact numbers of fingerprints filed and probing under each key.
 
-    With the second fingerprint, the bits that differ must also be few against the bits that
-    are set: short texts have sparse fingerprints, which differ little by chance.
+    Fingerprints are counted per own key first; only the counts are spread to the keys that they probe.
     """
-    d = np.bitwise_count(fp[i] ^ fp[j])
-    near = d <= max_bits
-    if check_bits >= 0:
-        d2 = np.bitwise_count(fp2[i] ^ fp2[j])
-        ones = sum(np.bitwise_count(x[k]).astype(np.int64) for x in (fp, fp2) for k in (i, j))
-        near &= (d2 <= check_bits) & (2 * BITS * (d.astype(np.int64) + d2) <= (max_bits + check_bits) * ones)
-    return near
+    used = [k for k, t in enumerate(parts.thresholds) if t >= 0]
+    flips = {k: _flips(parts.bits[k], parts.thresholds[k]) for k in used}
+
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(0).to_numpy().view(np.uint64)
+            for k in used:
+                yield pa.RecordBatch.from_arrays([pa.array(_key_of(k, part_keys(fp, parts.bits[k])))], names=["key"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                key, n = (whole.column(k).slice(at, 2000).to_numpy() for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(np.zeros(len(n), np.int64))], names=["key", "own", "probes"])
+                for k in used:
+                    mine = key >> 32 == k
+                    near = (key[mine].view(np.uint64)[:, None] ^ flips[k][None, :]).ravel().view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(near), pa.array(np.zeros(len(near), np.int64)), pa.array(np.repeat(n[mine], len(flips[k])))], names=["key", "own", "probes"])
 
+    own = distinct.select("fp").mapInArrow(filed, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return own.mapInArrow(spread, "key long, own long, probes long").groupBy("key").agg(F.sum("own").alias("own"), F.sum("probes").alias("probes")).where("own > 0")
 
-def _forest(fp: np.ndarray, fp2: np.ndarray, own: np.ndarray, max_bits: int, check_bits: int) -> list[tuple[int, int]]:
+
+def _forest(fp: np.ndarray, own: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Edges that join what is linked in one bucket, at most one per row.
 
     Breadth first: a row is compared only with rows not reached yet, so a dense group costs
@@ -262,7 +316,7 @@ def _forest(fp: np.ndarray, fp2: np.ndarray, own: np.ndarray, max_bits: int, che
         queue = [root]
         while queue and len(left):
             x = queue.pop()
-            near = _near(fp, fp2, left, x, max_bits, check_bits)
+            near = np.bitwise_count(fp[left] ^ fp[x]) <= max_bits
             if not own[x]:
                 near &= own[left]
             hit = left[near]
@@ -272,9 +326,8 @@ def _forest(fp: np.ndarray, fp2: np.ndarray, own: np.ndarray, max_bits: int, che
     return edges
 
 
-def _bucket_links(rows: list[np.ndarray], max_bits: int, check_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of fingerprints among rows sorted by bucket; rows: bucket number, fp, fp2, own."""
-    bucket, fp, fp2, own = rows
+def _bucket_links(bucket: np.ndarray, fp: np.ndarray, own: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of fingerprints among rows sorted by bucket."""
     a, b = [], []
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     sizes = np.diff(np.r_[starts, len(bucket)])
@@ -283,13 +336,13 @@ def _bucket_links(rows: list[np.ndarray], max_bits: int, check_bits: int) -> tup
         if len(fp) <= shift:
             break
         k = np.flatnonzero((bucket[shift:] == bucket[:-shift]) & small[shift:] & (own[shift:] | own[:-shift]))
-        near = _near(fp, fp2, k, k + shift, max_bits, check_bits)
-        a.append(fp[k[near]])
-        b.append(fp[k[near] + shift])
+        k = k[np.bitwise_count(fp[k] ^ fp[k + shift]) <= max_bits]
+        a.append(fp[k])
+        b.append(fp[k + shift])
     for s, n in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist()):
-        if own[s : s + n].any():
-            cut = slice(s, s + n)
-            found = _forest(fp[cut], fp2[cut], own[cut], max_bits, check_bits)
+        cut = slice(s, s + n)
+        if own[cut].any():
+            found = _forest(fp[cut], own[cut], max_bits)
             if found:
                 e = np.array(found) + s
                 a.append(fp[e[:, 0]])
@@ -298,56 +351,60 @@ def _bucket_links(rows: list[np.ndarray], max_bits: int, check_bits: int) -> tup
     return np.concatenate([empty, *a]), np.concatenate([empty, *b])
 
 
-def links(distinct: DataFrame, parts: Parts, max_bits: int, check_bits: int = -1, block: int = 8192) -> DataFrame:
+def dealt_rows(rows: DataFrame, loads: DataFrame, block: int) -> DataFrame:
+    """Rows with the `pair` of blocks that they are compared in.
+
+    Under a key of more than `block` rows, filed and probing ones are dealt into blocks apart.
+    Filed blocks meet each other and every probing block; probes never meet probes.
+    """
+    cut = lambda n: F.ceil(F.col(n) / (block // 2)).cast("int")
+    hot = materialise(loads.where(F.col("own") + F.col("probes") > block).select("key", cut("own").alias("_a"), cut("probes").alias("_b")), "simhash-hot")
+    if not hot.limit(1).count():
+        return rows.withColumn("pair", F.lit(0).cast("long"))
+    a, b, wide = F.coalesce("_a", F.lit(1)), F.coalesce("_b", F.lit(0)), F.lit(1 << 31)
+    mine = F.pmod(F.xxhash64("fp"), F.when(F.col("own"), a).otherwise(F.greatest(b, F.lit(1)))).cast("long")
+    filed = F.transform(F.sequence(F.lit(0), a - 1), lambda o: F.least("_mine", o) * wide + F.greatest("_mine", o))
+    probed = F.transform(F.sequence(F.lit(1), b), lambda o: F.col("_mine") * wide + a + o - 1)
+    met = F.when(F.col("own"), F.concat(filed, F.when(b > 0, probed).otherwise(F.array().cast("array<bigint>")))).otherwise(F.transform(F.sequence(F.lit(0), a - 1), lambda o: o * wide + a + F.col("_mine")))
+    placed = rows.join(hot, "key", "left").withColumn("_mine", F.when(F.col("_a").isNotNull(), mine).otherwise(F.lit(0).cast("long")))
+    # Keys that are not hot have one pair, number 0.
+    return placed.withColumn("pair", F.explode(F.when(F.col("_a").isNull(), F.array(F.lit(0).cast("long"))).otherwise(met))).select("key", "fp", "own", "pair")
+
+
+def links(distinct: DataFrame, parts: Parts, max_bits: int, block: int = 8192) -> DataFrame:
     """(a, b): enough pairs within max_bits to connect all that are; a < b as signed numbers.
 
-    Keys with more than `block` filed rows are split: rows are dealt into blocks and each pair
-    of blocks is one bucket, so no task holds a whole hot key.
+    No bucket of more than `block` rows, filed and probing together, meets in one task.
     """
-    rows = signatures(distinct, parts)
-    counts = rows.where("own").groupBy("part", "key").count().where(F.col("count") > block)
-    hot = materialise(counts.select("part", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "simhash-hot")
-    if hot.limit(1).count():
-        mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-        rows = rows.join(hot, ["part", "key"], "left").withColumn("_mine", F.coalesce(mine, F.lit(0))).withColumn("_other", other)
-        rows = rows.withColumn("pair", F.least("_mine", "_other").cast("long") * 1_000_000 + F.greatest("_mine", "_other")).drop("_mine", "_other", "blocks")
-    else:
-        rows = rows.withColumn("pair", F.lit(0).cast("long"))
-    dealt = rows.repartition("part", "key", "pair").sortWithinPartitions("part", "key", "pair")
+    dealt = dealt_rows(signatures(distinct, parts), key_loads(distinct, parts), block)
+    dealt = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
+        kept: list[list[np.ndarray]] = []
 
-        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
-            part, key, pair, fp, fp2, own = cols
-            new = np.r_[True, (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])]
-            a, b = _bucket_links([np.cumsum(new), fp.view(np.uint64), fp2.view(np.uint64), own], max_bits, check_bits)
+        def out(parts_: list[list[np.ndarray]]) -> pa.RecordBatch:
+            key, fp, own, pair = (np.concatenate(x) for x in zip(*parts_))
+            new = np.r_[True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])]
+            a, b = _bucket_links(np.cumsum(new), fp.view(np.uint64), own, max_bits)
             a, b = a.view(np.int64), b.view(np.int64)
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
         for rb in batches:
-            cols = [rb.column(rb.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("part", "key", "pair", "fp", "fp2", "own")]
-            if kept is not None:
-                cols = [np.concatenate(x) for x in zip(kept, cols)]
+            if not rb.num_rows:
+                continue
+            cols = [rb.column(rb.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "fp", "own", "pair")]
             last = len(cols[0]) - 1
-            same = (cols[0] == cols[0][last]) & (cols[1] == cols[1][last]) & (cols[2] == cols[2][last])
+            same = (cols[0] == cols[0][last]) & (cols[3] == cols[3][last])
             first = int(np.argmax(same))
-            kept = [c[first:] for c in cols]
-            if first:
-                yield out([c[:first] for c in cols])
-        if kept is not None:
+            if first or (kept and (kept[-1][0][-1], kept[-1][3][-1]) != (cols[0][0], cols[3][0])):
+                yield out([*kept, [c[:first] for c in cols]])
+                kept = []
+            kept.append([c[first:] for c in cols])
+        if kept:
             yield out(kept)
 
-    found = dealt.mapInArrow(verify, "a long, b long")
-    return found.where("a != b").distinct()
-
-
-def shingle_set(text: bytes | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles."""
-    parts = [np.array([xxhash.xxh64_intdigest(x, 42) for x in part], np.uint64) for part in shingles(text, width)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    return dealt.mapInArrow(verify, "a long, b long").where("a != b").distinct()
 
 
 def _gathered(rows: Iterator[tuple], names: list[str], enough: int = 200_000) -> Iterator[pa.RecordBatch]:
@@ -376,7 +433,8 @@ def prefix_links(docs: DataFrame, width: int, least: float, bits: int = 26, text
     """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = (shingle_set(text, width) for b in batches for text in utf8(b.column(0)))
+        codes = _WordCodes()
+        sets = (shingle_set(text, width, codes) for b in batches for text in utf8(b.column(0)))
         yield from _gathered(((x,) for x in sets), ["token"])
 
     source = docs.select(F.col(text_col).alias("text"))
@@ -387,9 +445,9 @@ def prefix_links(docs: DataFrame, width: int, least: float, bits: int = 26, text
     bitmap[words.column("word").to_numpy()] = words.column("held").to_numpy().view(np.uint64)
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def looked_up(b: pa.RecordBatch) -> Iterator[tuple]:
+    def looked_up(b: pa.RecordBatch, codes: dict) -> Iterator[tuple]:
         for text, node in zip(utf8(b.column(0)), b.column(1).to_pylist()):
-            own = shingle_set(text, width)
+            own = shingle_set(text, width, codes)
             slot = own >> np.uint64(64 - bits)
             kept = own[(bitmap.value[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)]
             after = ceil(least * len(own) - 1e-9) - 1  # shingles past the prefix
@@ -397,7 +455,8 @@ def prefix_links(docs: DataFrame, width: int, least: float, bits: int = 26, text
                 yield kept, node, len(own), after
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _gathered((x for b in batches for x in looked_up(b)), ["token", "node", "size", "after"])
+        codes = _WordCodes()
+        yield from _gathered((x for b in batches for x in looked_up(b, codes)), ["token", "node", "size", "after"])
 
     rows = source.withColumn("node", F.xxhash64(F.coalesce("text", F.lit("")))).mapInArrow(emit, "token long, node long, size long, after long")
     rows = rows.join(shared, "token").repartition("node").dropDuplicates(["node", "token"])
@@ -418,26 +477,24 @@ def prefix_links(docs: DataFrame, width: int, least: float, bits: int = 26, text
     return rows.mapInArrow(chain, "a long, b long").distinct()
 
 
-def similar_forest(fp: np.ndarray, fp2: np.ndarray, sets: list[np.ndarray], max_bits: int, check_bits: int, least: float) -> list[tuple[int, int]]:
-    """Edges that join rows linked by fingerprint and by a Jaccard similarity of at least `least`; breadth first, at most one a row."""
+def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Edges that join rows whose sets have a Jaccard similarity of at least `least`; breadth first, at most one a row."""
     size = np.array([len(x) for x in sets])
-    left, edges = np.arange(len(fp)), []
+    left, edges = np.arange(len(sets)), []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = _near(fp, fp2, left, x, max_bits, check_bits)
-            near &= (np.minimum(size[left], size[x]) >= least * np.maximum(size[left], size[x]))
-            at = np.flatnonzero(near)
+            at = np.flatnonzero(np.minimum(size[left], size[x]) >= least * np.maximum(size[left], size[x]))
             if not len(at):
                 continue
             held = left[at]
             joined = np.concatenate([sets[k] for k in held])
             inside = sets[x][np.minimum(np.searchsorted(sets[x], joined), max(0, len(sets[x]) - 1))] == joined if len(sets[x]) else np.zeros(0, bool)
             ends = np.cumsum(size[held])
-            both = np.r_[0, np.cumsum(inside)][ends] - np.r_[0, np.cumsum(inside)][ends - size[held]] if len(joined) else np.zeros(len(held), int)
-            union = size[held] + size[x] - both
-            hit = (both >= least * union)
+            upto = np.r_[0, np.cumsum(inside)]
+            both = upto[ends] - upto[ends - size[held]] if len(joined) else np.zeros(len(held), int)
+            hit = both >= least * (size[held] + size[x] - both)
             edges += [(x, k) for k in held[hit].tolist()]
             queue += held[hit].tolist()
             left = np.delete(left, at[hit])
@@ -456,24 +513,22 @@ def compared_blocks(nodes: DataFrame, block: int = 1024) -> DataFrame:
     return rows.withColumn("pair", F.least("_mine", "_other").cast("long") * 1_000_000 + F.greatest("_mine", "_other")).drop("_mine", "_other", "blocks")
 
 
-def verified_links(texts: DataFrame, width: int, max_bits: int, check_bits: int, least: float) -> DataFrame:
+def verified_links(texts: DataFrame, width: int, least: float) -> DataFrame:
     """(a, b) of nodes: enough similar pairs inside each candidate group to connect all that are.
 
-    texts: (label, pair, node, fp, fp2, text); rows of one label and pair are compared.
+    texts: (label, pair, node, text); rows of one label and pair are compared.
     """
     dealt = texts.repartition("label", "pair").sortWithinPartitions("label", "pair")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, seen = None, [], set()
+        key, held, seen, codes = None, [], set(), _WordCodes()
 
         def out() -> pa.RecordBatch:
-            node = [h[0] for h in held]
-            fp, fp2 = (np.array([h[k] for h in held], np.int64).view(np.uint64) for k in (1, 2))
-            edges = similar_forest(fp, fp2, [h[3] for h in held], max_bits, check_bits, least)
-            return pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in edges], pa.int64()), pa.array([node[j] for _, j in edges], pa.int64())], names=["a", "b"])
+            edges = similar_forest([h[1] for h in held], least)
+            return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i, _ in edges], pa.int64()), pa.array([held[j][0] for _, j in edges], pa.int64())], names=["a", "b"])
 
         for b in batches:
-            for label, pair, node, fp, fp2, text in zip(*(b.column(k).to_pylist() for k in range(5)), utf8(b.column(5))):
+            for label, pair, node, text in zip(*(b.column(k).to_pylist() for k in range(3)), utf8(b.column(3))):
                 if (label, pair) != key:
                     if len(held) > 1:
                         yield out()
@@ -481,80 +536,58 @@ def verified_links(texts: DataFrame, width: int, max_bits: int, check_bits: int,
                 if node in seen:  # a repeated row
                     continue
                 seen.add(node)
-                held.append((node, fp, fp2, shingle_set(text, width)))
+                held.append((node, shingle_set(text, width, codes)))
         if len(held) > 1:
             yield out()
 
     return dealt.mapInArrow(verify, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, max_bits: int = 14, check_bits: int = 16, min_similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (hex), component_id (smallest doc_id reachable).
 
-    Rows link where their fingerprints differ in max_bits or fewer bits; unless check_bits is
-    negative, where a second fingerprint of independent hashes differs in check_bits or fewer
-    and both differ in at most (max_bits + check_bits) / 128 of the bits they have set; and,
-    unless min_similarity is None, where the Jaccard similarity of their shingle sets is at
-    least that. Equal texts always link. Null and wordless texts share fingerprint zero and link
-    like others (as sets they are equal). Null ids count only where a component has no other:
-    its component_id is then null. An empty table gives no rows.
+    Rows link where their fingerprints differ in max_bits or fewer bits; equal texts always do.
+    Null and wordless texts share fingerprint zero and link like others. Null ids count only
+    where a component has no other: its component_id is then null. An empty table gives no rows.
     """
-    check = check_bits >= 0
-    rows = materialise(fingerprints(docs, width, check, id_col, text_col), "simhash-fp")
-    reps = materialise(rows.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep")), "simhash-reps")
+    rows = materialise(fingerprints(docs, width, False, id_col, text_col).drop("node"), "simhash-fp")
+    reps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     if not reps.limit(1).count():
         return rows.select("doc_id", F.lit("").alias("fingerprint"), F.col("doc_id").alias("component_id"))
-    edges = materialise(links(reps, choose_parts(reps, max_bits), max_bits, check_bits), "simhash-links")
+    edges = materialise(links(reps, choose_parts(reps, max_bits), max_bits), "simhash-links")
     labels = components(edges, local_edges=0)
-    least = reps.groupBy("fp").agg(F.min("rep").alias("rep"))
-    named = least.join(labels, least["fp"] == labels["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
-    named = materialise(named, "simhash-labels")
-    if min_similarity is None:
-        smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-        ids = materialise(named.join(smallest, "label").select("fp", "component_id"), "simhash-ids")
-        return rows.join(ids, "fp").select("doc_id", hexed, "component_id")
-
-    # Candidate groups are split by the exact similarity of their texts; a node is a distinct text.
-    nodes = rows.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("rep"))
-    grouped = materialise(nodes.join(named.select("fp", "label"), "fp"), "simhash-nodes")
-    wanted = compared_blocks(grouped).select("label", "pair", "node", "fp", "fp2", "rep")
-    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    texts = wanted.join(source, F.col("rep").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node"))).select("label", "pair", "node", "fp", "fp2", "text")
-    joined = materialise(verified_links(texts, width, max_bits, check_bits, min_similarity), "simhash-verified")
-    final = components(joined, local_edges=0)
-    placed = grouped.join(final.withColumnRenamed("label", "group"), "node", "left").select("node", "rep", F.coalesce("group", "node").alias("group"))
-    smallest = placed.groupBy("group").agg(F.min("rep").alias("component_id"))
-    ids = materialise(placed.join(smallest, "group").select("node", "component_id"), "simhash-ids")
-    return rows.join(ids, "node").select("doc_id", hexed, "component_id")
+    named = materialise(reps.join(labels, reps["fp"] == labels["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label")), "simhash-labels")
+    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    ids = materialise(named.join(smallest, "label").select("fp", "component_id"), "simhash-ids")
+    return rows.join(ids, "fp").select("doc_id", hexed, "component_id")
 
 
-def similar_documents(docs: DataFrame, width: int, least: float, max_bits: int = 14, check_bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Like near_duplicates, but rows link where the Jaccard similarity of their shingle sets is `least` or more.
+def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Like near_duplicates, but rows link where the Jaccard similarity of their sets of shingles is `least` or more.
 
-    Fingerprints within max_bits and check_bits are candidates beside the exact ones of
-    prefix_links and rule nothing out.
+    Fingerprints are of distinct shingles, so lines that one copy repeats do not part them. Pairs
+    within max_bits are candidates beside the exact ones of prefix_links, and the exact
+    similarity alone decides. Null and wordless texts have equal, empty sets and link.
     """
-    rows = materialise(fingerprints(docs, width, check_bits >= 0, id_col, text_col), "simhash-fp")
-    reps = materialise(rows.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep")), "simhash-reps")
+    rows = materialise(fingerprints(docs, width, True, id_col, text_col), "simhash-fp")
+    # A node is a distinct text; those of one fingerprint are linked to its smallest.
+    nodes = materialise(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    if not reps.limit(1).count():
+    if not nodes.limit(1).count():
         return rows.select("doc_id", F.lit("").alias("fingerprint"), F.col("doc_id").alias("component_id"))
-    edges = links(reps, choose_parts(reps, max_bits), max_bits, check_bits)
-    # A node is a distinct text; those of one fingerprint are linked to its smallest.
-    nodes = materialise(rows.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")), "simhash-first")
+    edges = links(first, choose_parts(first, max_bits), max_bits)
     same = nodes.join(first, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     x, y = first.select(F.col("fp").alias("a"), F.col("first").alias("_a")), first.select(F.col("fp").alias("b"), F.col("first").alias("_b"))
     found = edges.join(x, "a").join(y, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     found = materialise(found.unionByName(same).unionByName(prefix_links(docs, width, least, text_col=text_col)), "simhash-candidates")
     labels = components(found, local_edges=0)
-    grouped = materialise(nodes.join(labels, "node", "left").select("node", "fp", "fp2", "rep", F.coalesce("label", "node").alias("label")), "simhash-labels")
-    wanted = compared_blocks(grouped).select("label", "pair", "node", "fp", "fp2", "rep")
-    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    texts = wanted.join(source, F.col("rep").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node"))).select("label", "pair", "node", "fp", "fp2", "text")
-    # All bits may differ: the similarity alone decides.
-    joined = materialise(verified_links(texts, width, BITS, -1, least), "simhash-verified")
+    grouped = materialise(nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")), "simhash-labels")
+    wanted = compared_blocks(grouped).select("label", "pair", "node", "rep")
+    source = docs.select(F.col(id_col).cast("long").alias("source_id"), F.col(text_col).alias("text")).withColumn("source_node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = wanted.join(source, F.col("rep").eqNullSafe(F.col("source_id")) & (F.col("node") == F.col("source_node"))).select("label", "pair", "node", "text")
+    joined = materialise(verified_links(texts, width, least), "simhash-verified")
     final = components(joined, local_edges=0)
     placed = grouped.join(final.withColumnRenamed("label", "group"), "node", "left").select("node", "rep", F.coalesce("group", "node").alias("group"))
     smallest = placed.groupBy("group").agg(F.min("rep").alias("component_id"))
