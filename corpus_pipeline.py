@@ -45,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Five-word shingles, Jaccard similarity of 0.8 or more, all pairs that similar: fingerprints at
     14 of 64 bits and an exact prefix filter find the candidates (see the README). Rows that share the smallest id of their component all stay.
     """
-    found = simhash.similar_documents(docs, width=5, least=0.8, max_bits=14, check_bits=16)
+    found = simhash.similar_documents(docs, width=5, least=0.8, max_bits=14)
     return _only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
 
 
