@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.llm import chat, queries, warc
 
@@ -159,8 +160,49 @@ def test_pipeline_stages_against_brute_force(spark, sf):
     assert sorted(r["doc_id"] for r in near.collect()) == sorted({find(i) for i in ids})
     mixed = cp.mix(spark, near, sf)
     assert mixed.columns == docs.columns
-    packed = cp.pack(spark, mixed.cache(), sf)
-    assert packed.agg({"n_words": "sum"}).first()[0] == sum(len(r["text"].split()) for r in mixed.collect())
+    packed = cp.pack(spark, mixed.cache(), sf).collect()
+    assert sum(r["n_words"] for r in packed) == sum(len(r["text"].split()) for r in mixed.collect())
+
+
+def test_pipeline_end_rebuilds_every_document(spark, sf):
+    """Words of the mixed documents are found, in order, in the packed sequences; scratch folders go."""
+    import corpus_pipeline as cp
+    from tideline import storage
+    from tideline.llm import packing
+
+    before = set(storage._LIVE)
+    packed = cp.run(spark, sf).collect()
+    assert len(set(storage._LIVE) - before) == 1  # the result alone
+    for r in packed:
+        words = r["text"].split(" ") if r["n_words"] else []
+        assert len(words) == r["n_words"] == sum(r["lengths"]) <= 2048 and (r["bin_id"] is None) == (r["n_words"] == 0)
+        assert r["starts"] == [sum(r["lengths"][:k]) for k in range(len(r["lengths"]))]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(150).unionByName(spark.createDataFrame([(None, None, None, None, None), (-1, " ", "en", "a", 1), (-2, "w " * 5000, "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long"))
+    docs = docs.withColumn("bin_id", F.lit("x")).withColumn("row", F.lit(1)).cache()
+    pieces: dict = {}
+    for r in packing.packed_sequences(docs, capacity=300, group_rows=40, max_per_source=3).collect():
+        words = r["text"].split(" ")
+        assert max((r["sources"].count(x) for x in r["sources"]), default=0) <= 3
+        for i, p, s, n in zip(r["doc_ids"], r["pieces"], r["starts"], r["lengths"]):
+            assert (i, p) not in pieces
+            pieces[i, p] = words[s : s + n]
+    for r in docs.collect():
+        mine = [pieces[r["doc_id"], p] for p in range(sum(i == r["doc_id"] for i, _ in pieces))]
+        assert [w.encode() for part in mine for w in part] == (r["text"] or "").encode().split()
+
+
+def test_pipeline_stages_with_clashing_columns(spark, sf):
+    import corpus_pipeline as cp
+
+    names = ["_id", "_hash", "_hash0", "_spans", "row", "id", "hash", "digest", "hit", "keep_id", "node", "label", "n", "start", "spans", "size", "source_no", "text_hash", "bytes", "key", "_maybe", "score"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(docs.limit(20)).withColumns({c: F.lit(f"{k}") for k, c in enumerate(names)})
+    out = docs
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, out, sf).cache()
+        assert out.columns == docs.columns and out.count() > 0
+        assert {tuple(r[c] for c in names) for r in out.select(*names).distinct().collect()} == {tuple(str(k) for k in range(len(names)))}
+    assert cp.pack(spark, out, sf).count() > 0
 
 
 def test_pipeline_on_odd_rows(spark, sf):

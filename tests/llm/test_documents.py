@@ -75,19 +75,54 @@ def test_exact_dedup_index_grows(spark, docs):
     index = lsm_dedup.DigestIndex(spark, "smallest", 16)
     index.insert(keyed)
     level = {bytes(r["digest"]): r["keep_id"] for r in index.compact().collect()}
-    for limit in (64 << 20, 0):
-        index.filter_broadcast_bytes = limit
+    for limit in (64 << 20, 16):
+        index.filter_bytes = limit
         for r in index.probe(more).collect():
             assert r["keep_id"] == level.get(bytes(r["digest"]))
     index.insert(more)
     assert index.compact().count() == len({lower(r[1]) for r in rows() if r[0] is not None})
 
 
+def test_hits_come_through_the_filters(spark, docs, monkeypatch):
+    keyed = lsm_dedup.text_digests(docs).withColumnRenamed("sha", "digest").cache()
+    groups = Counter(lower(r[1]) for r in rows())
+    for keep, most in (("smallest", 64 << 20), ("largest", 8)):
+        index = lsm_dedup.DigestIndex(spark, keep, 16, most)
+        index.insert(keyed)
+        hits = index.may_repeat(keyed).where("hit").count()
+        repeated = sum(n for n in groups.values() if n > 1)
+        assert repeated <= hits and (most < 100 or hits < repeated + 5)
+        level = index.compact().collect()
+        assert len(level) == len(groups) and {r["copies"] for r in level} == set(groups.values())
+    monkeypatch.setattr(lsm_dedup.DigestIndex, "hit_filters", lambda self: ([], []))
+    assert lsm_dedup.exact_dedup(docs).where("kept").count() == len(rows())  # filters that hold nothing: every row is unique
+
+
+def test_unique_rows(spark, docs, empty):
+    for keep, pick in (("smallest", min), ("largest", max)):
+        want: dict[str, list] = {}
+        for r in rows():
+            want.setdefault(lower(r[1]), []).append(r[0])
+        got = lsm_dedup.unique_rows(docs, keep=keep, memtable_rows=10)
+        assert got.columns == docs.columns
+        assert Counter((r["doc_id"], lower(r["text"])) for r in got.collect()) == Counter((pick([i for i in ids if i is not None], default=None), t) for t, ids in want.items())
+    assert lsm_dedup.unique_rows(empty).count() == 0
+
+
+def test_unique_rows_with_colliding_digests(spark, monkeypatch):
+    bad = spark.createDataFrame([(bytearray(hashlib.sha256(b"same").digest()),)], "digest binary")
+    monkeypatch.setattr(lsm_dedup, "verified_collisions", lambda *a: bad)
+    df = spark.createDataFrame([(1, "same"), (2, "SAME"), (3, "other"), (3, "other"), (4, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"] or "") for r in lsm_dedup.unique_rows(df, keep="largest").collect()) == [(2, "SAME"), (3, "other"), (4, "")]
+
+
 def test_bloom_filter_has_no_false_negative():
     digests = [hashlib.sha256(str(k).encode()).digest() for k in range(500)]
     bits = lsm_dedup.filter_bits(digests)
     assert lsm_dedup.may_contain(bits, digests).all()
     assert lsm_dedup.may_contain(bits, [hashlib.sha256(b"n%d" % k).digest() for k in range(2000)]).mean() < 0.05
+    small = lsm_dedup.within([bits, bits], 300)
+    assert sum(map(len, small)) <= 300 and all(lsm_dedup.may_contain(f, digests).all() for f in small)
 
 
 def brute_fingerprint(text: str | None, width: int) -> int:

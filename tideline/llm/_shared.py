@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialise, scratch_path  # noqa: F401
+from ..storage import materialise, remove, scratch, scratch_path  # noqa: F401
 
 #: The white space that separates words, as a Java and RE2 pattern of one word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +19,7 @@ def n_words(text: str | Column) -> Column:
 
 
 def bucket_of(*keys: str, buckets: int) -> Column:
+    """Hash bucket of a row's keys; nulls hash like values, equal rows share a bucket."""
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 

@@ -223,22 +223,22 @@ def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col:
     """
     columns = docs.columns
     drawn = mix.spans.groupBy("source_no", "row_no", "round", "doc_id", "text_hash").agg(
-        F.sort_array(F.collect_list(F.struct("start", "n"))).alias("_spans"), F.sum("n").alias("_n")
+        F.sort_array(F.collect_list(F.struct("start", "n"))).alias("spans"), F.sum("n").alias("n")
     )
     drawn = drawn.join(mix.documents.select("source_no", "row_no", "size"), ["source_no", "row_no"])
-    drawn = drawn.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.when(F.col("_n") < F.col("size"), F.col("_spans")).alias("_spans"))
-    keyed = docs.withColumn("_hash0", F.xxhash64(text_col))
+    drawn = drawn.select("doc_id", "text_hash", F.when(F.col("n") < F.col("size"), F.col("spans")).alias("spans"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     if mix.documents.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
-        keyed = keyed.dropDuplicates([id_col, "_hash0"])
+        keyed = keyed.dropDuplicates(["id", "hash"])
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else _cut(t, [x["start"] for x in s], [x["n"] for x in s]) for t, s in zip(text, spans)])
 
-    joined = keyed.join(drawn, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash0") == F.col("_hash")))
-    whole = F.col("_spans").isNull()
-    text = F.when(whole, F.col(text_col)).otherwise(cut(F.when(~whole, F.col(text_col)), F.col("_spans")))
-    out = joined.withColumn(text_col, text)
-    if length_col in columns:
-        out = out.withColumn(length_col, F.length(text_col).cast("long"))
-    return out.select(*columns)
+    joined = keyed.join(drawn, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")))
+    whole = F.col("spans").isNull()
+    put = F.when(whole, F.col("text")).otherwise(cut(F.when(~whole, F.col("text")), F.col("spans")))
+    out = joined.select("row", put.alias("text"))
+    own = lambda c: F.col(f"row.`{c}`")
+    length = F.length("text").cast("long")
+    return out.select(*[F.col("text").alias(c) if c == text_col else length.alias(c) if c == length_col else own(c).alias(c) for c in columns])

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bucket_of, running_offsets
+from ._shared import bucket_of, materialise, running_offsets
 
 #: The multiplier of the generator that the jump hash is defined with.
 JUMP_MULTIPLIER = 2862933555777941757
@@ -32,6 +32,7 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def jump_shard(key: Column, shards: int) -> Column:
+    """The shard of each 64-bit key, from 0; keys must not be null (hash them first)."""
     @F.pandas_udf("int")
     def shard(k: pd.Series) -> pd.Series:
         return pd.Series(jump_hash(k.to_numpy().view(np.uint64), shards).astype(np.int32))
@@ -51,7 +52,7 @@ def shard_rows(df: DataFrame, key: list[str], shards: int, text_col: str = "text
     small = df.select(*key, (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + overhead).alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("text_crc32"))
     hashed = small.withColumn("_key", F.xxhash64(*key))
     placed = hashed.withColumn("shard", jump_shard(F.col("_key"), shards)).withColumn("grown_shard", jump_shard(F.col("_key"), shards + 1))
-    placed = placed.withColumn("_bucket", bucket_of("_key", buckets=buckets))
+    placed = materialise(placed.withColumn("_bucket", bucket_of("_key", buckets=buckets)), "shard-keys")  # read twice below
     order = [F.col("_key"), *[F.col(k) for k in key], F.col("size"), F.col("text_crc32")]
     slotted = running_offsets(placed, "shard", "_bucket", order, F.lit(1), "slot")
     return slotted.select(*key, "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

@@ -564,7 +564,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col:
 
 
 def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Like near_duplicates, but rows link where the Jaccard similarity of their sets of shingles is `least` or more.
+    """Like near_duplicates, with text_hash, but rows link where the Jaccard similarity of their sets of shingles is `least` or more.
 
     Fingerprints are of distinct shingles, so lines that one copy repeats do not part them. Pairs
     within max_bits are candidates beside the exact ones of prefix_links, and the exact
@@ -575,7 +575,7 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, max_b
     nodes = materialise(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     if not nodes.limit(1).count():
-        return rows.select("doc_id", F.lit("").alias("fingerprint"), F.col("doc_id").alias("component_id"))
+        return rows.select("doc_id", F.lit("").alias("fingerprint"), F.col("doc_id").alias("component_id"), F.col("node").alias("text_hash"))
     first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")), "simhash-first")
     edges = links(first, choose_parts(first, max_bits), max_bits)
     same = nodes.join(first, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
@@ -592,4 +592,15 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, max_b
     placed = grouped.join(final.withColumnRenamed("label", "group"), "node", "left").select("node", "rep", F.coalesce("group", "node").alias("group"))
     smallest = placed.groupBy("group").agg(F.min("rep").alias("component_id"))
     ids = materialise(placed.join(smallest, "group").select("node", "component_id"), "simhash-ids")
-    return rows.join(ids, "node").select("doc_id", hexed, "component_id")
+    return rows.join(ids, "node").select("doc_id", hexed, "component_id", F.col("node").alias("text_hash"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, of the smallest id of each component of similar_documents.
+
+    Rows that repeat id and text all stay. Columns of docs may have any names.
+    """
+    found = similar_documents(docs, width, least, max_bits, id_col, text_col)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct()
+    held = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("hash"))
+    return held.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_semi").select("row.*")
