@@ -1,22 +1,15 @@
 """A corpus from raw documents: quality, exact copies, near copies, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return
-the columns of documents.
+the columns of documents, which may have any names beside doc_id, text and source.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tideline.llm import lsm_dedup, mixing, nbsvm, packing, simhash
-from tideline.llm._shared import materialise
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids (unique; null included)."""
-    named = ids.select(F.col("doc_id").alias("_id"))
-    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+from tideline.llm._shared import remove, scratch, scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,26 +20,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, that of the largest doc_id."""
-    found = lsm_dedup.exact_dedup(docs, keep="largest").where("kept").select("doc_id", "text_sha256")
-    found = materialise(found, "pipeline-kept")
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not repeated and docs.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
-        return _only(docs, found)
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    keyed = docs.withColumn("_sha", F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, upper.lower()), 256))
-    named = found.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha0"))
-    kept = keyed.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_sha0")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    return lsm_dedup.unique_rows(docs, keep="largest")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each component of near copies.
 
     Five-word shingles, Jaccard similarity of 0.8 or more, all pairs that similar: fingerprints at
-    14 of 64 bits and an exact prefix filter find the candidates (see the README). Rows that share the smallest id of their component all stay.
+    14 of 64 bits and an exact prefix filter find the candidates (see the README).
     """
-    found = simhash.similar_documents(docs, width=5, least=0.8, max_bits=14)
-    return _only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+    return simhash.one_of_each(docs, width=5, least=0.8, max_bits=14)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents with their bins."""
-    return packing.pack(docs)
+    """Packed sequences of the mixed documents: a row per bin with its text and what it holds."""
+    return packing.packed_sequences(docs)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("simhash", near_dedup), ("mix", mix), ("pack", pack)]
@@ -66,8 +49,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to documents; each result is written and read again, and what led to it is removed."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as kept:
+            out = stage(spark, docs, sf_dir)
+            path = scratch_path(spark, f"pipeline-{name}")
+            kept.append(path)
+            out.write.parquet(path)
+        if before:
+            remove(spark, [before])
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return docs
