@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
 from ._shared import materialise, scratch_path, utf8
 
@@ -310,19 +311,31 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def unique_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", memtable_rows: int = 200_000) -> DataFrame:
     """The rows of docs, with all their columns, that exact_dedup keeps: one of each group of equal texts.
 
-    Rows that miss the hit filters pass as they are; of the others only those of the kept
-    identifiers move, one of each group of repeated rows (any, where other columns differ).
-    Columns of docs may have any names. An empty table gives no rows.
+    Rows that miss the hit filters pass as they are. Of the others the kept identifiers and
+    digests are settled first, on digests alone; rows meet them by identifier and digest, so
+    copies of one text are spread, and one of each group of repeated rows stays (any, where
+    other columns differ). Columns of docs may have any names. An empty table gives no rows.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    _, index, bad = _indexed(source, keep, 32, memtable_rows)
-    held = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(_bytes(text_col), 256)).alias("digest"))
-    flagged = index.may_repeat(held)
-    repeated = index.compact().where("copies > 1").select("digest", "keep_id").join(bad, "digest", "left_anti")
+    rows, index, bad = _indexed(source, keep, 32, memtable_rows)
+    repeated = index.compact().where("copies > 1").select("digest", F.col("keep_id").alias("id"))
+    alone = index.may_repeat(rows).where("hit").join(repeated, "digest", "left_anti").select("digest", F.col("doc_id").alias("id"))
+    kept = materialise(repeated.unionByName(alone).join(bad, "digest", "left_anti"), "lsm-kept")
+    held = docs.sparkSession.sparkContext.broadcast(index.hit_filters())
+    names = ["row", "id", "digest", "hit"]
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests = [hashlib.sha256(normalise(x)).digest() for x in utf8(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(in_ranges(*held.value, digests))], names=names)
+
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    schema = StructType([whole.schema["row"], whole.schema["id"], StructField("digest", BinaryType()), StructField("hit", BooleanType())])
+    flagged = whole.mapInArrow(flag, schema)
     hits = flagged.where("hit").drop("hit")
-    single = hits.join(repeated, "digest", "left_anti").join(bad, "digest", "left_anti")
-    kept = hits.join(repeated, "digest").where(F.col("id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"])
-    out = flagged.where("not hit").select("row").unionByName(single.select("row")).unionByName(kept.select("row"))
+    k = kept.select(F.col("digest").alias("kept_digest"), F.col("id").alias("kept_id"))
+    found = hits.join(k, (F.col("digest") == F.col("kept_digest")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["digest"])
+    out = flagged.where("not hit").select("row").unionByName(found.select("row"))
     if bad.limit(1).count():
         differ = hits.join(bad, "digest", "left_semi").withColumn("bytes", _bytes(f"row.`{text_col}`"))
         best = F.min("id") if keep == "smallest" else F.max("id")
