@@ -99,27 +99,41 @@ def shingle_set(text: bytes | None, width: int, codes: dict | None = None) -> np
     return np.unique(h)
 
 
-def set_fingerprint(hashes: np.ndarray) -> int:
-    """Majority bits of a set of shingle hashes: repeated lines count once."""
+def _majority(hashes: np.ndarray) -> int:
     return _packed(sum((_ones(hashes[k : k + 65536]) for k in range(0, len(hashes), 65536)), np.zeros(BITS, np.int64)) * 2 > len(hashes))
 
 
+def set_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """Majority bits of a set of shingle hashes, 128 in two words: repeated lines count once."""
+    return _majority(hashes), _majority(_mix64(hashes ^ np.uint64(0x9E3779B97F4A7C15)))
+
+
 def _signed(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
 
-def fingerprints(docs: DataFrame, width: int, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, node) per row; node is the hash of the text. Null and wordless texts have fingerprint zero."""
+def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp) per row. Null and wordless texts have fingerprint zero."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _signed([fingerprint(x, width) for x in utf8(b.column(1))])], names=["doc_id", "fp"])
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(scan, "doc_id long, fp long")
+
+
+def set_fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, fp2, size, node) per row; size counts distinct shingles, node is the hash of the text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _WordCodes()
         for b in batches:
-            texts = utf8(b.column(1))
-            fp = [set_fingerprint(shingle_set(x, width, codes)) for x in texts] if distinct else [fingerprint(x, width) for x in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), _signed(fp), b.column(2)], names=["doc_id", "fp", "node"])
+            sets = [shingle_set(x, width, codes) for x in utf8(b.column(1))]
+            fp = [set_fingerprint(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), _signed([f[0] for f in fp]), _signed([f[1] for f in fp]), pa.array([len(x) for x in sets], pa.int32()), b.column(2)], names=["doc_id", "fp", "fp2", "size", "node"])
 
     node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col), node).mapInArrow(scan, "doc_id long, fp long, node long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col), node).mapInArrow(scan, "doc_id long, fp long, fp2 long, size int, node long")
 
 
 @dataclass(frozen=True)
@@ -251,26 +265,27 @@ def _key_of(part: int, key: np.ndarray) -> np.ndarray:
     return (key | np.uint64(part) << np.uint64(32)).view(np.int64)
 
 
-def signatures(distinct: DataFrame, parts: Parts) -> DataFrame:
-    """(key, fp, own): each fingerprint under its own key of each part and, own = false, under those it probes."""
+def signatures(rows: DataFrame, parts: Parts) -> DataFrame:
+    """rows (fp first) with key and own: each fingerprint under its own key of each part and, own = false, under those it probes."""
     flips = [_flips(b, t) if t > 0 else np.zeros(0, np.uint64) for b, t in zip(parts.bits, parts.thresholds)]
+    names = [*rows.columns, "key", "own"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             step = max(1, 400_000 // max(1, sum(len(f) + 1 for f in flips)))
-            for at in range(0, whole.num_rows, step):
-                fp = whole.column(0).slice(at, step).to_numpy().view(np.uint64)
+            for b in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
+                fp = b.column(0).to_numpy().view(np.uint64)
                 for part, (bits, t) in enumerate(zip(parts.bits, parts.thresholds)):
                     if t < 0:
                         continue
                     own = part_keys(fp, bits)
                     key = np.concatenate([own, (own[:, None] ^ flips[part][None, :]).ravel()])
-                    who = np.concatenate([fp, np.repeat(fp, len(flips[part]))]).view(np.int64)
-                    flag = np.zeros(len(key), bool)
-                    flag[: len(own)] = True
-                    yield pa.RecordBatch.from_arrays([pa.array(_key_of(part, key)), pa.array(who), pa.array(flag)], names=["key", "fp", "own"])
+                    held = [c.to_numpy() for c in b.columns]
+                    held = [pa.array(np.concatenate([c, np.repeat(c, len(flips[part]))])) for c in held]
+                    yield pa.RecordBatch.from_arrays([*held, pa.array(_key_of(part, key)), pa.array(np.arange(len(key)) < len(own))], names=names)
 
-    return distinct.select("fp").mapInArrow(emit, "key long, fp long, own boolean")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(emit, f"{schema}, key long, own boolean")
 
 
 def key_loads(distinct: DataFrame, parts: Parts) -> DataFrame:
@@ -301,22 +316,45 @@ def key_loads(distinct: DataFrame, parts: Parts) -> DataFrame:
     return own.mapInArrow(spread, "key long, own long, probes long").groupBy("key").agg(F.sum("own").alias("own"), F.sum("probes").alias("probes")).where("own > 0")
 
 
-def _forest(fp: np.ndarray, own: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+@dataclass(frozen=True)
+class Link:
+    """When two rows of a bucket link. Rows have fp and, for the other two conditions, fp2 and size."""
+
+    max_bits: int
+    all_bits: int | None = None  # of both words
+    least: float | None = None  # of the smaller size against the larger
+
+    @property
+    def columns(self) -> list[str]:
+        return ["fp", *(["fp2"] if self.all_bits is not None else []), *(["size"] if self.least is not None else [])]
+
+    def near(self, c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
+        d = np.bitwise_count(c["fp"][i] ^ c["fp"][j]).astype(np.int64)
+        ok = d <= self.max_bits
+        if self.all_bits is not None:
+            ok &= d + np.bitwise_count(c["fp2"][i] ^ c["fp2"][j]) <= self.all_bits
+        if self.least is not None:
+            n, m = c["size"][i], c["size"][j]
+            ok &= np.minimum(n, m) >= self.least * np.maximum(n, m) - 1e-9
+        return ok
+
+
+def _forest(c: dict[str, np.ndarray], rows: np.ndarray, own: np.ndarray, link: Link) -> list[tuple[int, int]]:
     """Edges that join what is linked in one bucket, at most one per row.
 
     Breadth first: a row is compared only with rows not reached yet, so a dense group costs
     about one comparison a row. Probes are not compared with probes.
     """
     edges = []
-    left = np.arange(len(fp))
-    for root in np.flatnonzero(own):
+    left = rows
+    for root in rows[own[rows]]:
         if not (left == root).any():
             continue
         left = left[left != root]
         queue = [root]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(fp[left] ^ fp[x]) <= max_bits
+            near = link.near(c, left, x)
             if not own[x]:
                 near &= own[left]
             hit = left[near]
@@ -326,33 +364,24 @@ def _forest(fp: np.ndarray, own: np.ndarray, max_bits: int) -> list[tuple[int, i
     return edges
 
 
-def _bucket_links(bucket: np.ndarray, fp: np.ndarray, own: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of fingerprints among rows sorted by bucket."""
-    a, b = [], []
+def _bucket_links(bucket: np.ndarray, c: dict[str, np.ndarray], own: np.ndarray, link: Link) -> np.ndarray:
+    """Linked pairs of row numbers, 2 x n, among rows sorted by bucket."""
+    found = [np.zeros((2, 0), np.int64)]
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     sizes = np.diff(np.r_[starts, len(bucket)])
     small = np.repeat(sizes <= 8, sizes)
-    for shift in range(1, 8):
-        if len(fp) <= shift:
-            break
+    for shift in range(1, min(8, len(bucket))):
         k = np.flatnonzero((bucket[shift:] == bucket[:-shift]) & small[shift:] & (own[shift:] | own[:-shift]))
-        k = k[np.bitwise_count(fp[k] ^ fp[k + shift]) <= max_bits]
-        a.append(fp[k])
-        b.append(fp[k + shift])
+        k = k[link.near(c, k, k + shift)]
+        found.append(np.stack([k, k + shift]))
     for s, n in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist()):
-        cut = slice(s, s + n)
-        if own[cut].any():
-            found = _forest(fp[cut], own[cut], max_bits)
-            if found:
-                e = np.array(found) + s
-                a.append(fp[e[:, 0]])
-                b.append(fp[e[:, 1]])
-    empty = np.zeros(0, np.uint64)
-    return np.concatenate([empty, *a]), np.concatenate([empty, *b])
+        if own[s : s + n].any():
+            found.append(np.array(_forest(c, np.arange(s, s + n), own, link), np.int64).reshape(-1, 2).T)
+    return np.concatenate(found, axis=1)
 
 
-def dealt_rows(rows: DataFrame, loads: DataFrame, block: int) -> DataFrame:
-    """Rows with the `pair` of blocks that they are compared in.
+def dealt_rows(rows: DataFrame, loads: DataFrame, block: int, by: str = "fp") -> DataFrame:
+    """Rows with the `pair` of blocks that they are compared in; blocks are dealt by the hash of `by`.
 
     Under a key of more than `block` rows, filed and probing ones are dealt into blocks apart.
     Filed blocks meet each other and every probing block; probes never meet probes.
@@ -362,51 +391,60 @@ def dealt_rows(rows: DataFrame, loads: DataFrame, block: int) -> DataFrame:
     if not hot.limit(1).count():
         return rows.withColumn("pair", F.lit(0).cast("long"))
     a, b, wide = F.coalesce("_a", F.lit(1)), F.coalesce("_b", F.lit(0)), F.lit(1 << 31)
-    mine = F.pmod(F.xxhash64("fp"), F.when(F.col("own"), a).otherwise(F.greatest(b, F.lit(1)))).cast("long")
+    mine = F.pmod(F.xxhash64(by), F.when(F.col("own"), a).otherwise(F.greatest(b, F.lit(1)))).cast("long")
     filed = F.transform(F.sequence(F.lit(0), a - 1), lambda o: F.least("_mine", o) * wide + F.greatest("_mine", o))
     probed = F.transform(F.sequence(F.lit(1), b), lambda o: F.col("_mine") * wide + a + o - 1)
     met = F.when(F.col("own"), F.concat(filed, F.when(b > 0, probed).otherwise(F.array().cast("array<bigint>")))).otherwise(F.transform(F.sequence(F.lit(0), a - 1), lambda o: o * wide + a + F.col("_mine")))
     placed = rows.join(hot, "key", "left").withColumn("_mine", F.when(F.col("_a").isNotNull(), mine).otherwise(F.lit(0).cast("long")))
     # Keys that are not hot have one pair, number 0.
-    return placed.withColumn("pair", F.explode(F.when(F.col("_a").isNull(), F.array(F.lit(0).cast("long"))).otherwise(met))).select("key", "fp", "own", "pair")
+    return placed.withColumn("pair", F.explode(F.when(F.col("_a").isNull(), F.array(F.lit(0).cast("long"))).otherwise(met))).select(*rows.columns, "pair")
 
 
-def links(distinct: DataFrame, parts: Parts, max_bits: int, block: int = 8192) -> DataFrame:
-    """(a, b): enough pairs within max_bits to connect all that are; a < b as signed numbers.
-
-    No bucket of more than `block` rows, filed and probing together, meets in one task.
-    """
-    dealt = dealt_rows(signatures(distinct, parts), key_loads(distinct, parts), block)
-    dealt = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair")
+def linked_in_buckets(dealt: DataFrame, link: Link, name: str) -> DataFrame:
+    """(a, b): enough linked pairs of `name`, a < b, to connect all that link under one key and pair."""
+    columns = ["key", "pair", "own", name, *[c for c in link.columns if c != name]]
+    dealt = dealt.select(*columns).repartition("key", "pair").sortWithinPartitions("key", "pair")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = []
 
-        def out(parts_: list[list[np.ndarray]]) -> pa.RecordBatch:
-            key, fp, own, pair = (np.concatenate(x) for x in zip(*parts_))
-            new = np.r_[True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])]
-            a, b = _bucket_links(np.cumsum(new), fp.view(np.uint64), own, max_bits)
-            a, b = a.view(np.int64), b.view(np.int64)
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+        def out() -> pa.RecordBatch:
+            c = dict(zip(columns, (np.concatenate(x) for x in zip(*kept))))
+            new = np.r_[True, (c["key"][1:] != c["key"][:-1]) | (c["pair"][1:] != c["pair"][:-1])]
+            words = {k: v.view(np.uint64) if k in ("fp", "fp2") else v for k, v in c.items()}
+            a, b = c[name][_bucket_links(np.cumsum(new), words, c["own"], link)]
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
         for rb in batches:
             if not rb.num_rows:
                 continue
-            cols = [rb.column(rb.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "fp", "own", "pair")]
+            cols = [rb.column(k).to_numpy(zero_copy_only=False) for k in range(len(columns))]
             last = len(cols[0]) - 1
-            same = (cols[0] == cols[0][last]) & (cols[3] == cols[3][last])
-            first = int(np.argmax(same))
-            if first or (kept and (kept[-1][0][-1], kept[-1][3][-1]) != (cols[0][0], cols[3][0])):
-                yield out([*kept, [c[:first] for c in cols]])
+            first = int(np.argmax((cols[0] == cols[0][last]) & (cols[1] == cols[1][last])))
+            if kept and (kept[-1][0][-1], kept[-1][1][-1]) != (cols[0][0], cols[1][0]):
+                yield out()
+                kept = []
+            if first:
+                kept.append([c[:first] for c in cols])
+                yield out()
                 kept = []
             kept.append([c[first:] for c in cols])
         if kept:
-            yield out(kept)
+            yield out()
 
     return dealt.mapInArrow(verify, "a long, b long").where("a != b").distinct()
 
 
+def links(rows: DataFrame, parts: Parts, link: Link, name: str = "fp", block: int = 8192) -> DataFrame:
+    """(a, b) of `name`: enough links to connect all fingerprints that have one.
+
+    No bucket of more than `block` rows, filed and probing together, meets in one task.
+    """
+    used = rows.select(*link.columns, *([] if name in link.columns else [name]))
+    return linked_in_buckets(dealt_rows(signatures(used, parts), key_loads(used, parts), block, name), link, name)
+
+
 def _gathered(rows: Iterator[tuple], names: list[str], enough: int = 200_000) -> Iterator[pa.RecordBatch]:
     """Batches of rows of (hashes, number, ...), a row for each hash."""
     rows, held, n = iter(rows), [], 0
@@ -422,59 +460,106 @@ def _gathered(rows: Iterator[tuple], names: list[str], enough: int = 200_000) ->
             held, n = [], 0
 
 
-def prefix_links(docs: DataFrame, width: int, least: float, bits: int = 26, text_col: str = "text") -> DataFrame:
-    """(a, b) of text hashes: chains that connect every two texts whose Jaccard similarity is `least` or more.
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte: exact to 127, then by eighths of a doubling."""
+    n = np.maximum(counts, 1).astype(np.float64)
+    return np.where(counts < 128, counts, np.minimum(255, 128 + 8 * np.log2(n / 128))).astype(np.uint8)
 
-    Two such sets of n and m shingles share one of the first n - ceil(least n) + 1 and
-    m - ceil(least m) + 1 in any common order (prefix filter), here from the rarest. A shingle of
-    one text alone comes first and meets nothing. Under a shingle, texts are chained by the size
-    of their sets; a chain ends where a size is too small for the next. This is exact but for
-    equal hashes: `bits` sizes a bitmap that only spares rows. Wordless texts have no shingle.
+
+def count_of(levels: np.ndarray) -> np.ndarray:
+    x = levels.astype(np.float64)
+    return np.where(levels < 128, x, 128 * 2 ** ((x - 128) / 8)).astype(np.int64)
+
+
+def shingle_levels(source: DataFrame, width: int, bits: int, slice_bits: int = 16) -> np.ndarray:
+    """For each of 2^bits slots of shingle hashes, how many sets' shingles fall into it, over all texts, as a byte.
+
+    A task counts into slots and passes them on in slices, so what is shuffled and what comes to
+    the driver is bounded by the number of slots, not of shingles.
     """
+    slices, each = 1 << (bits - slice_bits), 1 << slice_bits
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _WordCodes()
-        sets = (shingle_set(text, width, codes) for b in batches for text in utf8(b.column(0)))
-        yield from _gathered(((x,) for x in sets), ["token"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, n, codes = np.zeros(1 << bits, np.uint32), [], 0, _WordCodes()
 
+        def add() -> None:
+            slot, times = np.unique(np.concatenate(held) >> np.uint64(64 - bits), return_counts=True)
+            total[slot] += times.astype(np.uint32)
+
+        for b in batches:
+            for text in utf8(b.column(0)):
+                held.append(shingle_set(text, width, codes))
+                n += len(held[-1])
+                if n > 2_000_000:
+                    add()
+                    held, n = [], 0
+        if held:
+            add()
+        for k in range(slices):
+            part = total[k * each : (k + 1) * each]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level_of(part).tobytes()], pa.binary())], names=["slice", "levels"])
+
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(each, np.int64)
+        for b in batches:
+            for x in b.column(1):
+                total += count_of(np.frombuffer(x.as_py(), np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level_of(total).tobytes()], pa.binary())], names=["slice", "levels"])
+
+    found = source.select("text").mapInArrow(count, "slice int, levels binary").groupBy("slice").applyInArrow(merge, "slice int, levels binary")
+    out = np.zeros(1 << bits, np.uint8)
+    for k, levels in found.toLocalIterator():
+        out[k * each : (k + 1) * each] = np.frombuffer(levels, np.uint8)
+    return out
+
+
+def prefix_links(docs: DataFrame, nodes: DataFrame, width: int, least: float, all_bits: int, bits: int = 24, block: int = 8192, text_col: str = "text") -> DataFrame:
+    """(a, b) of nodes: enough pairs to connect every two texts whose Jaccard similarity is `least` or more.
+
+    Two such sets of n and m shingles share one of the first n - ceil(least n) + 1 and
+    m - ceil(least m) + 1 in any common order (prefix filter). The order here is by the level of
+    a shingle's slot, so that common shingles come last, and then by hash; every task has the
+    same levels, whose size is fixed, and cuts its prefixes itself. A shingle alone in its slot
+    meets nothing and is not passed on. What meets under a shingle links where sizes allow the
+    similarity and the 128-bit fingerprints differ in at most all_bits. nodes: (node, fp, fp2,
+    size). Wordless texts have no shingle.
+    """
     source = docs.select(F.col(text_col).alias("text"))
-    shared = materialise(source.mapInArrow(tokens, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "simhash-shared")
-    words = shared.select(F.shiftrightunsigned("token", 64 - bits).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
-    words = words.agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 63 AS INT)))").alias("held")).toArrow()
-    bitmap = np.zeros(1 << (bits - 6), np.uint64)
-    bitmap[words.column("word").to_numpy()] = words.column("held").to_numpy().view(np.uint64)
-    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def looked_up(b: pa.RecordBatch, codes: dict) -> Iterator[tuple]:
-        for text, node in zip(utf8(b.column(0)), b.column(1).to_pylist()):
-            own = shingle_set(text, width, codes)
-            slot = own >> np.uint64(64 - bits)
-            kept = own[(bitmap.value[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)]
-            after = ceil(least * len(own) - 1e-9) - 1  # shingles past the prefix
-            if len(kept) > after:
-                yield kept, node, len(own), after
+    held = docs.sparkSession.sparkContext.broadcast(shingle_levels(source, width, bits))
+
+    def prefix(text: bytes | None, codes: dict) -> np.ndarray:
+        own = shingle_set(text, width, codes)
+        level = held.value[own >> np.uint64(64 - bits)]
+        first = np.argsort(level, kind="stable")[: len(own) - ceil(least * len(own) - 1e-9) + 1]
+        return own[first[level[first] > 1]]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _WordCodes()
-        yield from _gathered((x for b in batches for x in looked_up(b, codes)), ["token", "node", "size", "after"])
+        rows = ((prefix(text, codes), node) for b in batches for text, node in zip(utf8(b.column(0)), b.column(1).to_pylist()))
+        yield from _gathered((r for r in rows if len(r[0])), ["key", "node"])
 
-    rows = source.withColumn("node", F.xxhash64(F.coalesce("text", F.lit("")))).mapInArrow(emit, "token long, node long, size long, after long")
-    rows = rows.join(shared, "token").repartition("node").dropDuplicates(["node", "token"])
-    w = Window.partitionBy("node")
-    rows = rows.withColumn("place", F.row_number().over(w.orderBy("df", "token"))).withColumn("n", F.count(F.lit(1)).over(w))
-    rows = rows.where("place <= n - after").select("token", "size", "node").repartition("token").sortWithinPartitions("token", "size", "node")
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = [np.zeros(0, np.int64)] * 3
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of sorted keys that have several."""
+        last = [np.zeros(0, np.int64)] * 2
         for b in batches:
-            token, size, node = (np.concatenate([x, b.column(k).to_numpy()]) for k, x in enumerate(last))
-            last = [x[-1:] for x in (token, size, node)]
-            near = (token[1:] == token[:-1]) & (size[:-1] >= least * size[1:] - 1e-9) & (node[1:] != node[:-1])
-            x, y = node[:-1][near], node[1:][near]
-            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-
-    return rows.mapInArrow(chain, "a long, b long").distinct()
+            key, node = (np.concatenate([x, b.column(k).to_numpy()]) for k, x in enumerate(last))
+            same = key[1:] == key[:-1]
+            # The last row of a batch waits for the next; the first was passed on if its key came before.
+            meets = np.r_[False, same] | np.r_[same, False]
+            if len(key) and len(last[0]) and sent:
+                meets[0] = False
+            sent = bool(len(key) > 1 and same[-1])
+            upto = len(key) if sent else len(key) - 1
+            last = [x[-1:] for x in (key, node)]
+            keep = np.flatnonzero(meets[:upto])
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
+
+    rows = source.withColumn("node", F.xxhash64(F.coalesce("text", F.lit("")))).mapInArrow(emit, "key long, node long")
+    rows = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared, "key long, node long")
+    rows = materialise(rows.join(nodes.select("node", "fp", "fp2", "size"), "node").withColumn("own", F.lit(True)), "simhash-prefixes")
+    loads = rows.groupBy("key").agg(F.count(F.lit(1)).alias("own")).withColumn("probes", F.lit(0).cast("long"))
+    return linked_in_buckets(dealt_rows(rows, loads, block, "node"), Link(BITS, all_bits, least), "node")
 
 
 def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -550,12 +635,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col:
     Null and wordless texts share fingerprint zero and link like others. Null ids count only
     where a component has no other: its component_id is then null. An empty table gives no rows.
     """
-    rows = materialise(fingerprints(docs, width, False, id_col, text_col).drop("node"), "simhash-fp")
+    rows = materialise(fingerprints(docs, width, id_col, text_col), "simhash-fp")
     reps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     if not reps.limit(1).count():
         return rows.select("doc_id", F.lit("").alias("fingerprint"), F.col("doc_id").alias("component_id"))
-    edges = materialise(links(reps, choose_parts(reps, max_bits), max_bits), "simhash-links")
+    edges = materialise(links(reps, choose_parts(reps, max_bits), Link(max_bits)), "simhash-links")
     labels = components(edges, local_edges=0)
     named = materialise(reps.join(labels, reps["fp"] == labels["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label")), "simhash-labels")
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
@@ -563,25 +648,24 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col:
     return rows.join(ids, "fp").select("doc_id", hexed, "component_id")
 
 
-def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits: int = 14, all_bits: int = 34, prefix_bits: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Like near_duplicates, with text_hash, but rows link where the Jaccard similarity of their sets of shingles is `least` or more.
 
-    Fingerprints are of distinct shingles, so lines that one copy repeats do not part them. Pairs
-    within max_bits are candidates beside the exact ones of prefix_links, and the exact
-    similarity alone decides. Null and wordless texts have equal, empty sets and link.
+    Fingerprints are of distinct shingles, so lines that one copy repeats do not part them, and
+    have 128 bits, so that unrelated texts of a large corpus do not meet by chance. Pairs that
+    differ in max_bits of the first word and in all_bits of both are candidates beside those of
+    prefix_links, of which prefix_bits of 128 lets all but one similar pair in a million pass.
+    The exact similarity alone decides on candidates. Null and wordless texts have equal, empty
+    sets and link.
     """
-    rows = materialise(fingerprints(docs, width, True, id_col, text_col), "simhash-fp")
-    # A node is a distinct text; those of one fingerprint are linked to its smallest.
-    nodes = materialise(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
+    rows = materialise(set_fingerprints(docs, width, id_col, text_col), "simhash-fp")
+    # A node is a distinct text.
+    nodes = materialise(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("size").alias("size"), F.min("doc_id").alias("rep")), "simhash-nodes")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     if not nodes.limit(1).count():
         return rows.select("doc_id", F.lit("").alias("fingerprint"), F.col("doc_id").alias("component_id"), F.col("node").alias("text_hash"))
-    first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")), "simhash-first")
-    edges = links(first, choose_parts(first, max_bits), max_bits)
-    same = nodes.join(first, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    x, y = first.select(F.col("fp").alias("a"), F.col("first").alias("_a")), first.select(F.col("fp").alias("b"), F.col("first").alias("_b"))
-    found = edges.join(x, "a").join(y, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    found = materialise(found.unionByName(same).unionByName(prefix_links(docs, width, least, text_col=text_col)), "simhash-candidates")
+    near = links(nodes, choose_parts(nodes, max_bits), Link(max_bits, all_bits, least), "node")
+    found = materialise(near.unionByName(prefix_links(docs, nodes, width, least, prefix_bits, text_col=text_col)), "simhash-candidates")
     labels = components(found, local_edges=0)
     grouped = materialise(nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")), "simhash-labels")
     wanted = compared_blocks(grouped).select("label", "pair", "node", "rep")
@@ -600,7 +684,7 @@ def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits: i
 
     Rows that repeat id and text all stay. Columns of docs may have any names.
     """
-    found = similar_documents(docs, width, least, max_bits, id_col, text_col)
+    found = similar_documents(docs, width, least, max_bits, id_col=id_col, text_col=text_col)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct()
     held = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("hash"))
     return held.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_semi").select("row.*")
