@@ -47,10 +47,11 @@ def test_archive_round_trip(spark, pages, least):
     assert set(big.values()) <= {1}
 
 
-def test_warc_fields_and_payloads(spark, pages, tmp_path):
+@pytest.mark.parametrize("most_broadcast", [64 << 20, 0])
+def test_warc_fields_and_payloads(spark, pages, tmp_path, most_broadcast):
     arc, out = str(tmp_path / "arc"), str(tmp_path / "warc")
     warc.write_arc(pages, arc, 2000)
-    warc.convert_arc(spark, arc, out, 0, 2000)
+    warc.convert_arc(spark, arc, out, 0, 2000, most_broadcast)
     got = {(r["key"], r["url"]): r for r in warc.read_warc(spark, out).collect()}
     data = [tuple(r) for r in pages.collect()]
     by_id = {r["record_id"]: r for r in got.values()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import random
@@ -475,8 +476,8 @@ def test_quality_rules(docs):
 def test_fertility_against_plain_counts():
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=fertility.VOCABULARY)
-    held = fertility.WordTokens(fertility.VOCABULARY)
+    model = sentencepiece.SentencePieceProcessor(model_file=fertility.VOCABULARIES[0])
+    held = fertility.WordTokens(fertility.VOCABULARIES)
     text = "Une phrase simple, puis 漢字 et encore une phrase \U0001f600 simple".encode()
     w = text.split()
     n, per, share, bits = fertility.fertility(held.numbers([w])[0], 50, held)
@@ -484,7 +485,57 @@ def test_fertility_against_plain_counts():
     c = Counter(ids)
     assert n == len(ids) and per == 50 / n and math.isclose(share, sum(map(model.is_byte, ids)) / n)
     assert math.isclose(bits, -sum(v / n * math.log2(v / n) for v in c.values()))
-    assert fertility.script_of("漢字漢字".encode()) == "other" and fertility.script_of("héllo".encode()) == "latin"
+    import tiktoken
+
+    with open(fertility.VOCABULARIES[1], "rb") as f:
+        ranks = {base64.b64decode(x.split()[0]): int(x.split()[1]) for x in f}
+    coder = tiktoken.Encoding("own", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+    names = {v: k for k, v in ranks.items()}
+    ids = [t for x in w for t in coder.encode_ordinary(" " + x.decode())]
+    c = Counter(ids)
+    n, per, share, bits = fertility.fertility(held.numbers([w])[0], 50, held, 1)
+    broken = sum(v for t, v in c.items() if "\ufffd" in names[t].decode("utf-8", "replace"))
+    assert n == len(ids) and per == 50 / n and math.isclose(share, broken / n)
+    assert math.isclose(bits, -sum(v / n * math.log2(v / n) for v in c.values()))
+
+
+SAMPLES = {
+    "cyrillic": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "greek": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+    "arabic": "يولد جميع الناس أحرارًا متساوين في الكرامة والحقوق وقد وهبوا عقلاً وضميرًا",
+    "hebrew": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם",
+    "indic": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है",
+    "han": "人人生而自由 在尊严和权利上一律平等 他们赋有理性和良心 并应以兄弟关系的精神相对待",
+    "hangul": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다",
+    "thai": "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ",
+    "latin": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience.",
+}
+
+
+def test_scripts_have_bands_of_their_own(spark):
+    for name, text in SAMPLES.items():
+        assert fertility.script_of(text.encode()) == name
+    assert fertility.script_of(b"123 !") == "other" and fertility.script_of("漢字 ab".encode()) == "han"
+    assert fertility.script_of("ab 漢".encode()) == "latin"
+    data = [(k, t, None) for k, t in enumerate(SAMPLES.values())] + [(99, "\ue000\ue001 \u0378\u0379 " * 20 + "абв", "xx"), (98, "ааа " * 60, None)]
+    got = {r["doc_id"]: r["kept"] for r in fertility.quality_rules(spark.createDataFrame(data, "doc_id long, text string, lang string"), min_words=1).collect()}
+    assert all(got[k] for k in range(len(SAMPLES))) and not got[99] and not got[98]
+
+
+def test_verdict_is_base_rules_and_bands(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rejected = 0
+    text = {r["doc_id"]: (r["lang"], r["text"] or "") for r in docs.collect()}
+    for r in fertility.quality_rules(docs).collect():
+        lang, t = text[r["doc_id"]]
+        (a, b, c), (d, e, f) = fertility.BANDS.get(lang) or fertility.BANDS[fertility.script_of(t.encode())]
+        inside = r["chars_per_token"] >= a and r["byte_share"] <= b and r["token_entropy"] >= c and r["chars_per_token_bytes"] >= d and r["fragment_share"] <= e and r["token_entropy_bytes"] >= f
+        assert r["kept"] == (not r["base_failed"] and inside and r["n_tokens"] > 0)
+        rejected += inside is False and not r["base_failed"]
+    assert rejected
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    good = [r for r in fertility.quality_rules(docs).collect() if labels.get(r["doc_id"]) == 1 and not r["base_failed"]]
+    assert good and all(r["kept"] for r in good)
 
 
 def test_repeated_words_with_many_codes():
@@ -511,11 +562,9 @@ def test_token_counts(docs):
     cache: dict[str, tuple[int, int]] = {}
     want = Counter()
     for r in rows():
-        if r[0] in (403, 404):
-            continue
         found = [cache.setdefault(w, None) or cache.__setitem__(w, brute(w)) or cache[w] for w in words(r[1])]
         want[r[0], len(found), sum(f[0] for f in found), sum(f[1] for f in found)] += 1
-    got = trie_tokens.token_counts(docs, most_nodes=200).where("doc_id is null or doc_id not in (403, 404)").collect()
+    got = trie_tokens.token_counts(docs, most_nodes=200).collect()
     assert Counter(map(tuple, got)) == want
 
 
@@ -545,6 +594,46 @@ def test_classifier_learns_and_scores_all(spark, docs):
     assert len(other) == len(rows()) and all(0 <= r["score"] <= 1 for r in other)
 
 
+def test_features_and_ratios_against_plain_counts():
+    text = b"Go go 12\tGo"
+    shape = re.sub(rb"[A-Z]+", b"A", re.sub(rb"[a-z\x80-\xff]+", b"a", re.sub(rb"[0-9]+", b"0", text))).replace(b"\t", b" ")
+    plain = {(n, text[k : k + n]) for n in (1, 2, 3) for k in range(len(text) - n + 1)}
+    runs = {shape[k : k + 4] for k in range(len(shape) - 3)}
+    assert len(nbsvm.features(text)) == len(plain) + len(runs)  # no doubled word, no collision
+    assert len(set(nbsvm.features(text).tolist())) == len(nbsvm.features(text))
+    assert [len(nbsvm.features(t)) for t in (None, b"", b" \n")] == [0, 0, 0]
+    rows_, y = [np.array([1, 5]), np.array([5]), np.array([7])], np.array([1, 1, -1])
+    r = nbsvm.log_count_ratio(rows_, y)
+    p, q = np.ones(nbsvm.DIMS), np.ones(nbsvm.DIMS)
+    p[1], p[5], q[7] = 2, 3, 2
+    assert np.allclose(r, np.log(p / p.sum()) - np.log(q / q.sum()))
+
+
+def test_held_out_accuracy_and_scores(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r["doc_id"]: r for r in nbsvm.classify(docs, labels).collect()}
+    assert len(got) == docs.count() and all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    known = [(got[r["doc_id"]]["score"], r["quality"]) for r in labels.collect() if r["doc_id"] in got and got[r["doc_id"]]["held_out"] and r["quality"] is not None]
+    good, bad = [s for s, q in known if q == 1], [s for s, q in known if q == 0]
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert len(good) > 20 and len(bad) > 5 and auc > 0.95
+    model = nbsvm.train_classifier(docs, labels)
+    for r in docs.limit(50).collect():
+        x = nbsvm.features((r["text"] or "").encode())
+        z = model.slope * (sum(model.weights[k] for k in x.tolist()) / math.sqrt(max(1, len(x))) + model.bias) + model.offset
+        assert math.isclose(got[r["doc_id"]]["score"], 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+        assert got[r["doc_id"]]["predicted"] == (got[r["doc_id"]]["score"] >= 0.3)
+
+
+def test_fit_is_bounded_and_repeats(spark, docs):
+    table = docs.where("doc_id < 100").unionByName(docs.where("doc_id < 100").withColumn("text", F.lit("other words")))
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(100)], "doc_id long, quality int, toxic int")
+    for bound in ({"max_rows": 30}, {"max_bytes": 9000}):
+        a, b = (nbsvm.train_classifier(t, labels, **bound) for t in (table, table.repartition(7, "text")))
+        assert np.array_equal(a.weights, b.weights) and (a.bias, a.slope, a.offset) == (b.bias, b.slope, b.offset)
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
     rng = np.random.default_rng(0)
     x = [np.array(sorted(rng.choice(12, 4, replace=False))) for _ in range(80)]

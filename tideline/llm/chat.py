@@ -19,10 +19,12 @@ RESETS = ("message", "edit", "regenerate")
 
 
 def escape(text: Column) -> Column:
+    """The text with its control strings marked; empty stays empty, null null."""
     return F.regexp_replace(text, CONTROL, r"\\$1$2")
 
 
 def unescape(text: Column) -> Column:
+    """What escape was given."""
     return F.regexp_replace(text, ESCAPED, "$1$2")
 
 
@@ -53,44 +55,50 @@ def render(messages: DataFrame, learn: str = "assistant") -> DataFrame:
     """(conv_id, formatted, loss_mask): one row per conversation.
 
     loss_mask lists (start, length) in code points of formatted, one span for the escaped text
-    of each message of role `learn`, in order. A conversation without messages has no row.
+    of each message of role `learn`, in order. Places are running sums of lengths, so the work
+    is in proportion to the turns. A conversation without messages has no row.
     """
     header = F.concat(F.lit("### "), F.url_encode("role"), F.lit(":\n"))
     turn = messages.select("conv_id", "message_no", (F.col("role") == learn).alias("_learn"), header.alias("_head"), escape(F.col("text")).alias("_body"))
-    turn = turn.select(
-        "conv_id",
-        F.struct(
-            "message_no",
-            F.concat("_head", "_body", F.lit(f"\n{END}\n")).alias("piece"),
-            F.length("_head").alias("skip"),
-            F.length("_body").alias("n"),
-            F.col("_learn").alias("learn"),
-        ).alias("_t"),
-    )
-    held = turn.groupBy("conv_id").agg(F.array_sort(F.collect_list("_t")).alias("_t"))
-    spans = F.aggregate(
-        "_t",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("mask")),
-        lambda a, t: F.struct(
-            (a["at"] + F.length(t["piece"])).cast("long").alias("at"),
-            F.when(t["learn"], F.concat(a["mask"], F.array(F.struct((a["at"] + t["skip"]).cast("long").alias("start"), t["n"].cast("long").alias("length"))))).otherwise(a["mask"]).alias("mask"),
-        ),
-        lambda a: a["mask"],
+    turn = turn.withColumn("_piece", F.concat("_head", "_body", F.lit(f"\n{END}\n")))
+    upto = Window.partitionBy("conv_id").orderBy("message_no").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("_piece")).over(upto), F.lit(0).cast("long"))
+    turn = turn.withColumn("_at", at)
+    span = F.struct((F.col("_at") + F.length("_head")).cast("long").alias("start"), F.length("_body").cast("long").alias("length"))
+    held = turn.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_at").alias("at"), F.col("_piece").alias("piece")))).alias("_t"),
+        F.array_sort(F.collect_list(F.when(F.col("_learn"), span))).alias("loss_mask"),
     )
-    return held.select("conv_id", F.array_join(F.transform("_t", lambda t: t["piece"]), "").alias("formatted"), spans.alias("loss_mask"))
+    return held.select("conv_id", F.array_join(F.transform("_t", lambda t: t["piece"]), "").alias("formatted"), "loss_mask")
 
 
 def parse(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turns, loss_text, formatted_chars), read from the rendered string and its mask alone."""
-    pieces = F.filter(F.split("formatted", r"(?<!\\)</turn>\n", -1), lambda p: p != "")
-    role = lambda p: F.url_decode(F.regexp_extract(p, r"^### ([^\n]*):\n", 1))
-    body = lambda p: unescape(F.regexp_extract(p, r"(?s)^### [^\n]*:\n(.*)\n$", 1))
-    turns = F.transform(pieces, lambda p: F.struct(role(p).alias("role"), body(p).alias("text")))
-    text = F.array_join(F.transform("loss_mask", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
-    return formatted.select("conv_id", turns.alias("turns"), text.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
+    """(conv_id, turns, loss_text, formatted_chars), read from the rendered string and its mask alone.
+
+    Turns are cut at their marks. A masked span is cut from the turn that it starts in, found by
+    one sort of turns and spans by place; so no span walks the whole string.
+    """
+    mark = len(END) + 1
+    rows = formatted.select("conv_id", "loss_mask", F.length("formatted").cast("long").alias("_chars"), F.posexplode(F.filter(F.split("formatted", r"(?<!\\)</turn>\n", -1), lambda p: p != "")).alias("_n", "_piece"))
+    before = Window.partitionBy("conv_id").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_at", F.coalesce(F.sum(F.length("_piece") + mark).over(before), F.lit(0).cast("long")))
+    # A row for each turn and, on the first turn's row, one for each span.
+    spans = F.when(F.col("_n") == 0, F.transform("loss_mask", lambda s: F.struct(s["start"].alias("at"), s["length"].alias("n"), F.lit(None).cast("string").alias("piece"))))
+    none = F.array().cast("array<struct<at:bigint,n:bigint,piece:string>>")
+    turn = F.array(F.struct(F.col("_at").alias("at"), F.lit(None).cast("long").alias("n"), F.col("_piece").alias("piece")))
+    units = rows.select("conv_id", "_chars", F.explode(F.concat(turn, F.coalesce(spans, none))).alias("_u")).select("conv_id", "_chars", "_u.*")
+    held = Window.partitionBy("conv_id").orderBy("at", F.col("n").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    units = units.withColumn("_turn", F.last(F.when(F.col("n").isNull(), F.struct("at", "piece")), ignorenulls=True).over(held))
+    cut = F.substring(F.col("_turn.piece"), (F.col("at") - F.col("_turn.at") + 1).cast("int"), F.col("n").cast("int"))
+    role = F.url_decode(F.regexp_extract("piece", r"^### ([^\n]*):\n", 1))
+    body = unescape(F.regexp_extract("piece", r"(?s)^### [^\n]*:\n(.*)\n$", 1))
+    found = units.select("conv_id", "_chars", "at", F.when(F.col("n").isNull(), F.struct(role.alias("role"), body.alias("text"))).alias("_read"), F.when(F.col("n").isNotNull(), unescape(cut)).alias("_loss"))
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("at", F.col(c).alias("v"))))), lambda x: x["v"])
+    return found.groupBy("conv_id").agg(ordered("_read").alias("turns"), F.array_join(ordered("_loss"), "").alias("loss_text"), F.first("_chars").alias("formatted_chars"))
 
 
 def format_log(log: DataFrame, learn: str = "assistant") -> DataFrame:
+    """The log's final messages, rendered; nulls, ties and empty logs as in fold_events and render."""
     return render(fold_events(log), learn)
 
 

@@ -68,26 +68,20 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray, rounds: int =
 
 @dataclass(frozen=True)
 class MixPlan:
-    """What the driver knows: a few numbers a source, and the slots of each source in each shard."""
+    """A few numbers a source, and a cell for each shard and source that has slots there, by shard and source."""
 
     block: int
     seed: int
     sizes: np.ndarray
     words: np.ndarray
     per_shard: int
-    counts: np.ndarray
-
-    @property
-    def full(self) -> np.ndarray:
-        return self.sizes // self.block
-
-    @property
-    def per_pass(self) -> np.ndarray:
-        return -(-self.sizes // self.block)
+    cell_source: np.ndarray
+    cell_end: np.ndarray  # slots of all cells up to and with this one
+    cell_before: np.ndarray  # slots of the cell's source in earlier shards
 
     @property
     def slots(self) -> int:
-        return int(self.counts.sum())
+        return int(self.cell_end[-1]) if len(self.cell_end) else 0
 
 
 def slots_needed(sizes: np.ndarray, words: np.ndarray, block: int) -> np.ndarray:
@@ -96,43 +90,49 @@ def slots_needed(sizes: np.ndarray, words: np.ndarray, block: int) -> np.ndarray
     return np.where(sizes > 0, passes * -(-sizes // block) + -(-rest // block), 0)
 
 
-def plan_mix(sizes: list[int], targets: list[float], block: int, seed: int, max_shards: int = 4096, min_slots: int = 1024) -> MixPlan:
-    """Draw the multinomial counts, shard by shard, from what each source still has to give."""
+def plan_mix(sizes: list[int], targets: list[float], block: int, seed: int, max_shards: int = 4096, min_slots: int = 1024, max_cells: int = 1 << 22) -> MixPlan:
+    """Draw the multinomial counts, shard by shard, from what each source still has to give.
+
+    There are at most max_shards shards, and so few that shards times sources stay within max_cells.
+    """
     size, words = np.array(sizes, np.int64), np.floor(np.array(targets, np.float64) + 1e-9).astype(np.int64)
     left = slots_needed(size, words, block)
     total = int(left.sum())
-    per_shard = max(min_slots, -(-total // max_shards))
+    per_shard = max(min_slots, -(-total // max(1, min(max_shards, max_cells // max(1, len(size))))))
     rng = np.random.default_rng(seed)
-    counts = []
+    source, counts, before = ([np.zeros(0, np.int64)] for _ in range(3))
+    given = np.zeros_like(left)
     while (rest := int(left.sum())) > 0:
         got = np.zeros_like(left)
         while (short := min(per_shard, rest) - int(got.sum())) > 0:
             room = left - got
             got = np.minimum(got + rng.multinomial(short, room / room.sum()), left)
-        counts.append(got)
-        left = left - got
-    return MixPlan(block, seed, size, words, per_shard, np.array(counts, np.int64).reshape(len(counts), len(size)))
+        held = np.flatnonzero(got)
+        source.append(held)
+        counts.append(got[held])
+        before.append(given[held])
+        given, left = given + got, left - got
+    return MixPlan(block, seed, size, words, per_shard, np.concatenate(source), np.cumsum(np.concatenate(counts)), np.concatenate(before))
 
 
 def draw_slots(plan: MixPlan, slot: np.ndarray) -> dict[str, np.ndarray]:
     """Slot numbers of the whole mix to shard, position, source, round, block and words taken."""
     shard = slot // plan.per_shard
-    totals = plan.counts.sum(axis=1)
-    at = permute(slot % plan.per_shard, totals[shard], _mix64(shard.astype(np.uint64) + np.uint64(plan.seed)))
-    upto = np.cumsum(plan.counts, axis=1)
-    source = (upto[shard] <= at[:, None]).sum(axis=1)
-    before = np.cumsum(plan.counts, axis=0) - plan.counts
-    j = before[shard, source] + at - (upto[shard, source] - plan.counts[shard, source])
-    per_pass, full = plan.per_pass[source], plan.full[source]
-    turn, k = j // per_pass, j % per_pass
+    first = shard * plan.per_shard
+    at = first + permute(slot - first, np.minimum(plan.per_shard, plan.slots - first), _mix64(shard.astype(np.uint64) + np.uint64(plan.seed)))
+    cell = np.searchsorted(plan.cell_end, at, side="right")
+    source = plan.cell_source[cell]
+    j = plan.cell_before[cell] + at - np.r_[0, plan.cell_end][cell]
+    size = plan.sizes[source]
+    full, turn, k = size // plan.block, j // -(-size // plan.block), j % -(-size // plan.block)
     inner = k < full
     key = _mix64(_mix64(source.astype(np.uint64) + np.uint64(plan.seed)) + turn.astype(np.uint64))
     block = np.where(inner, permute(np.where(inner, k, 0), np.maximum(full, 1), key), full)
-    length = np.where(block < full, plan.block, plan.sizes[source] - full * plan.block)
-    last = j == slots_needed(plan.sizes, plan.words, plan.block)[source] - 1
-    done = turn * plan.sizes[source] + k * plan.block
+    length = np.where(block < full, plan.block, size - full * plan.block)
+    last = j == slots_needed(size, plan.words[source], plan.block) - 1
+    done = turn * size + k * plan.block
     take = np.where(last, np.minimum(length, plan.words[source] - done), length)
-    return {"shard": shard, "position": slot % plan.per_shard, "source_no": source, "round": turn, "block": block, "take": take}
+    return {"shard": shard, "position": slot - first, "source_no": source, "round": turn, "block": block, "take": take}
 
 
 def sized_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", buckets: int = 1024) -> DataFrame:
@@ -146,6 +146,12 @@ class Mix:
     sources: DataFrame  # source, source_no, source_size, target
     documents: DataFrame  # doc_id, source, source_no, size, text_hash, row_no, first_word
     spans: DataFrame  # shard, position, round, block, doc_id, source_no, text_hash, row_no, start, n
+    n_sources: int
+
+
+def _small(sources: DataFrame, n: int, most: int = 100_000) -> DataFrame:
+    """To be broadcast where the rows, which are counted, are few; else joined as any table."""
+    return F.broadcast(sources) if n <= most else sources
 
 
 def mix_sources(
@@ -162,8 +168,8 @@ def mix_sources(
 ) -> Mix:
     """Mix docs; sources take the weights in turn, in code point order with null last.
 
-    Sizes are word counts (null text: 0). Only one row a source comes to the driver, with at
-    most max_shards counts each. A source without words has target 0. Repeated rows count and
+    Sizes are word counts (null text: 0). One row a source comes to the driver; the counts that
+    the plan holds beside them are at most 4 million (see plan_mix). A source without words has target 0. Repeated rows count and
     are drawn as rows of their own. An empty table gives empty frames.
     """
     spark = docs.sparkSession
@@ -176,7 +182,7 @@ def mix_sources(
     sources = spark.createDataFrame(
         [(r["source"], k, sizes[k], float(targets[k])) for k, r in enumerate(totals)], "source string, source_no int, source_size long, target double"
     )
-    numbered = sized.join(F.broadcast(sources.select(F.col("source").alias("_s"), "source_no")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    numbered = sized.join(_small(sources.select(F.col("source").alias("_s"), "source_no"), len(sizes)), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     order = [F.col("doc_id"), F.col("text_hash")]
     placed = running_offsets(numbered, "source_no", "bucket", order, F.col("size"), "first_word")
     placed = running_offsets(placed, "source_no", "bucket", order, F.lit(1), "row_no")
@@ -190,20 +196,22 @@ def mix_sources(
         "doc_id", "source_no", "text_hash", "row_no", "block", (start - F.col("block") * block).alias("_from"), (end - F.col("block") * block).alias("_to"), (start - F.col("first_word")).alias("start")
     )
 
+    held = spark.sparkContext.broadcast(plan)
+
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame(draw_slots(plan, f["id"].to_numpy()))
+            yield pd.DataFrame(draw_slots(held.value, f["id"].to_numpy()))
 
     slots = spark.range(plan.slots).mapInPandas(draw, "shard long, position long, source_no int, round int, block long, take long")
     n = F.least(F.col("_to"), F.col("take")) - F.col("_from")
     spans = slots.join(segments, ["source_no", "block"]).withColumn("n", n).where("n > 0").drop("_from", "_to", "take")
-    return Mix(sources, placed, spans)
+    return Mix(sources, placed, spans, len(sizes))
 
 
 def taken_words(mix: Mix) -> DataFrame:
     """Per document row: doc_id, size, source_size, target, taken."""
     taken = mix.spans.groupBy("source_no", "row_no").agg(F.sum("n").alias("taken"))
-    rows = mix.documents.join(taken, ["source_no", "row_no"], "left").join(F.broadcast(mix.sources.drop("source")), "source_no")
+    rows = mix.documents.join(taken, ["source_no", "row_no"], "left").join(_small(mix.sources.drop("source"), mix.n_sources), "source_no")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 

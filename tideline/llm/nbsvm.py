@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import utf8
+from ._shared import materialise, utf8
 
 DIMS = 1 << 18
 #: Classes of bytes for the shapes; every other byte stands for itself.
@@ -79,6 +79,7 @@ class Model:
 
 
 def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+    """Log ratio of the classes' smoothed shares of each feature; labels are 1 and -1."""
     counts = {s: np.full(DIMS, alpha) for s in (1, -1)}
     for x, s in zip(rows, y.tolist()):
         counts[s][x] += 1
@@ -160,12 +161,13 @@ def held_out(id_col: str = "doc_id", folds: int = 5):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(False))
 
 
-def train_classifier(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 12_000) -> Model:
-    """Fit on at most max_rows labelled rows, those of the smallest id hashes, that are not held out.
+def train_classifier(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 12_000, max_bytes: int = 256 << 20) -> Model:
+    """Fit on labelled rows that are not held out, in order of id hash, up to two bounds.
 
-    The bound keeps the fit on the driver small (about 6 KB a row); labels other than 0 and 1
-    and null ids are left out. The chosen labels, bounded too, are broadcast to the scan of the
-    texts.
+    The fit takes at most max_rows rows and max_bytes of feature numbers (4 bytes each) to the
+    driver, and stops at the first row beyond either; equal ids are ordered by label and
+    features, so a rerun takes the same rows. Labels other than 0 and 1 and null ids are left
+    out. The chosen labels, bounded too, are broadcast to the scan of the texts.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     chosen = usable.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows)
@@ -176,10 +178,15 @@ def train_classifier(docs: DataFrame, labels: DataFrame, label_col: str = "quali
             x = [features(t).astype(np.int32).tobytes() for t in utf8(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], names=["id", "y", "x"])
 
-    got = rows.mapInArrow(extract, "id long, y int, x binary").limit(max_rows).collect()
-    got.sort(key=lambda r: (r["id"], r["y"], bytes(r["x"])))
+    found = materialise(rows.mapInArrow(extract, "id long, y int, x binary"), "nbsvm-rows")
+    got, held = [], 0
+    for r in found.orderBy(F.xxhash64("id"), "id", "y", "x").limit(max_rows).toLocalIterator():
+        held += len(r["x"])
+        if held > max_bytes:
+            break
+        got.append((r["y"], np.frombuffer(r["x"], np.int32)))
     order = np.random.default_rng(3).permutation(len(got))
-    return fit([np.frombuffer(got[i]["x"], np.int32) for i in order], [got[i]["y"] for i in order])
+    return fit([got[i][1] for i in order], [got[i][0] for i in order])
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -196,6 +203,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, threshold: float = 0.3) -> DataFrame:
+    """Scores of all rows of docs by a model of the labels outside the held-out fold; empty texts have the score of no feature."""
     return score_texts(docs, train_classifier(docs, labels, max_rows=max_rows), threshold=threshold)
 
 

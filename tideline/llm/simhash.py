@@ -520,10 +520,9 @@ def prefix_links(docs: DataFrame, nodes: DataFrame, width: int, least: float, al
     Two such sets of n and m shingles share one of the first n - ceil(least n) + 1 and
     m - ceil(least m) + 1 in any common order (prefix filter). The order here is by the level of
     a shingle's slot, so that common shingles come last, and then by hash; every task has the
-    same levels, whose size is fixed, and cuts its prefixes itself. A shingle alone in its slot
-    meets nothing and is not passed on. What meets under a shingle links where sizes allow the
-    similarity and the 128-bit fingerprints differ in at most all_bits. nodes: (node, fp, fp2,
-    size). Wordless texts have no shingle.
+    same levels, whose size is fixed, and cuts its prefixes itself. What meets under a shingle
+    links where sizes allow the similarity and the 128-bit fingerprints differ in at most
+    all_bits. nodes: (node, fp, fp2, size). Wordless texts have no shingle.
     """
     source = docs.select(F.col(text_col).alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(shingle_levels(source, width, bits))
@@ -531,8 +530,7 @@ def prefix_links(docs: DataFrame, nodes: DataFrame, width: int, least: float, al
     def prefix(text: bytes | None, codes: dict) -> np.ndarray:
         own = shingle_set(text, width, codes)
         level = held.value[own >> np.uint64(64 - bits)]
-        first = np.argsort(level, kind="stable")[: len(own) - ceil(least * len(own) - 1e-9) + 1]
-        return own[first[level[first] > 1]]
+        return own[np.argsort(level, kind="stable")[: len(own) - ceil(least * len(own) - 1e-9) + 1]]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _WordCodes()

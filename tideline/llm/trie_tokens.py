@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,10 @@ def load_pieces(path: str) -> tuple[dict[str, float], float]:
 
 
 class UnigramTrie:
-    """Trie of scored prefixes. Pre-tokens longer than `depth` share their first `depth` characters only."""
+    """Trie of scored prefixes. Pre-tokens longer than `depth` share their first `depth` characters only.
+
+    most_nodes bounds nodes, terminal counts and long pre-tokens together; a fuller trie starts anew.
+    """
 
     def __init__(self, pieces: dict[str, float], byte_score: float, most_nodes: int = 1_000_000, depth: int = 48):
         self.pieces, self.byte_score = pieces, byte_score
@@ -50,6 +54,7 @@ class UnigramTrie:
         self.children: dict[tuple[int, str], int] = {}
         self.score, self.count, self.fallback = [0.0], [0], [0]
         self.terminal: dict[bytes, tuple[int, int]] = {}
+        self.held = 0  # nodes, terminals, and bytes of long pre-tokens in steps of 64
 
     def _step(self, chars: str, i: int, score: list[float], count: list[int], fallback: list[int], base: int) -> tuple[float, int, int]:
         """Best (score, tokens, byte tokens) of chars[: i + 1]; the lists hold those of chars[:k] at k - base."""
@@ -67,7 +72,7 @@ class UnigramTrie:
         known = self.terminal.get(word)
         if known is not None:
             return known
-        if len(self.children) > self.most_nodes:
+        if self.held > self.most_nodes:
             self.clear()
         chars = SPACE + word.decode("utf-8", "replace")
         node, path = 0, [0]
@@ -81,6 +86,7 @@ class UnigramTrie:
                 for held, x in zip((self.score, self.count, self.fallback), found):
                     held.append(x)
                 self.nodes_scored += 1
+                self.held += 1
             node = child
             path.append(node)
             score.append(self.score[node])
@@ -96,6 +102,7 @@ class UnigramTrie:
                 base += drop
         out = (count[-1], fallback[-1])
         self.terminal[word] = out
+        self.held += 1 + len(word) // 64
         return out
 
 
@@ -110,17 +117,16 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = UnigramTrie(*load_pieces(vocabulary), most_nodes)
-        for b in batches:
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             out = []
-            for x in utf8(b.column(1)):
-                words = x.split() if x else []
-                known = trie.terminal
-                for w in words:
-                    if w not in known:
-                        trie.tokens(w)
-                        known = trie.terminal
-                found = [known.get(w) or trie.tokens(w) for w in words]
-                out.append((len(words), sum(f[0] for f in found), sum(f[1] for f in found)))
+            texts = [x.split() if x else [] for x in utf8(b.column(1))]
+            # The batch's distinct pre-tokens go in sorted, so that shared prefixes follow each other.
+            for w in sorted(set().union(*texts).difference(trie.terminal)):
+                trie.tokens(w)
+            known = trie.terminal.get
+            for words in texts:
+                found = [known(w) or trie.tokens(w) for w in words]
+                out.append((len(words), sum(map(itemgetter(0), found)), sum(map(itemgetter(1), found))))
             cols = np.array(out, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(cols[:, k]) for k in range(3))], names=["doc_id", "n_pretokens", "n_tokens", "n_byte_tokens"])
 

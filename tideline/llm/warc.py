@@ -204,14 +204,29 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in PLACES.split(", ")])
 
 
-def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_bytes: int = 0, archive_bytes: int = 16 << 20) -> None:
+def _with_lists(spark: SparkSession, arc_path: str, listed: DataFrame, most_broadcast: int, archive_bytes: int) -> DataFrame:
+    """(content, refs) of all archives. The lists go to the archives while their size, which is measured, is small.
+
+    Beyond that, archives meet their lists in a shuffle with one part for about four archives'
+    bytes, so that no task reads more as the input grows.
+    """
+    size = listed.agg(F.sum(F.octet_length(F.to_json("refs")).cast("long"))).first()[0] or 0
+    files = _files(spark, arc_path)
+    if size <= most_broadcast:
+        return files.join(F.broadcast(listed), "path", "left").select("content", "refs")
+    packed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(arc_path).agg(F.sum("length")).first()[0] or 0
+    parts = max(1, -(-packed // (4 * archive_bytes)))
+    return files.repartition(parts, "path").join(listed.repartition(parts, "path"), "path", "left").select("content", "refs")
+
+
+def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_bytes: int = 0, archive_bytes: int = 16 << 20, most_broadcast: int = 64 << 20) -> None:
     """Convert all ARC files under arc_path to gzipped WARC files under warc_path.
 
     Identifiers, dates, types and digests are derived from the ARC headers and documents alone.
     Of records with equal payloads of min_revisit_bytes or more, that of the smallest key (null
     keys last, ties by place) is a response; others become revisits that keep the HTTP header.
-    Archives are read twice, for the digests and for the records; what they hold is moved only
-    as packed files, each with the list of its revisits.
+    Archives are read twice, for the digests and for the records, and stay where they are while
+    the lists of revisits take at most most_broadcast bytes; beyond that they move as packed files.
     """
     places = materialise(_files(spark, arc_path).mapInArrow(_places, PLACES), "warc-places")
     rank = F.struct(F.col("key").isNull().alias("last"), "key", "archive", "offset", "record_id", "url", "date")
@@ -219,7 +234,7 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_
     first = first.select("payload_digest", "payload_bytes", F.col("r.archive").alias("_archive"), F.col("r.offset").alias("_offset"), F.col("r.record_id").alias("ref_id"), F.col("r.url").alias("ref_url"), F.col("r.date").alias("ref_date"), F.col("r.key").alias("ref_key"))
     revisit = places.select("path", "archive", "offset", "payload_digest", "payload_bytes").join(first, ["payload_digest", "payload_bytes"]).where("archive != _archive or offset != _offset")
     listed = revisit.groupBy("path").agg(F.collect_list(F.struct("offset", "ref_id", "ref_url", "ref_date", "ref_key")).alias("refs"))
-    files = _files(spark, arc_path).join(listed, "path", "left").select("content", "refs")
+    files = _with_lists(spark, arc_path, materialise(listed, "warc-revisits"), most_broadcast, archive_bytes)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
