@@ -135,8 +135,11 @@ def test_global_positions_are_gapless(spark):
 
 def test_scalar_edges(spark):
     df = spark.createDataFrame([(" NaN ",), (None,), ("16.10",), ("x",)], "s string")
-    got = df.select(scalars.clean_token("s").alias("c"), scalars.version_parts("s").alias("v"), scalars.safe_number("s").alias("n"), scalars.natural_key("s", 4).alias("k")).collect()
-    assert [r["c"] for r in got] == [None, None, "16.10", "x"] and got[2]["v"].minor == 10 and got[3]["n"] is None and got[2]["k"] == "0016.0010"
+    got = df.select(scalars.clean_token("s").alias("c"), scalars.version_parts("s").alias("v"), scalars.safe_number("s").alias("n"), scalars.natural_key("s").alias("k")).collect()
+    assert [r["c"] for r in got] == [None, None, "16.10", "x"] and got[2]["v"].minor == 10 and got[3]["n"] is None and got[2]["k"].startswith("00000216.00000210")
+    ids = ["x9", "x10", "x" + "9" * 25, "x1" + "0" * 25, "x010", "", "7a", "12"]
+    keys = {r["s"]: r["k"] for r in spark.createDataFrame([(i,) for i in ids], "s string").select("s", scalars.natural_key("s").alias("k")).collect()}
+    assert len(set(keys.values())) == len(ids) and sorted(ids, key=keys.get) == ["", "7a", "12", "x9", "x010", "x10", "x" + "9" * 25, "x1" + "0" * 25]
     one = spark.range(1).select(scalars.json_number(F.lit(2.5), 0).alias("h"), scalars.json_number(F.lit(float("nan")), 2).alias("n"), scalars.wilson_lower(F.lit(0), F.lit(0)).alias("w"), scalars.poisson_cdf(F.lit(2.0), 0).alias("p"), scalars.unicode_key(F.lit("É  Ñandú")).alias("u"), scalars.grade(F.lit(None).cast("double")).alias("g")).first()
     assert (one["h"], one["n"], one["w"], one["u"], one["g"]) == (2.0, None, None, "e nandu", None) and math.isclose(one["p"], math.exp(-2))
 
@@ -173,3 +176,48 @@ def test_structural_overlap_of_many_segments(spark):
 
     df = spark.createDataFrame([(1, f"s{k}") for k in range(150)], "c_nationkey long, c_mktsegment string")
     assert [tuple(r) for r in structural_overlap(SimpleNamespace(customer=df)).collect()] == [(1, 1.0)]
+
+
+def test_row_digests_do_not_collide(spark):
+    df = spark.createDataFrame([("a\x1fb", "c"), ("a", "b\x1fc"), (None, "x"), ("\0", "x"), ("", "x"), ("1:a", ""), ("", "1:a"), ("-", None), (None, "-")], "a string, b string")
+    assert df.select(jsons.row_digest("a", "b").alias("d")).distinct().count() == 9
+    old = spark.createDataFrame([(1, None), (2, "a\x1fb")], "k long, v string").withColumn("w", F.lit("c"))
+    new = spark.createDataFrame([(1, "\0", "c"), (2, "a", "b\x1fc")], "k long, v string, w string")
+    assert rows(cdc.change_status(old, new, "k", ["v", "w"]), "k", "status") == [(1, "corrected"), (2, "corrected")]
+
+
+def test_malformed_json_is_null(spark):
+    df = spark.createDataFrame([("{bad",), ("",), ("[" * 100000,), ('{"a":1}',)], "j string")
+    got = df.select(jsons.has_key(F.col("j"), ["a"]).alias("h"), jsons.strip_keys(F.col("j"), ["a"]).alias("s")).collect()
+    assert [(r["h"], r["s"]) for r in got] == [(None, None)] * 3 + [(True, "{}")]
+
+
+def test_nearest_frame_ties_and_missing_keys(spark):
+    left = spark.createDataFrame([(1, "a", 15.0), (2, "a", 0.0), (3, "a", 99.0), (4, "b", 1.0), (5, "a", 10.0)], "id long, k string, t double")
+    frames = spark.createDataFrame([("a", 10.0, 7), ("a", 20.0, 8), ("a", 20.0, 6), ("a", None, 1)], "k string, ft double, v long")
+    assert rows(joins.nearest_frame(left, frames, ["k"], "t", "ft", ["v"]), "id", "v", "distance") == [(1, 7, 5.0), (2, 7, 10.0), (3, 6, 79.0), (4, None, None), (5, 7, 0.0)]
+
+
+def test_set_similarities_cover_all_rows(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"]), (3, ["d"]), (4, ["a", "b"])], "id long, s array<string>")
+    got = {(r["left_id"], r["right_id"]): round(r["score"], 4) for r in joins.set_similarities(df.where("id in (1, 3)"), df, "id", "s").collect()}
+    assert got == {(1, 1): 1.0, (1, 2): 0.3333, (1, 3): 0.0, (1, 4): 1.0, (3, 1): 0.0, (3, 2): 0.0, (3, 3): 1.0, (3, 4): 0.0}
+
+
+def test_sums_before_in_ranges(spark):
+    df = spark.range(100).select((F.col("id") * 37 % 100).alias("id"), F.lit(2).alias("n"))
+    got = windows.sum_before(df, [F.desc("id")], "n", "s", 5).collect()
+    assert len(got) == 100 and all(r["s"] == 2 * (99 - r["id"]) for r in got)
+    assert windows.sum_before(df.limit(0), [F.col("id")], "n", "s").count() == 0
+
+
+def test_tier_options_and_filters(spark):
+    from tideline.plans import api
+
+    df = spark.createDataFrame([("L", "top", 3.0, "x", 9), ("L", "top", 1.0, "y", 1), ("M", "mid", None, "z", 4), ("L", "top", 3.0, "a", 5)], "league string, role string, v double, name string, games long")
+    index = api.tier_rows(df, ["league", "role"], "v", "name")
+    assert rows(index, "name", "place", "bucket") == [("a", 1, "A"), ("x", 2, "B"), ("y", 3, "C"), ("z", 1, "A")]
+    assert api.tier_options(index, ["league", "role"]) == {"league": ["L", "M"], "role": ["mid", "top"]}
+    assert rows(api.tier_filter(index, {"league": ["L"], "role": None}, "games", 5), "name") == [("a",), ("x",)]
+    with pytest.raises(ValueError):
+        api.tier_filter(index, {"patch": ["1"]}, "games")

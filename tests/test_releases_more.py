@@ -29,6 +29,12 @@ def test_release_states(spark, tmp_path):
     r.discard("c")
     assert r.prune(1) == {"deleted_count": 0, "has_more": False, "paths": []}
     assert r.prune(0)["paths"] == ["b"] and r.status()["b"] == "deleted"
+    again = Releases(spark, str(tmp_path))
+    assert again.status() == r.status() and len(again._versions()) <= 5
+    again.stage("e", {})
+    with pytest.raises(ReleaseError):
+        r._write({})  # another writer was first
+    r.status()
     r.stage("d", {"t": (df, "id")})
     spark.range(3).withColumn("v", F.lit(0).cast("long")).write.mode("overwrite").parquet(f"{tmp_path}/data/d/t")
     with pytest.raises(IntegrityError):
@@ -41,6 +47,11 @@ def test_ledger_and_cached_fit(spark, tmp_path):
     with pytest.raises(ReleaseError):
         ledger.run("read", lambda: None)
     assert ledger.rows[0]["rows"] == 3 and ledger.rows[0]["status"] == "finished"
+    slow = F.pandas_udf(lambda s: __import__("time").sleep(0.5) or s, "long")
+    assert RunLedger(["x"]).run("x", lambda: spark.range(1).coalesce(1).where(slow("id") >= 0)) is not None
+    timed = RunLedger(["x"])
+    timed.run("x", lambda: spark.range(1).coalesce(1).where(slow("id") >= 0))
+    assert timed.rows[0]["wall_s"] > 0.4
     calls = []
 
     def fit(df):
@@ -88,3 +99,56 @@ def test_calibrations(spark):
 def test_best_sets(spark):
     df = spark.createDataFrame([("k", [("a", 1.0), ("b", 5.0), ("c", 3.0)])], "k string, items array<struct<name:string,score:double>>")
     assert [tuple(r) for r in aggs.best_sets(df, "k", "items", 2, "score", 2).collect()] == [("k", 1, "b|c", 8.0), ("k", 2, "a|b", 6.0)]
+
+
+def test_best_sets_with_ties_and_short_arrays(spark):
+    from itertools import combinations
+
+    items = [(str(k), float(k % 4)) for k in range(13)]
+    df = spark.createDataFrame([("k", items), ("s", items[:2])], "k string, items array<struct<name:string,score:double>>")
+    want = sorted((-sum(x[1] for x in c), "|".join(sorted(x[0] for x in c))) for c in combinations(items, 3))[:4]
+    assert [(r["chosen"], r["total"]) for r in aggs.best_sets(df, "k", "items", 3, "score", 4).collect()] == [(n, -t) for t, n in want]
+
+
+def test_isotonic_pools_exactly(spark):
+    data = [(0, 0.5000), (1, 0.5001), (0, 0.5002), (1, 0.5003), (1, 0.9), (None, 0.1), (1, None)]
+    got = [tuple(r) for r in metrics.isotonic_calibration(spark.createDataFrame(data, "y int, p double"), "y", "p").orderBy("low").collect()]
+    assert got == [(0.5, 0.5, 0.0), (0.5001, 0.5002, 0.5), (0.5003, 0.9, 1.0)]
+    assert metrics.isotonic_calibration(spark.createDataFrame([], "y int, p double"), "y", "p").count() == 0
+
+
+def test_bradley_terry_paths_agree(spark):
+    data = [("a", "b", 1.0), ("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 0.0), ("c", "a", 1.0), ("a", None, 1.0), ("d", "a", None)]
+    df = spark.createDataFrame(data, "a string, b string, s double")
+    x, y = ({r["entity"]: r["rating"] for r in metrics.bradley_terry(df, "a", "b", "s", anchor={"c": 0.5}, rounds=8, local_pairs=n).collect()} for n in (100, 0))
+    assert x.keys() == {"a", "b", "c"} and all(math.isclose(x[k], y[k], abs_tol=1e-9) for k in x)
+    z = {r["entity"]: r["rating"] for r in metrics.bradley_terry(df, "a", "b", "s").collect()}
+    assert z["a"] > z["b"]
+
+
+def test_race_and_exact_interval(spark):
+    got = spark.range(1).select(metrics.poisson_race(F.lit(1.0), F.lit(1.0), 3).alias("e"), metrics.poisson_race(F.lit(3.0), F.lit(1.0), 1).alias("o"), metrics.poisson_race(F.lit(0.0), F.lit(0.0), 2).alias("n")).first()
+    assert math.isclose(got["e"], 0.5) and math.isclose(got["o"], 0.75) and got["n"] is None
+    df = spark.createDataFrame([(0, 10), (10, 10), (5, 10), (81, 263), (None, 3), (0, 0)], "k long, n long")
+    got = [tuple(r["c"]) for r in df.select(metrics.clopper_pearson(F.col("k"), F.col("n")).alias("c")).collect()]
+    want = [(0.0, 0.3085), (0.6915, 1.0), (0.1871, 0.8129), (0.2527, 0.3676)]  # published values
+    assert all(math.isclose(x, y, abs_tol=6e-5) for g, w in zip(got, want) for x, y in zip(g, w)) and got[4:] == [(None, None)] * 2
+
+
+def test_ratings_with_unknown_sides(spark):
+    data = [(1, 1.0, "a", "b", 1.0), (2, 2.0, "a", None, 1.0), (3, 3.0, None, None, 1.0), (4, 4.0, "b", "a", None), (5, 5.0, None, "z", 0.0)]
+    df = spark.createDataFrame(data, "id long, t double, a string, b string, s double")
+    got = {r["id"]: (r["a_before"], r["b_before"]) for r in sequential.elo_before(df, "t", "id", "a", "b", "s").collect()}
+    assert got == {1: (1500.0, 1500.0), 2: (1512.0, 1500.0), 3: (1500.0, 1500.0), 4: (1488.0, 1512.0), 5: (1500.0, 1500.0)}
+    sides = spark.createDataFrame([(1, 1.0, ["p", "q"], ["r"], 1.0), (2, 2.0, [], ["p"], 1.0), (3, 3.0, None, [], 1.0), (4, 4.0, ["p", None], ["r"], 0.0)], "id long, t double, a array<string>, b array<string>, s double")
+    got = {r["id"]: (r["a_before"], r["b_before"]) for r in sequential.lineup_elo(sides, "t", "id", "a", "b", "s").collect()}
+    assert got == {1: (1500.0, 1500.0), 2: (1500.0, 1510.0), 3: (1500.0, 1500.0), 4: (1510.0, 1490.0)}
+
+
+def test_event_state_effects_and_limit(spark):
+    rows = [("k", k, k, e, "g", x) for k, (e, x) in enumerate([("add", 5.0), ("floor", 20.0), ("drain", 3.0), ("spend", 100.0), ("spend", 2.0), ("scale", 2.0), ("cap", 25.0), ("add", None)])]
+    df = spark.createDataFrame([*rows, ("k", 0, 9, "add", "g", 7.0), ("z", 1, 1, "clear", "g", 0.0)], "key string, event_id long, t long, type string, target string, amount double")
+    effects = {e: e for e in ("add", "floor", "drain", "spend", "scale", "cap", "clear")}
+    got = {r["key"]: (r["applied"], r["skipped"], r["limit_reached"], r["g"]) for r in sequential.event_state(df, "key", ["t"], effects, {"g": 1.0}).collect()}
+    assert got == {"k": (8, 0, False, 25.0), "z": (1, 0, False, 1.0)}
+    assert {r["key"]: r["limit_reached"] for r in sequential.event_state(df, "key", ["t"], effects, {"g": 1.0}, most=3).collect()} == {"k": True, "z": False}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def has_key(json: Column, names: list[str]) -> Column:
-    """Any object at any depth has one of the keys. Recursive, so vectorised Python."""
+    """Any object at any depth has one of the keys; null where the text is not JSON. Recursive, so vectorised Python."""
     banned = frozenset(names)
 
     @F.pandas_udf("boolean")
@@ -20,13 +20,19 @@ def has_key(json: Column, names: list[str]) -> Column:
                 return any(k in banned or found(x) for k, x in v.items())
             return isinstance(v, list) and any(map(found, v))
 
-        return s.map(lambda t: None if t is None else found(j.loads(t)), na_action="ignore").astype("boolean")
+        def read(t: str) -> bool | None:
+            try:
+                return found(j.loads(t))
+            except (ValueError, RecursionError):
+                return None
+
+        return s.map(read, na_action="ignore").astype("boolean")
 
     return walk(json)
 
 
 def strip_keys(json: Column, names: list[str]) -> Column:
-    """The value without those keys at any depth, in compact form."""
+    """The value without those keys at any depth, in compact form; null where the text is not JSON."""
     banned = frozenset(names)
 
     @F.pandas_udf("string")
@@ -38,7 +44,13 @@ def strip_keys(json: Column, names: list[str]) -> Column:
                 return {k: kept(x) for k, x in v.items() if k not in banned}
             return list(map(kept, v)) if isinstance(v, list) else v
 
-        return s.map(lambda t: j.dumps(kept(j.loads(t)), separators=(",", ":")), na_action="ignore")
+        def read(t: str) -> str | None:
+            try:
+                return j.dumps(kept(j.loads(t)), separators=(",", ":"))
+            except (ValueError, RecursionError):
+                return None
+
+        return s.map(read, na_action="ignore")
 
     return walk(json)
 
@@ -49,8 +61,9 @@ def build(**fields: Column) -> Column:
 
 
 def row_digest(*cols: str) -> Column:
-    """SHA-256 of a row's canonical text: fields in the given order, nulls marked."""
-    return F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols]), 256)
+    """SHA-256 of a row's canonical text: each field, in the given order, as its length in bytes, a colon and its text; null is a dash."""
+    text = [F.col(c).cast("string") for c in cols]
+    return F.sha2(F.concat(F.lit(""), *[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]), 256)
 
 
 def bounded_array(arr: Column, most: int, most_bytes: int) -> Column:

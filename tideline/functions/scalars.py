@@ -97,10 +97,48 @@ def version_parts(x: str | Column) -> Column:
     return F.when(ok, F.struct(parts[0].try_cast("int").alias("major"), parts[1].try_cast("int").alias("minor")))
 
 
-def natural_key(x: str | Column, width: int = 20) -> Column:
-    """Text whose runs of digits are padded with zeros, so that it sorts by their numbers."""
+def natural_key(x: str | Column, width: int = 6) -> Column:
+    """Text that sorts by the numbers in it, however long: runs of digits follow their length, in `width` digits.
+
+    Leading zeros do not count; texts that differ in them only are told apart by the text itself,
+    which comes last.
+    """
     parts = F.regexp_extract_all(_c(x), F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, width, "0")).otherwise(p)), "")
+    number = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    keyed = F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(number(p)).cast("string"), width, "0"), number(p))).otherwise(p))
+    return F.concat(F.array_join(keyed, ""), F.lit("\u0000"), _c(x))
+
+
+def turret_attack(seconds: str | Column, first: int, base: int, step: int, cap: int) -> Column:
+    """Attack of a structure at a game clock: a step for each minute begun from `first` on, up to cap; null for a negative clock."""
+    t = _c(seconds)
+    grown = F.least(F.lit(cap), F.lit(base) + F.lit(step) * (F.floor((t - first) / 60) + 1))
+    return F.when(t < 0, None).when(t < first, F.lit(base)).otherwise(grown).cast("long")
+
+
+def stack_bonus(rule: str, stacks: str | Column, rank: str | Column | None = None) -> Column:
+    """What stored stacks add, by rule; null for negative stacks or a rank outside 1 to 5.
+
+    manaflow: mana. siphoning: damage, by rank. soul: power and armor alike. mist: damage; mist_range
+    and mist_crit: by milestones of 20. mark_range: range. void_melee and void_ranged: damage of a
+    burn of eight ticks, for 1 to 3 stacks.
+    """
+    n = _c(stacks)
+    if rule == "siphoning":
+        r = _c(rank)
+        return F.when((n >= 0) & r.between(1, 5), 40 + 20 * (r - 1) + n).cast("double")
+    burn = F.when(n == 1, 4).when(n == 2, 12).when(n == 3, 16)
+    rules = {
+        "manaflow": F.least(n, F.lit(10)) * 25,
+        "soul": n,
+        "mist": n * 0.75,
+        "mist_range": F.floor(n / 20) * 20,
+        "mist_crit": F.floor(n / 20) * 10,
+        "mark_range": F.when(n < 4, 0).otherwise(F.least(F.lit(250), 75 + 25 * F.floor((n - 4) / 3))),
+        "void_melee": burn * 8,
+        "void_ranged": burn / 2 * 8,
+    }
+    return F.when(n >= 0, rules[rule]).cast("double")
 
 
 def expected_score(a: str | Column, b: str | Column, scale: float = 400.0) -> Column:

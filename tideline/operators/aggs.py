@@ -163,7 +163,9 @@ def observed_composite(weights: dict[str, float], limit: float = 3.0) -> Column:
 def best_sets(df: DataFrame, key: str, items: str, slots: int, score: str, top: int = 3) -> DataFrame:
     """(key, place, chosen, total): the best-scored sets of `slots` items of each row's array of (name, score, cost-free) structs.
 
-    The search is exhaustive, so arrays should be short; it runs where the rows are.
+    Scores add up, so the best `top` sets have only items that fewer than slots + top - 1 others
+    of the array exceed; the search is exhaustive over those and runs where the rows are. Equal
+    totals go by the names, joined in order.
     """
     from itertools import combinations
 
@@ -175,7 +177,11 @@ def best_sets(df: DataFrame, key: str, items: str, slots: int, score: str, top:
         for f in frames:
             out = []
             for k, arr in zip(f[key], f[items]):
-                found = sorted(((-sum(x[score] for x in c), "|".join(sorted(x["name"] for x in c))) for c in combinations(arr, slots)))[:top]
+                if len(arr) < slots:
+                    continue
+                least = sorted((x[score] for x in arr), reverse=True)[min(len(arr), slots + top - 1) - 1]
+                used = [x for x in arr if x[score] >= least]
+                found = sorted(((-round(sum(x[score] for x in c), 6), "|".join(sorted(x["name"] for x in c))) for c in combinations(used, slots)))[:top]
                 out += [(k, p + 1, names, -total) for p, (total, names) in enumerate(found)]
             yield pd.DataFrame(out, columns=[key, "place", "chosen", "total"])
 

@@ -156,6 +156,62 @@ def checkpoint_states(checks: DataFrame, states: DataFrame, by: list[str], ts: s
     return got.select(*checks.columns, *[F.when(ok, F.col(c)).alias(c) for c in take])
 
 
+def set_similarities(left: DataFrame, right: DataFrame, id_col: str, set_col: str) -> DataFrame:
+    """(left_id, right_id, score): Jaccard similarity of every query row of `left` with all rows of `right`.
+
+    Sets are sorted arrays. Similarities are found once for each two different sets and rows meet
+    them by equality, so the work beside the result is in the number of different sets.
+    """
+    from ..functions.scalars import jaccard
+    from ..storage import materialise
+
+    a = materialise(left.groupBy(F.col(set_col).alias("ls")).agg(F.collect_list(F.col(id_col)).alias("_ids")), "sets")
+    b = right.select(F.col(set_col).alias("rs")).distinct()
+    # Sets meet through the values that they share; those that share none have similarity 0.
+    shared = a.select("ls", F.explode("ls").alias("_v")).join(b.select("rs", F.explode("rs").alias("_v")), "_v").select("ls", "rs").distinct()
+    scored = shared.select("ls", "rs", jaccard("ls", "rs").alias("score"))
+    lefts = left.select(F.col(id_col).alias("left_id"), F.col(set_col).alias("ls"))
+    rights = right.select(F.col(id_col).alias("right_id"), F.col(set_col).alias("rs"))
+    found = lefts.join(scored, "ls").join(rights, "rs").select("left_id", "right_id", "score")
+    rest = a.select("ls").crossJoin(b).join(shared, ["ls", "rs"], "left_anti")  # of different sets only
+    none = lefts.join(rest, "ls").join(rights, "rs").select("left_id", "right_id", F.lit(0.0).alias("score"))
+    return found.unionByName(none)
+
+
+def nearest_frame(left: DataFrame, frames: DataFrame, by: list[str], ts: str, frame_ts: str, take: list[str]) -> DataFrame:
+    """Rows of left with the columns of the nearest frame of their key, at any distance, and that distance.
+
+    Of frames at equal distance the earlier wins, then the least. One sort by key and time gives
+    each row the frame before and the frame after; keys without frames get nulls.
+    """
+    frame = F.struct(F.col(frame_ts).alias("at"), *take)
+    f = frames.where(F.col(frame_ts).isNotNull()).groupBy(*by, frame_ts).agg(F.min(frame).alias("_f"))
+    marked = left.select(*by, F.col(ts).alias("_t"), F.struct("*").alias("_row"), F.lit(None).cast(f.schema["_f"].dataType).alias("_f"))
+    both = marked.unionByName(f.select(*by, F.col(frame_ts).alias("_t"), F.lit(None).cast(marked.schema["_row"].dataType).alias("_row"), "_f"))
+    w = Window.partitionBy(*by).orderBy("_t", F.col("_row").isNotNull())
+    before = F.last("_f", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_f", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    got = both.withColumn("_a", before).withColumn("_b", after).where("_row is not null")
+    d = lambda c: F.abs(F.col("_t") - F.col(f"{c}.at"))
+    earlier = F.col("_b").isNull() | (F.col("_a").isNotNull() & (d("_a") <= d("_b")))
+    chosen = got.withColumn("_c", F.when(earlier, F.col("_a")).otherwise(F.col("_b")))
+    return chosen.select("_row.*", *[F.col(f"_c.{c}").alias(c) for c in take], d("_c").alias("distance"))
+
+
+def time_axis(observed: str, available: str, as_of: str, start: str, most_age: float) -> Column:
+    """What a forecast input breaks first of observed <= available <= as_of < start and its age in seconds; ok, or null for a null time."""
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    known = F.col(observed).isNotNull() & F.col(available).isNotNull() & F.col(as_of).isNotNull() & F.col(start).isNotNull()
+    verdict = (
+        F.when(F.col(as_of) >= F.col(start), "as_of_not_before_start")
+        .when(F.col(observed) > F.col(available), "available_before_observed")
+        .when(F.col(available) > F.col(as_of), "not_available_yet")
+        .when(seconds(as_of) - seconds(observed) > most_age, "stale")
+        .otherwise("ok")
+    )
+    return F.when(known, verdict)
+
+
 def viable_candidates(edges: DataFrame, picked: DataFrame, ref: str, candidate: str, score: str, least: float) -> DataFrame:
     """(candidate, ref, score): the best reference of each candidate that is not picked itself, at `least` or more."""
     open_ = edges.join(picked.select(F.col("id").alias(candidate)), candidate, "left_anti").join(picked.select(F.col("id").alias(ref)), ref, "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-12
@@ -28,11 +28,13 @@ def calibration_error(df: DataFrame, label: str, prob: str, bins: int = 10) -> D
 def auc(df: DataFrame, label: str, prob: str) -> DataFrame:
     """Area under the ROC curve, ties one half, from counts per distinct score.
 
-    Scores are counted first, so the running sum is over distinct scores only.
+    Scores are counted first; the running sum goes over ranges of scores, so no task holds them all.
     """
+    from .windows import sum_before
+
     per = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull()).groupBy(prob).agg(F.sum((F.col(label) > 0).cast("double")).alias("_p"), F.sum((F.col(label) <= 0).cast("double")).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy(prob).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return per.select((F.col("_p") * (below + F.col("_n") / 2)).alias("_w"), "_p", "_n").agg((F.sum("_w") / (F.sum("_p") * F.sum("_n"))).alias("auc"))
+    per = sum_before(per, [F.col(prob)], "_n", "_below")
+    return per.select((F.col("_p") * (F.col("_below") + F.col("_n") / 2)).alias("_w"), "_p", "_n").agg((F.sum("_w") / (F.sum("_p") * F.sum("_n"))).alias("auc"))
 
 
 def gaussian_crps(y: Column, mu: Column, sigma: Column) -> Column:
@@ -104,38 +106,67 @@ def ridge_normal_equations(df: DataFrame, features: list[str], target: str, lam:
     return dict(zip(["intercept", *features], x.tolist()))
 
 
-def bradley_terry(matches: DataFrame, a: str, b: str, score: str, weight: str | None = None, lam: float = 1.0, lam_side: float = 0.1, anchor: dict | None = None, rounds: int = 100) -> DataFrame:
+def bradley_terry(matches: DataFrame, a: str, b: str, score: str, weight: str | None = None, lam: float = 1.0, lam_side: float = 0.1, anchor: dict | None = None, rounds: int = 100, local_pairs: int = 200_000) -> DataFrame:
     """(entity, rating): ridge-penalised logistic strengths with a side term, toward the anchor (0 by default).
 
-    Matches are summed to one row per ordered pair before the fit, and each gradient is a
-    distributed sum; what the driver holds is one number per entity.
+    Matches are summed to one row per ordered pair, which is written once. The driver holds a few
+    numbers per entity. While the pairs, which are counted, are few, their gradients are summed
+    there too; beyond local_pairs each gradient is a distributed sum over the written pairs. Both
+    take the same steps.
     """
+    from ..storage import materialise
+
     w = F.lit(1.0) if weight is None else F.col(weight)
-    pairs = matches.where(F.col(score).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.sum(w).cast("double").alias("n"), F.sum(w * F.col(score)).cast("double").alias("s")).cache()
-    names = sorted({r[0] for r in pairs.select("a").distinct().union(pairs.select("b").distinct()).collect()})
+    known = matches.where(F.col(score).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
+    pairs = materialise(known.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.sum(w).cast("double").alias("n"), F.sum(w * F.col(score)).cast("double").alias("s")), "bt-pairs")
+    names = sorted(r[0] for r in pairs.select("a").union(pairs.select("b")).distinct().toLocalIterator())
     at = {k: i for i, k in enumerate(names)}
+    size, spark = len(names), matches.sparkSession
     start = np.array([float((anchor or {}).get(k, 0.0)) for k in names])
-    rows = pairs.toPandas()
-    pairs.unpersist()
-    i, j = rows["a"].map(at).to_numpy(), rows["b"].map(at).to_numpy()
-    n, s = rows["n"].to_numpy(), rows["s"].to_numpy()
-    beta, side = start.copy(), 0.0
-    for _ in range(rounds):
+
+    def sums(i: np.ndarray, j: np.ndarray, n: np.ndarray, s: np.ndarray, beta: np.ndarray, side: float) -> np.ndarray:
+        """Gradient and curvature per entity, then the side's."""
         p = 1 / (1 + np.exp(-np.clip(beta[i] - beta[j] + side, -40, 40)))
-        g = lam * (beta - start)
-        h = np.full(len(names), lam)
         d, c = n * p - s, n * p * (1 - p)
-        np.add.at(g, i, d)
-        np.add.at(g, j, -d)
-        np.add.at(h, i, 2 * c)
-        np.add.at(h, j, 2 * c)
-        step = g / h
+        out = np.zeros((2, len(beta) + 1))
+        for k, v in ((0, d), (1, 2 * c)):
+            out[k, :-1] = np.bincount(i, v if k else d, len(beta)) + np.bincount(j, v if k else -d, len(beta))
+        out[:, -1] = d.sum(), c.sum()
+        return out
+
+    if pairs.count() <= local_pairs:
+        held = pairs.orderBy("a", "b").toPandas()
+        columns = (held["a"].map(at).to_numpy(), held["b"].map(at).to_numpy(), held["n"].to_numpy(), held["s"].to_numpy()) if size else None
+        total = lambda beta, side: sums(*columns, beta, side)
+    else:
+        known_at = spark.sparkContext.broadcast(at)
+
+        def total(beta: np.ndarray, side: float) -> np.ndarray:
+            now = spark.sparkContext.broadcast((beta, side))
+
+            def partial(frames):
+                got = np.zeros((2, len(now.value[0]) + 1))
+                for f in frames:
+                    got += sums(f["a"].map(known_at.value).to_numpy(), f["b"].map(known_at.value).to_numpy(), f["n"].to_numpy(), f["s"].to_numpy(), *now.value)
+                used = np.flatnonzero(got.any(axis=0))
+                yield pd.DataFrame({"k": used, "g": got[0, used], "h": got[1, used]})
+
+            out = np.zeros((2, size + 1))
+            for r in pairs.mapInPandas(partial, "k long, g double, h double").groupBy("k").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toLocalIterator():
+                out[:, r["k"]] = r["g"], r["h"]
+            now.destroy()
+            return out
+
+    beta, side = start.copy(), 0.0
+    for _ in range(rounds if size else 0):
+        got = total(beta, side)
+        step = (got[0, :-1] + lam * (beta - start)) / (got[1, :-1] + lam)
         beta = np.clip(beta - step, start - 8, start + 8)
-        move = (d.sum() + lam_side * side) / (c.sum() + lam_side)
+        move = (got[0, -1] + lam_side * side) / (got[1, -1] + lam_side)
         side -= move
         if max(np.abs(step).max(initial=0.0), abs(move)) < 1e-10:
             break
-    return matches.sparkSession.createDataFrame([(k, float(v)) for k, v in zip(names, beta)], f"entity {matches.schema[a].dataType.simpleString()}, rating double")
+    return spark.createDataFrame([(k, float(v)) for k, v in zip(names, beta)], f"entity {matches.schema[a].dataType.simpleString()}, rating double")
 
 
 def coverage_interval(hits: Column, n: Column, z: float = 1.96) -> Column:
@@ -145,19 +176,55 @@ def coverage_interval(hits: Column, n: Column, z: float = 1.96) -> Column:
     return F.struct((mid - half).alias("low"), (mid + half).alias("high"))
 
 
-def poisson_race(mu_a: Column, mu_b: Column, target: int, draws: int = 20000, seed: int = 0) -> Column:
-    """Chance that side a reaches the target first, by simulation with a fixed seed."""
+def poisson_race(mu_a: Column, mu_b: Column, target: int) -> Column:
+    """Chance that side a reaches the target first, exactly; null where both rates are 0 or one is negative.
+
+    Each event is a's with chance p = mu_a / (mu_a + mu_b), so b has j events before a's last one
+    with the terms of a negative binomial, which are summed by recurrence.
+    """
+    p = F.when((mu_a >= 0) & (mu_b >= 0) & (mu_a + mu_b > 0), mu_a / (mu_a + mu_b))
+    first = F.pow(p, F.lit(target))
+    state = F.aggregate(
+        F.sequence(F.lit(1), F.lit(target - 1)) if target > 1 else F.array().cast("array<int>"),
+        F.struct(first.alias("term"), first.alias("total")),
+        lambda a, j: F.struct((a["term"] * (target - 1 + j) / j * (1 - p)).alias("term"), (a["total"] + a["term"] * (target - 1 + j) / j * (1 - p)).alias("total")),
+        lambda a: a["total"],
+    )
+    return state
+
+
+def clopper_pearson(hits: Column, n: Column, alpha: float = 0.05, steps: int = 60) -> Column:
+    """The exact binomial interval (low, high), by bisection on the beta distribution's defining sums; null for n = 0.
+
+    The tails are summed in logarithms, vectorised, so n is meant for counts of cells, not of rows.
+    """
+
+    @F.pandas_udf("low double, high double")
+    def interval(k: pd.Series, m: pd.Series) -> pd.DataFrame:
+        from math import lgamma
+
+        def at_least(x: int, size: int, p: float) -> float:
+            j = np.arange(x, size + 1)
+            ways = np.array([lgamma(size + 1) - lgamma(i + 1) - lgamma(size - i + 1) for i in j.tolist()])
+            return float(np.exp(ways + j * np.log(p) + (size - j) * np.log1p(-p)).sum())
+
+        def solve(x: int, size: int, tail: float) -> float:
+            low, high = 0.0, 1.0
+            for _ in range(steps):
+                mid = (low + high) / 2
+                low, high = (mid, high) if at_least(x, size, mid) < tail else (low, mid)
+            return (low + high) / 2
 
-    @F.pandas_udf("double")
-    def race(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
-        for ma, mb in zip(x, y):
-            rng = np.random.default_rng(seed)
-            ta, tb = rng.gamma(target, 1.0 / ma, draws), rng.gamma(target, 1.0 / mb, draws)
-            out.append(float((ta < tb).mean()))
-        return pd.Series(out)
+        for x, size in zip(k, m):
+            if pd.isna(x) or pd.isna(size) or size <= 0:
+                out.append((None, None))
+                continue
+            x, size = int(x), int(size)
+            out.append((0.0 if x == 0 else solve(x, size, alpha / 2), 1.0 if x == size else solve(x + 1, size, 1 - alpha / 2)))
+        return pd.DataFrame(out, columns=["low", "high"], dtype="float64")
 
-    return race(mu_a, mu_b)
+    return interval(hits, n)
 
 
 def affine_logit_calibration(df: DataFrame, label: str, prob: str, least: int = 200, rounds: int = 40, ridge: float = 1e-2) -> dict:
@@ -185,17 +252,27 @@ def affine_logit_calibration(df: DataFrame, label: str, prob: str, least: int =
 
 
 def isotonic_calibration(df: DataFrame, label: str, prob: str) -> DataFrame:
-    """(low, high, value): the steps of the isotonic fit of label on prob.
+    """(low, high, value): the steps of the isotonic fit of label on prob; null labels or scores do not count.
 
-    Equal probabilities are pooled first in a distributed sum of at most a few thousand cells;
-    pool-adjacent-violators then runs on those.
+    Equal scores are summed first. Ranges of scores pool their adjacent violators apart, which
+    leaves few pools each, and the pools are then pooled in order: the fit does not depend on
+    the order of pooling. The driver holds the steps alone.
     """
-    cell = F.round(F.col(prob), 3)
-    rows = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull()).groupBy(cell.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).cast("double").alias("s")).orderBy("p").collect()
-    pools: list[list[float]] = []
-    for r in rows:
-        pools.append([r["p"], r["p"], r["s"], r["n"]])
-        while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
-            last = pools.pop()
-            pools[-1] = [pools[-1][0], last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
-    return df.sparkSession.createDataFrame([(float(x[0]), float(x[1]), float(x[2] / x[3])) for x in pools], "low double, high double, value double")
+
+    def pooled(rows) -> list[list[float]]:
+        pools: list[list[float]] = []
+        for r in rows:
+            pools.append(list(r))
+            while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
+                last = pools.pop()
+                pools[-1] = [pools[-1][0], last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
+        return pools
+
+    def part(frames):
+        rows = (r for f in frames for r in zip(f["p"], f["p"], f["s"], f["n"]))
+        yield pd.DataFrame(pooled(rows), columns=["low", "high", "s", "n"], dtype="float64")
+
+    cells = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull()).groupBy(F.col(prob).cast("double").alias("p")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(label).cast("double").alias("s"))
+    found = cells.repartitionByRange("p").sortWithinPartitions("p").mapInPandas(part, "low double, high double, s double, n double")
+    steps = pooled(tuple(r) for r in found.orderBy("low").toLocalIterator())
+    return df.sparkSession.createDataFrame([(x[0], x[1], x[2] / x[3]) for x in steps], "low double, high double, value double")

@@ -92,6 +92,19 @@ def global_positions(df: DataFrame, order: list[str], n_parts: int = 64) -> Data
     return ranged.withColumn("_k", inner).join(F.broadcast(starts), "_part").withColumn("position", F.col("_start") + F.col("_k")).drop("_part", "_k", "_start")
 
 
+def sum_before(df: DataFrame, order: list[Column], value: str, out: str, n_parts: int = 64) -> DataFrame:
+    """df with the sum of value over all rows before in a global order, 0 for the first; no task sorts everything.
+
+    Rows are range-partitioned and summed by partition; only those sums meet. `order` must be total.
+    """
+    from ..storage import materialise
+
+    ranged = materialise(df.repartitionByRange(n_parts, *order).withColumn("_part", F.spark_partition_id()), "sums")
+    starts = ranged.groupBy("_part").agg(F.sum(value).alias("_total")).withColumn("_start", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_total")
+    inner = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("_inner", inner).join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + F.col("_inner")).drop("_part", "_inner", "_start")
+
+
 def time_split(df: DataFrame, order: list[str], cuts: list[tuple[str, float]]) -> DataFrame:
     """split: name of the first cut whose cumulative share lies beyond the row's position."""
     placed = global_positions(df, order)

@@ -86,14 +86,17 @@ def team_profiles(players: DataFrame, roster: int = 5) -> DataFrame:
     return players.groupBy("team").agg(F.sum("games").alias("games"), F.sum("wins").alias("wins")).join(best, "team")
 
 
-def matches(df: DataFrame, leagues=None, years=None, team: str | None = None, start: str | None = None, end: str | None = None, before: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
-    """Newest first; times are half-open, `before` is the key of the page before."""
+def matches(df: DataFrame, leagues=None, years=None, team: str | None = None, start: str | None = None, end: str | None = None, before: tuple[str, int] | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+    """Newest first, then by game_id; times are half-open, `before` is (played_at, game_id) of the last row of the page before."""
     out = df.where(any_of("league", leagues) & any_of("year", years))
     if team is not None:
         out = out.where(F.lower("team") == team.strip().lower())
-    for low, op in ((start, "ge"), (end, "lt"), (before, "lt")):
-        if low is not None:
-            out = out.where(F.col("played_at") >= low if op == "ge" else F.col("played_at") < low)
+    if start is not None:
+        out = out.where(F.col("played_at") >= start)
+    if end is not None:
+        out = out.where(F.col("played_at") < end)
+    if before is not None:
+        out = out.where((F.col("played_at") < before[0]) | ((F.col("played_at") == before[0]) & (F.col("game_id") > before[1])))
     return page(out, [F.desc("played_at"), F.asc("game_id")], limit, offset)
 
 
@@ -103,3 +106,42 @@ def entities(kinds: dict[str, DataFrame]) -> DataFrame:
         rows = df.select(F.lit(kind).alias("kind"), "name", F.col("ref").cast("string").alias("ref"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def leaderboards(players: DataFrame, min_games: int, top: int) -> DataFrame:
+    """(board, place, name, score): best by rating, by win rate from min_games on, and by rating in each role; null scores have no place.
+
+    A board's rows are cut to `top` before they are gathered.
+    """
+    rated = players.where("rating is not null")
+    boards = [
+        rated.select(F.lit("rating").alias("board"), "name", F.col("rating").cast("double").alias("score")),
+        players.where(F.col("win_rate").isNotNull() & (F.col("games") >= min_games)).select(F.lit("win_rate").alias("board"), "name", F.col("win_rate").alias("score")),
+        rated.where("role is not null").select(F.concat(F.lit("rating:"), "role").alias("board"), "name", F.col("rating").cast("double").alias("score")),
+    ]
+    rows = boards[0].unionByName(boards[1]).unionByName(boards[2])
+    w = Window.partitionBy("board").orderBy(F.desc("score"), "name")
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select("board", "place", "name", "score")
+
+
+def tier_rows(cells: DataFrame, cell: list[str], value: str, name: str, buckets: str = "ABCD") -> DataFrame:
+    """Rows with their place in their cell by value and a bucket by the share of places above."""
+    w = Window.partitionBy(*cell)
+    ranked = cells.withColumn("place", F.row_number().over(w.orderBy(F.col(value).desc_nulls_last(), name))).withColumn("_n", F.count(F.lit(1)).over(w))
+    at = F.least(F.lit(len(buckets)), F.floor((F.col("place") - 1) / F.col("_n") * len(buckets)).cast("int") + 1)
+    return ranked.withColumn("bucket", F.substring(F.lit(buckets), at, F.lit(1))).drop("_n")
+
+
+def tier_options(index: DataFrame, columns: list[str]) -> dict[str, list]:
+    """Sorted values that each column can be filtered by."""
+    got = index.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns]).first()
+    return {c: list(got[c]) for c in columns}
+
+
+def tier_filter(index: DataFrame, wanted: dict[str, list | None], games: str, min_games: int = 1) -> DataFrame:
+    """Rows of the wanted values (None: any) with at least min_games; a column that is not there is an error."""
+    for c, values in wanted.items():
+        if c not in index.columns:
+            raise ValueError(f"no column {c!r}")
+        index = index.where(any_of(c, values))
+    return index.where(F.col(games) >= min_games)

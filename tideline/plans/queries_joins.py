@@ -160,7 +160,7 @@ def cdc_apply(t: Tables) -> DataFrame:
     return cdc.apply_changes(o, n, "o_orderkey", ["o_orderstatus", "o_totalprice"])
 
 
-@query("""WITH l AS (SELECT CAST(n_nationkey AS VARCHAR) || ':' || sha256(CAST(n_nationkey AS VARCHAR) || chr(31) || n_name || chr(31) || CAST(n_regionkey AS VARCHAR)) AS line FROM nation)
+@query("""WITH l AS (SELECT CAST(n_nationkey AS VARCHAR) || ':' || sha256(list_aggregate(list_transform([CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR)], lambda v: CAST(octet_length(encode(v)) AS VARCHAR) || ':' || v), 'string_agg', '')) AS line FROM nation)
     SELECT CAST(count(*) AS BIGINT) AS row_count, CAST(sum(octet_length(encode(line))) AS BIGINT) AS byte_count, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l""")
 def dataset_digest(t: Tables) -> DataFrame:
     return cdc.dataset_digest(t.nation, "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"])
@@ -177,18 +177,18 @@ def opponent_join(t: Tables) -> DataFrame:
     return joins.opponents(t.lineitem, "l_suppkey", "l_returnflag", "l_linestatus")
 
 
-@query("""WITH p AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_orderkey % 100 = 0), c AS (SELECT *, count(*) OVER (PARTITION BY l_suppkey) AS a, count(*) OVER (PARTITION BY l_partkey) AS b FROM p)
+@query("""WITH p AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), c AS (SELECT *, count(*) OVER (PARTITION BY l_suppkey) AS a, count(*) OVER (PARTITION BY l_partkey) AS b FROM p)
     SELECT l_suppkey, l_partkey, CASE WHEN a = 1 AND b = 1 THEN 'unique' ELSE 'conflict' END AS status FROM c""")
 def id_crosswalk(t: Tables) -> DataFrame:
-    return joins.crosswalk(t.lineitem.where("l_orderkey % 100 = 0"), "l_suppkey", "l_partkey")
+    return joins.crosswalk(t.lineitem, "l_suppkey", "l_partkey")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 50 = 0 AND abs(c_nationkey - s_nationkey) <= 2),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 10000000 + l_suppkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity >= 45 AND l_discount >= 0.095),
     u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a) SELECT node, min(seen) AS label FROM r GROUP BY node""")
 def player_components(t: Tables) -> DataFrame:
-    c = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("a"))
-    e = t.lineitem.where("l_orderkey % 50 = 0").join(c, F.col("l_orderkey") == F.col("o_orderkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("a", F.col("s_nationkey").alias("b"))
-    return graph.components(e.where(F.abs(F.col("a") - F.col("b")) <= 2).distinct())
+    # A customer and a supplier are linked by a large order at full discount that was sent back.
+    strong = t.lineitem.where("l_returnflag = 'R' and l_quantity >= 45 and l_discount >= 0.095").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return graph.components(strong.select(F.col("o_custkey").alias("a"), (F.lit(10000000) + F.col("l_suppkey")).alias("b")))
 
 
 @query("""WITH r AS (SELECT o_custkey AS k, count(*) AS orders FROM orders GROUP BY ALL), c AS (SELECT c_custkey AS k, c_mktsegment FROM customer), s AS (SELECT s_suppkey AS k, s_name FROM supplier)
@@ -199,13 +199,11 @@ def full_outer_merge(t: Tables) -> DataFrame:
     return joins.full_outer({"record": r, "customer": c, "supplier": s}, "k")
 
 
-@query("""WITH n AS (SELECT o_custkey AS c, list_sort(list_distinct(list(o_orderpriority))) AS s FROM orders WHERE o_custkey <= 40 GROUP BY ALL)
-    SELECT a.c AS left_id, string_agg(CAST(CAST(round(1000000.0 * len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))) AS BIGINT) AS VARCHAR), ',' ORDER BY b.c) AS scores FROM n a, n b GROUP BY a.c""")
+@query("""WITH n AS (SELECT o_custkey AS c, list_sort(list_distinct(list(o_orderpriority))) AS s FROM orders GROUP BY ALL)
+    SELECT a.c AS left_id, b.c AS right_id, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS score FROM n a, n b WHERE a.c % 50 = 0""")
 def jaccard_similarity_matrix(t: Tables) -> DataFrame:
-    n = t.orders.where("o_custkey <= 40").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("s"))
-    held = n.agg(F.array_sort(F.collect_list(F.struct(F.col("o_custkey").alias("c"), "s"))).alias("all"))
-    score = lambda x: F.round(1e6 * jaccard(F.col("s"), x["s"])).cast("long").cast("string")
-    return n.crossJoin(F.broadcast(held)).select(F.col("o_custkey").alias("left_id"), F.array_join(F.transform("all", score), ",").alias("scores"))
+    n = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("s"))
+    return joins.set_similarities(n.where("id % 50 = 0"), n, "id", "s").select("left_id", "right_id", F.round("score", 6).alias("score"))
 
 
 @query("""WITH r AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT e.vec_id, r.vec_id AS ref, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, r WHERE e.vec_id % 50 <> 0),

@@ -55,9 +55,10 @@ def selective_threshold(t: Tables) -> DataFrame:
     return kept.agg(F.round(F.avg((F.col("y") == (F.col("p") >= 0.5).cast("int")).cast("double")), 6).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT name, round(v, 4) AS coefficient FROM (SELECT 'l_quantity' AS name, regr_slope(l_extendedprice, l_quantity) AS v FROM lineitem UNION ALL SELECT 'intercept', regr_intercept(l_extendedprice, l_quantity) FROM lineitem)""")
+@query("""WITH a AS (SELECT sum(l_quantity) AS x, sum(l_extendedprice) AS y, sum(l_quantity * l_quantity) AS xx, sum(l_quantity * l_extendedprice) AS xy, count(*) AS n FROM lineitem), b AS (SELECT *, (xy - x * y / n) / (xx - x * x / n + 10000) AS slope FROM a)
+    SELECT 'l_quantity' AS name, round(slope, 4) AS coefficient FROM b UNION ALL SELECT 'intercept', round((y - slope * x) / n, 4) FROM b""")
 def ridge_fit(t: Tables) -> DataFrame:
-    got = metrics.ridge_normal_equations(t.lineitem, ["l_quantity"], "l_extendedprice", 0.0)
+    got = metrics.ridge_normal_equations(t.lineitem, ["l_quantity"], "l_extendedprice", 10000.0)
     return t.spark.createDataFrame(list(got.items()), "name string, coefficient double").withColumn("coefficient", F.round("coefficient", 4))
 
 
@@ -74,9 +75,9 @@ def response_regret(t: Tables) -> DataFrame:
     return p.groupBy("a").agg(F.round(F.greatest(F.lit(0.0), F.avg("v") - F.percentile("v", F.lit(0.25))), 4).alias("regret"))
 
 
-@query()
+@query("""WITH p AS (SELECT n_nationkey, (n_nationkey / 10.0 + 1.0) / (n_nationkey / 10.0 + 3.0) AS p FROM nation) SELECT n_nationkey, round(pow(p, 5) * (1 + 5 * (1 - p) + 15 * pow(1 - p, 2) + 35 * pow(1 - p, 3) + 70 * pow(1 - p, 4)), 9) AS chance FROM p""")
 def poisson_race(t: Tables) -> DataFrame:
-    return t.nation.select("n_nationkey", metrics.poisson_race(F.col("n_nationkey") / 10 + 1.0, F.lit(2.0), 5).alias("chance"))
+    return t.nation.select("n_nationkey", F.round(metrics.poisson_race(F.col("n_nationkey") / 10 + 1.0, F.lit(2.0), 5), 9).alias("chance"))
 
 
 @query()
@@ -104,6 +105,12 @@ def stream_tumbling(t: Tables) -> DataFrame:
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+@query("""SELECT strftime(date_trunc('day', ts) - INTERVAL (k) DAY, '%Y-%m-%d') AS day, event_type, CAST(count(*) AS BIGINT) AS n FROM events, range(3) r(k) GROUP BY ALL""")
+def stream_sliding(t: Tables) -> DataFrame:
+    out = _run(t, stream.sliding(_stream(t), "ts", "3 days", "1 day", ["event_type"], "value"), "complete", "sliding")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
 @query("""SELECT DISTINCT user_id, event_type FROM events""")
 def stream_dedup(t: Tables) -> DataFrame:
     out = _run(t, stream.dedup(_stream(t), ["user_id", "event_type"], "ts", "3650 days"), "append", "dedup")

@@ -70,10 +70,10 @@ def role_composite(t: Tables) -> DataFrame:
     return z.select("l_orderkey", "l_linenumber", F.round(aggs.observed_composite({"a": 2.0, "b": 1.0}), 6).alias("composite"))
 
 
-@query("""WITH e AS (SELECT o_custkey AS s, max(epoch_us(o_orderdate) / 1000000.0) AS fin FROM orders WHERE o_custkey <= 300 GROUP BY ALL), r AS (SELECT o.*, fin FROM orders o JOIN e ON o_custkey = s)
+@query("""WITH e AS (SELECT o_custkey AS s, max(epoch_us(o_orderdate) / 1000000.0) AS fin FROM orders GROUP BY ALL), r AS (SELECT o.*, fin FROM orders o JOIN e ON o_custkey = s)
     SELECT a.o_orderkey, round(coalesce(median(b.o_totalprice), -1), 4) AS prior_o_orderpriority FROM r a LEFT JOIN r b ON a.o_orderpriority = b.o_orderpriority AND b.fin < a.fin GROUP BY a.o_orderkey""")
 def expanding_scope_medians(t: Tables) -> DataFrame:
-    o = t.orders.where("o_custkey <= 300").withColumn("fin", epoch_seconds("o_orderdate")).select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", "fin")
+    o = t.orders.withColumn("fin", epoch_seconds("o_orderdate")).select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", "fin")
     got = sequential.expanding_scope_medians(o, "o_custkey", "fin", ["o_orderpriority"], "o_totalprice", -1.0)
     return got.select("o_orderkey", F.round("prior_o_orderpriority", 4).alias("prior_o_orderpriority"))
 
@@ -93,11 +93,12 @@ def shapley_five(t: Tables) -> DataFrame:
     return aggs.shapley(v, "k", "mask", "v", 5).withColumn("contribution", F.round("contribution", 6))
 
 
-@query("""WITH i AS (SELECT p_brand AS k, p_partkey, p_retailprice AS s, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part), j AS (SELECT * FROM i WHERE n <= 7),
+@query("""WITH i AS (SELECT p_brand AS k, p_partkey, p_retailprice AS s, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part), j AS (SELECT * FROM i),
     c AS (SELECT a.k, a.s + b.s + c.s AS total, list_aggregate(list_sort([CAST(a.p_partkey AS VARCHAR), CAST(b.p_partkey AS VARCHAR), CAST(c.p_partkey AS VARCHAR)]), 'string_agg', '|') AS chosen FROM j a JOIN j b ON a.k = b.k AND a.n < b.n JOIN j c ON b.k = c.k AND b.n < c.n),
     r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(total, 6) DESC, chosen) AS place FROM c) SELECT k, CAST(place AS INTEGER) AS place, chosen, round(total, 4) AS total FROM r WHERE place <= 2""")
 def best_builds(t: Tables) -> DataFrame:
-    first = t.part.withColumn("n", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))).where("n <= 7")
+    # Only items that fewer than slots + top - 1 others exceed can be in a best set; ranks are cut before rows are gathered.
+    first = t.part.withColumn("n", F.rank().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice")))).where("n <= 4")
     items = first.groupBy(F.col("p_brand").alias("k")).agg(F.array_sort(F.collect_list(F.struct(F.col("p_partkey").cast("string").alias("name"), F.col("p_retailprice").alias("score")))).alias("items"))
     return aggs.best_sets(items, "k", "items", 3, "score", 2).withColumn("total", F.round("total", 4))
 
@@ -115,14 +116,16 @@ def entity_mentions(t: Tables) -> DataFrame:
     return text.mentions(t.documents, "doc_id", "text", ["the", "of the", "and"])
 
 
-@query("""WITH p AS (SELECT o_custkey AS k, list_sort(list_distinct(list(o_orderpriority || o_orderstatus))) AS s FROM orders WHERE o_custkey <= 120 GROUP BY ALL), e AS (SELECT a.k AS ref, b.k AS candidate, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS score FROM p a, p b WHERE a.k % 10 = 0 AND b.k % 10 <> 0),
+@query("""WITH p AS (SELECT o_custkey AS k, list_sort(list_distinct(list(o_orderpriority || o_orderstatus))) AS s FROM orders GROUP BY ALL), e AS (SELECT a.k AS ref, b.k AS candidate, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS score FROM p a, p b WHERE a.k % 50 = 0 AND b.k % 50 <> 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY score DESC, ref) AS n FROM e) SELECT candidate, ref, score FROM r WHERE n = 1 AND score >= 0.3""")
 def similar_candidates(t: Tables) -> DataFrame:
-    p = t.orders.where("o_custkey <= 120").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set(F.concat("o_orderpriority", "o_orderstatus")).alias("s"))
-    picked = p.where("k % 10 = 0").select(F.col("k").alias("id"))
-    refs = p.where("k % 10 = 0").select(F.col("k").alias("ref"), F.col("s").alias("rs"))
-    edges = p.crossJoin(F.broadcast(refs)).select("ref", F.col("k").alias("candidate"), F.round(jaccard("s", "rs"), 6).alias("score"))
-    return joins.viable_candidates(edges, picked, "ref", "candidate", "score", 0.3)
+    p = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set(F.concat("o_orderpriority", "o_orderstatus")).alias("s"))
+    p = p.select(F.col("k").alias("id"), F.array_sort("s").alias("s"))
+    picked = p.where("id % 50 = 0")
+    # Candidates of one set have one best reference, and of references of one set only the first counts.
+    firsts = picked.groupBy("s").agg(F.min("id").alias("id"))
+    edges = joins.set_similarities(firsts, p, "id", "s").select(F.col("left_id").alias("ref"), F.col("right_id").alias("candidate"), F.round("score", 6).alias("score"))
+    return joins.viable_candidates(edges, picked.select("id"), "ref", "candidate", "score", 0.3)
 
 
 @query(f"""WITH p AS {PLAYERS_SQL}, c AS (SELECT median(rating) AS med, avg(rating) AS mean FROM p WHERE role = 'HOUSEHOLD'), k AS (SELECT team, max(rating) AS best FROM p GROUP BY team)
@@ -175,9 +178,13 @@ def affine_calibration(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(got["status"], round(got["intercept"], 6), round(got["slope"], 6))], "status string, intercept double, slope double")
 
 
-@query()
+@query(f"""WITH c AS (SELECT p, CAST(sum(y) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM {SCORED_SQL} WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY p), u AS (SELECT p, row_number() OVER (ORDER BY p) AS k, sum(s) OVER (ORDER BY p) AS cs, sum(n) OVER (ORDER BY p) AS cn, s, n FROM c),
+    m AS (SELECT a.k AS i, b.k AS j, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS mean FROM u a JOIN u b ON b.k >= a.k), r AS (SELECT i, j, min(mean) OVER (PARTITION BY i ORDER BY j DESC) AS least FROM m),
+    f AS (SELECT j AS k, round(max(least), 9) AS value FROM r GROUP BY j) SELECT round(min(p), 6) AS low, round(max(p), 6) AS high, round(value, 6) AS value FROM f JOIN u USING (k) GROUP BY value""")
 def isotonic_calibration(t: Tables) -> DataFrame:
-    return metrics.isotonic_calibration(_scored(t), "y", "p")
+    # The fit at k is the greatest over i <= k of the least over j >= k of the means from i to j.
+    got = metrics.isotonic_calibration(_scored(t), "y", "p")
+    return got.select(*[F.round(c, 6).alias(c) for c in ("low", "high", "value")])
 
 
 @query("""SELECT conv_id, bool_or(role = 'system') AS has_system, CAST(max(turn) AS BIGINT) AS last_turn FROM conversations GROUP BY conv_id""")
@@ -196,3 +203,45 @@ def first_event_checkpoint(t: Tables) -> DataFrame:
 def checkpoint_expansion(t: Tables) -> DataFrame:
     states = F.create_map(*[x for m in (10, 20, 30) for x in (F.lit(m), F.count_if(F.col("event_id") % 60 <= m))])
     return t.events.groupBy("user_id").agg(states.alias("states")).select("user_id", F.explode("states").alias("minute", "n"))
+
+
+@query("""SELECT p_partkey, CASE WHEN t < 0 THEN NULL WHEN t < 300 THEN 152 ELSE least(278, 152 + 9 * (CAST(floor((t - 300) / 60.0) AS BIGINT) + 1)) END::BIGINT AS attack, least(n, 10) * 25::DOUBLE AS mana, CASE WHEN r BETWEEN 1 AND 5 THEN 40 + 20 * (r - 1) + n END::DOUBLE AS strike,
+    n * 0.75::DOUBLE AS power, floor(n / 20.0) * 20 AS reach, CASE WHEN n < 4 THEN 0 ELSE least(250, 75 + 25 * floor((n - 4) / 3.0)) END::DOUBLE AS marks, CASE n WHEN 1 THEN 16 WHEN 2 THEN 48 WHEN 3 THEN 64 END::DOUBLE AS burn
+    FROM (SELECT p_partkey, p_size AS n, p_size % 7 AS r, p_partkey % 2000 - 50 AS t FROM part)""")
+def stack_rules(t: Tables) -> DataFrame:
+    p = t.part.select("p_partkey", F.col("p_size").alias("n"), (F.col("p_size") % 7).alias("r"), (F.col("p_partkey") % 2000 - 50).alias("t"))
+    rule = lambda name: s.stack_bonus(name, "n", "r")
+    return p.select("p_partkey", s.turret_attack("t", 300, 152, 9, 278).alias("attack"), rule("manaflow").alias("mana"), rule("siphoning").alias("strike"), rule("mist").alias("power"), rule("mist_range").alias("reach"), rule("mark_range").alias("marks"), rule("void_ranged").alias("burn"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type, (epoch_us(ts) / 1000000.0) AS t, value FROM events)
+    SELECT a.event_id, arg_min(b.event_id, (abs(b.t - a.t), b.t, b.event_id)) AS frame, round(min(abs(b.t - a.t)), 6) AS distance FROM e a JOIN e b ON a.user_id = b.user_id AND b.event_type = 'view' WHERE a.event_type = 'error' GROUP BY a.event_id""")
+def nearest_frame(t: Tables) -> DataFrame:
+    e = t.events.select("event_id", "user_id", "event_type", epoch_seconds("ts").alias("t"))
+    frames = e.where("event_type = 'view'").select("user_id", F.col("t").alias("frame_t"), F.col("event_id").alias("frame"))
+    got = joins.nearest_frame(e.where("event_type = 'error'"), frames, ["user_id"], "t", "frame_t", ["frame"])
+    return got.where("frame is not null").select("event_id", "frame", F.round("distance", 6).alias("distance"))
+
+
+@query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_shipdate AS observed, l_shipdate + INTERVAL (l_linenumber) DAY AS available, o_orderdate + INTERVAL 60 DAY AS as_of, o_orderdate + INTERVAL 65 DAY AS start FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+    SELECT l_orderkey, l_linenumber, CASE WHEN as_of >= start THEN 'as_of_not_before_start' WHEN observed > available THEN 'available_before_observed' WHEN available > as_of THEN 'not_available_yet' WHEN as_of - observed > INTERVAL 45 DAY THEN 'stale' ELSE 'ok' END AS verdict FROM f""")
+def time_axis_guard(t: Tables) -> DataFrame:
+    j = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    f = j.select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("observed"), F.expr("l_shipdate + make_dt_interval(cast(l_linenumber as int))").alias("available"), F.expr("o_orderdate + interval 60 days").alias("as_of"), F.expr("o_orderdate + interval 65 days").alias("start"))
+    return f.select("l_orderkey", "l_linenumber", joins.time_axis("observed", "available", "as_of", "start", 45 * 86400).alias("verdict"))
+
+
+@query(f"""WITH p AS (SELECT name, role, rating, games, win_rate FROM {PLAYERS_SQL}),
+    b AS (SELECT 'rating' AS board, name, CAST(rating AS DOUBLE) AS score, row_number() OVER (ORDER BY rating DESC, name) AS place FROM p WHERE rating IS NOT NULL UNION ALL SELECT 'win_rate', name, win_rate, row_number() OVER (ORDER BY win_rate DESC, name) FROM p WHERE win_rate IS NOT NULL AND games >= 10
+    UNION ALL SELECT 'rating:' || role, name, rating, row_number() OVER (PARTITION BY role ORDER BY rating DESC, name) FROM p WHERE rating IS NOT NULL) SELECT board, CAST(place AS INTEGER) AS place, name, score FROM b WHERE place <= 30""")
+def leaderboards(t: Tables) -> DataFrame:
+    return api.leaderboards(players(t), min_games=10, top=30)
+
+
+@query(f"""WITH c AS (SELECT m.league, p.role, m.year, p.name, p.games, avg(p.rating) AS value FROM {MATCHES_SQL} m JOIN {PLAYERS_SQL} p ON m.blue = p.name GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY league, role, year ORDER BY value DESC, name) AS place, count(*) OVER (PARTITION BY league, role, year) AS n FROM c)
+    SELECT role, year, name, CAST(place AS INTEGER) AS place, substr('ABCD', least(4, CAST(floor((place - 1) / n * 4) AS INTEGER) + 1), 1) AS bucket FROM r WHERE league = 'ASIA' AND role IN ('BUILDING', 'MACHINERY') AND games >= 8""")
+def tier_index(t: Tables) -> DataFrame:
+    p = players(t).select("name", "role", "games", "rating")
+    rows = matches(t).select("league", "year", F.col("blue").alias("name")).join(p, "name").groupBy("league", "role", "year", "name", "games").agg(F.avg("rating").alias("value"))
+    index = api.tier_rows(rows, ["league", "role", "year"], "value", "name")
+    return api.tier_filter(index, {"league": ["ASIA"], "role": ["BUILDING", "MACHINERY"]}, "games", 8).select("role", "year", "name", "place", "bucket")

@@ -101,7 +101,7 @@ def availability_queue(t: Tables) -> DataFrame:
 @query()
 def mechanics_fold(t: Tables) -> DataFrame:
     ev = _events(t).select("user_id", "event_id", "t", F.col("event_type").alias("type"), F.lit("gold").alias("target"), F.col("value").alias("amount"))
-    return sequential.event_state(ev, "user_id", ["t", "event_id"], {"purchase": "add", "click": "scale", "error": "cap", "signup": "set"}, {"gold": 100.0, "shield": 0.0}, most=1000)
+    return sequential.event_state(ev, "user_id", ["t", "event_id"], {"purchase": "add", "click": "scale", "error": "cap", "signup": "set"}, {"gold": 100.0, "shield": 0.0})
 
 
 @query("""WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders)
@@ -129,10 +129,9 @@ def rank_movement(t: Tables) -> DataFrame:
     s = t.orders.groupBy("o_custkey").agg(F.round(F.sum(price), 2).alias("now"), F.round(F.sum(F.when(early, price)), 2).alias("before"))
 
     def ranks(value: str, out: str) -> DataFrame:
-        # Counts of distinct values first: the rank needs only how many rows are above.
+        # Counts of distinct values first, then sums over ranges of values: the rank needs only how many rows are above.
         per = s.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-        above = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return per.select(value, (above + 1).alias(out))
+        return windows.sum_before(per, [F.desc(value)], "_n", "_above").select(value, (F.col("_above") + 1).alias(out))
 
     out = s.join(ranks("now", "now_rank"), "now").join(ranks("before", "before_rank"), "before", "left")
     return out.select("o_custkey", "now_rank", "before_rank", (F.col("before_rank") - F.col("now_rank")).alias("movement"))
@@ -201,10 +200,10 @@ def weighted_lower_tail(t: Tables) -> DataFrame:
     return windows.lower_tail_mean(t.lineitem, ["l_suppkey"], "l_extendedprice", "l_quantity", 0.25).select("l_suppkey", F.round("tail_mean", 4).alias("tail_mean"))
 
 
-@query("""WITH e AS (SELECT *, CAST(ts AS DATE) - DATE '1970-01-01' AS d FROM events), p AS (SELECT a.event_id, any_value(a.value) AS v, count(b.value) AS n, median(b.value) AS m FROM e a LEFT JOIN e b ON a.event_type = b.event_type AND b.d < a.d AND a.event_id % 40 = 0 GROUP BY a.event_id),
-    s AS (SELECT a.event_id, median(abs(b.value - p.m)) AS mad, quantile_cont(b.value, 0.75) - quantile_cont(b.value, 0.25) AS iqr FROM e a JOIN p ON a.event_id = p.event_id JOIN e b ON a.event_type = b.event_type AND b.d < a.d AND a.event_id % 40 = 0 GROUP BY a.event_id)
-    SELECT p.event_id, round(CASE WHEN n < 30 THEN NULL WHEN mad > 0 THEN (v - m) / (mad * 1.4826) WHEN iqr > 0 THEN (v - m) / (iqr / 1.349) END, 6) AS z FROM p LEFT JOIN s ON p.event_id = s.event_id WHERE p.event_id % 40 = 0""")
+@query("""WITH e AS (SELECT *, CAST(ts AS DATE) - DATE '1970-01-01' AS d FROM events), k AS (SELECT DISTINCT event_type, d FROM e), p AS (SELECT k.event_type, k.d, count(b.value) AS n, median(b.value) AS m, quantile_cont(b.value, 0.75) - quantile_cont(b.value, 0.25) AS iqr FROM k LEFT JOIN e b ON k.event_type = b.event_type AND b.d < k.d GROUP BY ALL),
+    s AS (SELECT p.event_type, p.d, median(abs(b.value - p.m)) AS mad FROM p JOIN e b ON p.event_type = b.event_type AND b.d < p.d GROUP BY ALL)
+    SELECT event_id, round(CASE WHEN n < 30 THEN NULL WHEN mad > 0 THEN (value - m) / (mad * 1.4826) WHEN iqr > 0 THEN (value - m) / (iqr / 1.349) END, 6) AS z FROM e JOIN p USING (event_type, d) LEFT JOIN s USING (event_type, d)""")
 def expanding_robust_z(t: Tables) -> DataFrame:
     e = t.events.select("event_type", F.unix_date(F.col("ts").cast("date")).alias("d"), "value", "event_id")
     z = windows.expanding_robust_z(e, ["event_type"], "d", "value", 30, ["event_id"])
-    return z.where("event_id % 40 = 0").select("event_id", F.round("z", 6).alias("z"))
+    return z.select("event_id", F.round("z", 6).alias("z"))

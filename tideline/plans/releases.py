@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,9 @@ class ReleaseError(ValueError):
 class Releases:
     """staging -> active -> superseded; one active release at a time.
 
-    Data lie under <root>/data/<id>; the state of all releases is one small JSON file that is
-    replaced whole, so readers see either the old pointer or the new one.
+    Data lie under <root>/data/<id>. The state of all releases is one small JSON file a version,
+    written aside and renamed to its number; the newest number is the state, so a crash at any
+    point leaves the old state or the new one. Of two writers of one number the later fails.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -27,20 +29,34 @@ class Releases:
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._version = 0
 
     def _read(self) -> dict:
-        at = self._path(f"{self.root}/state.json")
-        if not self._fs.exists(at):
+        self._version = max(self._versions(), default=0)
+        if not self._version:
             return {}
-        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.root}/state.json").first()[0])
+        return json.loads(self.spark.read.option("wholetext", True).text(self._state_path(self._version)).first()[0])
 
-    def _write(self, state: dict) -> None:
-        temp, at = self._path(f"{self.root}/state.json.new"), self._path(f"{self.root}/state.json")
+    def _state_path(self, version: int) -> str:
+        return f"{self.root}/state/{version:012d}.json"
+
+    def _versions(self) -> list[int]:
+        folder = self._path(f"{self.root}/state")
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return [int(n[:-5]) for n in names if n.endswith(".json")]
+
+    def _write(self, state: dict, kept: int = 5) -> None:
+        at = self._path(self._state_path(self._version + 1))
+        temp = self._path(f"{self.root}/state/.new-{uuid.uuid4().hex}")
         out = self._fs.create(temp, True)
         out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
         out.close()
-        self._fs.delete(at, False)
-        self._fs.rename(temp, at)
+        if self._fs.exists(at) or not self._fs.rename(temp, at):
+            self._fs.delete(temp, False)
+            raise ReleaseError("the state changed meanwhile")
+        self._version += 1
+        for old in sorted(self._versions())[:-kept]:
+            self._fs.delete(self._path(self._state_path(old)), False)
 
     def _step(self, release: str, need: str, to: str) -> None:
         state = self._read()
@@ -110,7 +126,7 @@ class Releases:
 
 
 class RunLedger:
-    """Ordered stages of a run with wall and CPU seconds and row counts."""
+    """Ordered stages of a run with wall seconds, the driver's CPU seconds, and row counts; counting belongs to the stage."""
 
     def __init__(self, stages: list[str]):
         self.stages, self.rows = stages, []
@@ -123,7 +139,8 @@ class RunLedger:
         row = {"stage": stage, "status": "failed"}
         self.rows.append(row)
         out = work()
-        row |= {"status": "finished", "wall_s": time.time() - wall, "cpu_s": time.process_time() - cpu, "rows": None if out is None else out.count()}
+        rows = None if out is None else out.count()
+        row |= {"status": "finished", "wall_s": time.time() - wall, "driver_cpu_s": time.process_time() - cpu, "rows": rows}
         return out
 
 

@@ -15,27 +15,36 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, glob: str =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", glob).parquet(path)
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders under path whose writing was completed."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return [p.getName() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there now and return what it wrote.
+    """Run a stream over all that is there now and return what it wrote, in this run and earlier ones.
 
     Each batch overwrites a folder of its own beside the checkpoint, so a repeated batch leaves
     no double rows and nothing is gathered on the driver. In complete mode the last batch is the
     result, in append mode all are together.
     """
-    out, epochs = f"{checkpoint}-out", []
+    spark, out = stream.sparkSession, f"{checkpoint}-out"
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/{epoch}")
-        epochs.append(epoch)
 
     q = stream.writeStream.queryName(name).outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    kept = epochs[-1:] if mode == "complete" else sorted(set(epochs))
+    epochs = sorted(map(int, _folders(spark, out)))
+    kept = epochs[-1:] if mode == "complete" else epochs
     if not kept:
-        return stream.sparkSession.createDataFrame([], stream.schema)
-    return stream.sparkSession.read.schema(stream.schema).parquet(*[f"{out}/{e}" for e in kept])
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{out}/{e}" for e in kept])
 
 
 def dedup(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
@@ -52,6 +61,12 @@ def tumbling(stream: DataFrame, time: str, width: str, keys: list[str], value: s
     return stream.withWatermark(time, delay).groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), *keys, "n", "total")
 
 
+def sliding(stream: DataFrame, time: str, width: str, slide: str, keys: list[str], value: str, delay: str = "1 hour") -> DataFrame:
+    """Counts and sums of overlapping windows of `width`, one each `slide`."""
+    w = F.window(time, width, slide)
+    return stream.withWatermark(time, delay).groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), *keys, "n", "total")
+
+
 def sessions(stream: DataFrame, time: str, gap: str, key: str, delay: str = "1 hour") -> DataFrame:
     return stream.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
@@ -95,23 +110,30 @@ def receipt(stream: DataFrame, raw: str) -> DataFrame:
     return stream.withColumn("raw_sha256", F.sha2(raw, 256)).withColumn("received_at", F.current_timestamp())
 
 
-def upsert_latest(path: str, key: str, seq: str):
-    """A foreachBatch sink that keeps the newest row per key; each batch writes a new version and moves the pointer."""
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    """Number of the newest version that was completed; null without any."""
+    return max((int(n[1:]) for n in _folders(spark, path) if n.startswith("v")), default=None)
+
+
+def upsert_latest(path: str, key: str, seq: str, kept: int = 3):
+    """A foreachBatch sink that keeps the newest row per key: each batch writes the next version.
+
+    The newest completed version is the table, so a crash at any point leaves the old one or the
+    new one. The last `kept` versions stay.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        pointer = f"{path}/pointer"
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pointer)
-        fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        rows = batch
-        if fs.exists(fs_path):
-            version = spark.read.text(pointer).first()[0]
-            if version == f"v{epoch}":
-                return
-            rows = spark.read.parquet(f"{path}/{version}").unionByName(batch)
+        last = latest_version(spark, path)
+        if last is not None and last >= epoch:
+            return
+        rows = batch if last is None else spark.read.parquet(f"{path}/v{last}").unionByName(batch)
         cols = [c for c in batch.columns if c != key]
         newest = rows.groupBy(key).agg(F.max_by(F.struct(*cols), seq).alias("_r")).select(key, "_r.*").select(*batch.columns)
         newest.write.mode("overwrite").parquet(f"{path}/v{epoch}")
-        spark.createDataFrame([(f"v{epoch}",)], "v string").coalesce(1).write.mode("overwrite").text(pointer)
+        jvm = spark.sparkContext._jvm
+        for old in sorted(int(n[1:]) for n in _folders(spark, path) if n.startswith("v"))[:-kept]:
+            at = jvm.org.apache.hadoop.fs.Path(f"{path}/v{old}")
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     return write
