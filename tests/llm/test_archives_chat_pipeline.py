@@ -220,3 +220,22 @@ def test_pipeline_on_odd_rows(spark, sf):
     assert out.count() > 0
     none = docs.limit(0)
     assert cp.pack(spark, cp.mix(spark, cp.near_dedup(spark, cp.exact_dedup(spark, cp.quality(spark, none, sf), sf), sf), sf), sf).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_run_and_equal_their_sql(spark, sf, name):
+    import duckdb
+
+    df = queries.QUERIES[name](spark, sf)
+    got = Counter(tuple(r[c] for c in sorted(df.columns)) for r in df.collect()) if name != "pipeline" else df.count()
+    assert got
+    if name in queries.ORACLE_SQL:
+        con = duckdb.connect()
+        for t in ("documents", "pages", "conversations"):
+            con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+        cur = con.execute(queries.ORACLE_SQL[name])
+        names = [d[0] for d in cur.description]
+        assert got == Counter(tuple(r[names.index(c)] for c in sorted(names)) for r in cur.fetchall())
+    elif name != "pipeline":
+        ids = Counter(r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+        assert set(r[sorted(df.columns).index("doc_id")] for r in got) == set(ids)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +44,13 @@ def running_offsets(df: DataFrame, group: str, bucket: str, order: list[Column],
     return local.join(starts, [group, bucket]).withColumn(out, F.col("_start") + F.col("_local")).drop("_start", "_local")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, so that what is made of a batch of texts stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     """The texts of a string column as bytes."""
     return column.cast(pa.binary()).to_pylist()

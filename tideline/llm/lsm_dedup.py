@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
-from ._shared import materialise, scratch_path, utf8
+from ._shared import materialise, scratch_path, sliced, utf8
 
 RUN_SCHEMA = "memtable string, digest binary, keep_id long, copies long, filter binary"
 LEVEL1_SCHEMA = "digest binary, keep_id long, copies long, first binary, filter binary"
@@ -36,7 +36,7 @@ def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, sha) per row; sha is the SHA-256 of the normalised text."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sha = [hashlib.sha256(normalise(x)).digest() for x in utf8(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary())], names=["doc_id", "sha"])
 
@@ -247,7 +247,7 @@ def verified_collisions(docs: DataFrame, index: DigestIndex, digest_bytes: int,
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, bytes] = {}
         held_bytes = 0
-        for b in batches:
+        for b in sliced(batches):
             texts = [normalise(x) for x in utf8(b.column(0))]
             digests = [hashlib.sha256(x).digest()[:digest_bytes] for x in texts]
             out = []
@@ -322,14 +322,14 @@ def unique_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = index.may_repeat(rows).where("hit").join(repeated, "digest", "left_anti").select("digest", F.col("doc_id").alias("id"))
     kept = materialise(repeated.unionByName(alone).join(bad, "digest", "left_anti"), "lsm-kept")
     held = docs.sparkSession.sparkContext.broadcast(index.hit_filters())
-    names = ["row", "id", "digest", "hit"]
+    names, at = ["row", "id", "digest", "hit"], docs.columns.index(text_col)
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            digests = [hashlib.sha256(normalise(x)).digest() for x in utf8(b.column(2))]
+        for b in sliced(batches):
+            digests = [hashlib.sha256(normalise(x)).digest() for x in utf8(b.column(0).field(at))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(in_ranges(*held.value, digests))], names=names)
 
-    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"))
     schema = StructType([whole.schema["row"], whole.schema["id"], StructField("digest", BinaryType()), StructField("hit", BooleanType())])
     flagged = whole.mapInArrow(flag, schema)
     hits = flagged.where("hit").drop("hit")

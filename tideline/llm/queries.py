@@ -24,7 +24,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, max_bits=4, check_bits=-1, min_similarity=None)
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, max_bits=4)
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ._shared import materialise, utf8
+from ._shared import materialise, sliced, utf8
 
 BITS = 64
 #: Cost of one filed or probing row against one verified pair.
@@ -66,7 +66,7 @@ def fingerprint(text: bytes | None, width: int) -> int:
 class _WordCodes(dict):
     """XXH64 of words, each hashed once while the table is below its bound."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 100_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -116,7 +116,7 @@ def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col:
     """(doc_id, fp) per row. Null and wordless texts have fingerprint zero."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), _signed([fingerprint(x, width) for x in utf8(b.column(1))])], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(scan, "doc_id long, fp long")
@@ -127,7 +127,7 @@ def set_fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_c
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _WordCodes()
-        for b in batches:
+        for b in sliced(batches):
             sets = [shingle_set(x, width, codes) for x in utf8(b.column(1))]
             fp = [set_fingerprint(x) for x in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), _signed([f[0] for f in fp]), _signed([f[1] for f in fp]), pa.array([len(x) for x in sets], pa.int32()), b.column(2)], names=["doc_id", "fp", "fp2", "size", "node"])
@@ -486,11 +486,11 @@ def shingle_levels(source: DataFrame, width: int, bits: int, slice_bits: int = 1
             slot, times = np.unique(np.concatenate(held) >> np.uint64(64 - bits), return_counts=True)
             total[slot] += times.astype(np.uint32)
 
-        for b in batches:
+        for b in sliced(batches):
             for text in utf8(b.column(0)):
                 held.append(shingle_set(text, width, codes))
                 n += len(held[-1])
-                if n > 2_000_000:
+                if n > 500_000:
                     add()
                     held, n = [], 0
         if held:
@@ -514,7 +514,7 @@ def shingle_levels(source: DataFrame, width: int, bits: int, slice_bits: int = 1
     return out
 
 
-def prefix_links(docs: DataFrame, nodes: DataFrame, width: int, least: float, all_bits: int, bits: int = 24, block: int = 8192, text_col: str = "text") -> DataFrame:
+def prefix_links(docs: DataFrame, nodes: DataFrame, width: int, least: float, all_bits: int, bits: int = 22, block: int = 8192, text_col: str = "text") -> DataFrame:
     """(a, b) of nodes: enough pairs to connect every two texts whose Jaccard similarity is `least` or more.
 
     Two such sets of n and m shingles share one of the first n - ceil(least n) + 1 and
@@ -534,7 +534,7 @@ def prefix_links(docs: DataFrame, nodes: DataFrame, width: int, least: float, al
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _WordCodes()
-        rows = ((prefix(text, codes), node) for b in batches for text, node in zip(utf8(b.column(0)), b.column(1).to_pylist()))
+        rows = ((prefix(text, codes), node) for b in sliced(batches) for text, node in zip(utf8(b.column(0)), b.column(1).to_pylist()))
         yield from _gathered((r for r in rows if len(r[0])), ["key", "node"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -611,7 +611,7 @@ def verified_links(texts: DataFrame, width: int, least: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i, _ in edges], pa.int64()), pa.array([held[j][0] for _, j in edges], pa.int64())], names=["a", "b"])
 
         for b in batches:
-            for label, pair, node, text in zip(*(b.column(k).to_pylist() for k in range(3)), utf8(b.column(3))):
+            for label, pair, node, text in ((*x, t) for s in sliced([b]) for *x, t in zip(*(s.column(k).to_pylist() for k in range(3)), utf8(s.column(3)))):
                 if (label, pair) != key:
                     if len(held) > 1:
                         yield out()
