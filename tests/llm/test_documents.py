@@ -564,19 +564,22 @@ def test_token_counts(docs):
     for r in rows():
         found = [cache.setdefault(w, None) or cache.__setitem__(w, brute(w)) or cache[w] for w in words(r[1])]
         want[r[0], len(found), sum(f[0] for f in found), sum(f[1] for f in found)] += 1
-    got = trie_tokens.token_counts(docs, most_nodes=200).collect()
+    got = trie_tokens.token_counts(docs, most_held=200).collect()
     assert Counter(map(tuple, got)) == want
 
 
 def test_trie_scores_shared_prefixes_once():
     pieces, byte = trie_tokens.load_pieces(trie_tokens.VOCABULARY)
-    trie = trie_tokens.UnigramTrie(pieces, byte, depth=8)
-    trie.tokens(b"reading")
-    n = trie.nodes_scored
-    trie.tokens(b"readers")
-    assert trie.nodes_scored == n + 3
-    long = trie.tokens(b"x" * 20000)
-    assert long == trie_tokens.UnigramTrie(pieces, byte, depth=10**6).tokens(b"x" * 20000)
+    trie = trie_tokens.UnigramTrie(pieces, byte)
+    trie.insert([b"readers", b"reading", b"rest"])
+    assert trie.nodes_scored == 8 + 3 + 2  # the space mark and "readers"; "ing"; "st"
+    long = trie_tokens.UnigramTrie(pieces, byte, depth=8)
+    for word in (b"x" * 20000, "caf\u00e9\u6f22".encode() * 3000, b"readers"):
+        assert long.tokens(word) == trie_tokens.UnigramTrie(pieces, byte, depth=10**6).tokens(word)
+    small = trie_tokens.UnigramTrie(pieces, byte, most_held=100)
+    for k in range(2000):
+        small.tokens(b"w" * 500 + str(k).encode())
+    assert len(small.terminal) <= 20
 
 
 def test_classifier_learns_and_scores_all(spark, docs):

@@ -1,8 +1,8 @@
 """Token counts of texts under a unigram model, with scores shared along a trie.
 
-Distinct pre-tokens are inserted in a trie. The best score of a prefix depends on the prefix
-alone, so each trie node is scored once, from the nodes above it; a node where a pre-token ends
-keeps its token count for every later occurrence.
+Distinct pre-tokens are inserted in a trie, in order. The best score of a prefix depends on the
+prefix alone, so each trie node is scored once, from the nodes above it; where a pre-token ends
+its token count is kept for every later occurrence.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import utf8
+from ._shared import sliced, utf8
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -38,95 +38,104 @@ def load_pieces(path: str) -> tuple[dict[str, float], float]:
 
 
 class UnigramTrie:
-    """Trie of scored prefixes. Pre-tokens longer than `depth` share their first `depth` characters only.
-
-    most_nodes bounds nodes, terminal counts and long pre-tokens together; a fuller trie starts anew.
+    """Best scores of prefixes, one for each node of the trie of the pre-tokens.
+
+    Distinct pre-tokens are inserted in order, so the nodes that one shares with the trie are
+    those that it shares with the pre-token before: the path to that is at hand, and only the
+    nodes behind the shared prefix are scored. The counts where pre-tokens end are kept for
+    later occurrences; most_held bounds those counts and, in steps of 64 bytes, the pre-tokens
+    they belong to. Fuller, they are forgotten. A pre-token of more than `depth` characters is
+    scored by itself, in a window as long as the longest piece.
     """
 
-    def __init__(self, pieces: dict[str, float], byte_score: float, most_nodes: int = 1_000_000, depth: int = 48):
-        self.pieces, self.byte_score = pieces, byte_score
+    def __init__(self, pieces: dict[str, float], byte_score: float, most_held: int = 1_000_000, depth: int = 2000):
+        self.byte_score, self.most_held, self.depth = byte_score, most_held, depth
         self.longest = max(map(len, pieces), default=1)
-        self.most_nodes, self.depth = most_nodes, depth
+        # Scores of pieces; ends of pieces that are none have none. What is no end of a piece ends a search.
+        self.ends: dict[str, float | None] = {x[k:]: None for x in pieces for k in range(len(x))} | pieces
         self.nodes_scored = 0
-        self.clear()
-
-    def clear(self) -> None:
-        self.children: dict[tuple[int, str], int] = {}
-        self.score, self.count, self.fallback = [0.0], [0], [0]
         self.terminal: dict[bytes, tuple[int, int]] = {}
-        self.held = 0  # nodes, terminals, and bytes of long pre-tokens in steps of 64
-
-    def _step(self, chars: str, i: int, score: list[float], count: list[int], fallback: list[int], base: int) -> tuple[float, int, int]:
-        """Best (score, tokens, byte tokens) of chars[: i + 1]; the lists hold those of chars[:k] at k - base."""
-        n = len(chars[i].encode("utf-8", "surrogatepass"))
-        k = i - base
-        best, tokens, byte = score[k] + n * self.byte_score, count[k] + n, fallback[k] + n
-        for j in range(max(0, i + 1 - self.longest), i + 1):
-            s = self.pieces.get(chars[j : i + 1])
-            if s is not None and score[j - base] + s > best:
-                best, tokens, byte = score[j - base] + s, count[j - base] + 1, fallback[j - base]
-        return best, tokens, byte
-
-    def tokens(self, word: bytes) -> tuple[int, int]:
-        """(tokens, byte tokens) of one word; a space mark goes before it."""
-        known = self.terminal.get(word)
-        if known is not None:
-            return known
-        if self.held > self.most_nodes:
-            self.clear()
-        chars = SPACE + word.decode("utf-8", "replace")
-        node, path = 0, [0]
-        score, count, fallback = [0.0], [0], [0]
-        for i in range(min(len(chars), self.depth)):
-            child = self.children.get((node, chars[i]))
-            if child is None:
-                found = self._step(chars, i, score, count, fallback, 0)
-                child = len(self.score)
-                self.children[node, chars[i]] = child
-                for held, x in zip((self.score, self.count, self.fallback), found):
-                    held.append(x)
-                self.nodes_scored += 1
-                self.held += 1
-            node = child
-            path.append(node)
-            score.append(self.score[node])
-            count.append(self.count[node])
-            fallback.append(self.fallback[node])
-        base = 0
-        for i in range(self.depth, len(chars)):
-            for held, x in zip((score, count, fallback), self._step(chars, i, score, count, fallback, base)):
-                held.append(x)
-            if len(score) > 4096:
+        self.held = 0
+
+    def _score(self, chars: str, first: int, score: list[float], count: list[int], fallback: list[int], base: int = 0) -> None:
+        """Append (score, tokens, byte tokens) of the best way to chars[: i + 1], from i = first on; the lists hold those of chars[:k] at k - base."""
+        ends, byte_score = self.ends, self.byte_score
+        for i in range(first, len(chars)):
+            char = chars[i]
+            n = 1 if char < "\x80" else len(char.encode("utf-8", "surrogatepass"))
+            k = i - base
+            best, tokens, byte, piece = score[k] + n * byte_score, count[k] + n, fallback[k] + n, False
+            j = i
+            while j >= base:
+                s = ends.get(chars[j : i + 1], 0.0)
+                if s == 0.0:
+                    break
+                if s is not None:
+                    x = score[j - base] + s
+                    if x > best or (piece and x == best):
+                        best, tokens, byte, piece = x, count[j - base] + 1, fallback[j - base], True
+                j -= 1
+            score.append(best)
+            count.append(tokens)
+            fallback.append(byte)
+            if len(score) > 2 * self.depth + 2 * self.longest:
                 drop = len(score) - self.longest - 1
-                score, count, fallback = score[drop:], count[drop:], fallback[drop:]
+                del score[:drop], count[:drop], fallback[:drop]
                 base += drop
-        out = (count[-1], fallback[-1])
-        self.terminal[word] = out
-        self.held += 1 + len(word) // 64
-        return out
+
+    def insert(self, words: list[bytes]) -> None:
+        """Score pre-tokens, sorted and distinct; a space mark goes before each."""
+        score, count, fallback, before = [0.0], [0], [0], ""
+        for word in words:
+            if self.held > self.most_held:
+                self.terminal, self.held = {}, 0
+            chars = SPACE + word.decode("utf-8", "replace")
+            if len(chars) > self.depth:
+                path = [0.0], [0], [0]
+                self._score(chars, 0, *path)
+                found = path[1][-1], path[2][-1]
+                self.nodes_scored += len(chars)
+            else:
+                shared, most = 0, min(len(before), len(chars))
+                while shared < most and before[shared] == chars[shared]:
+                    shared += 1
+                del score[shared + 1 :], count[shared + 1 :], fallback[shared + 1 :]
+                self._score(chars, shared, score, count, fallback)
+                self.nodes_scored += len(chars) - shared
+                found, before = (count[-1], fallback[-1]), chars
+            self.terminal[word] = found
+            self.held += 1 + len(word) // 64
+
+    def tokens(self, word: bytes) -> tuple[int, int]:
+        """(tokens, byte tokens) of one pre-token."""
+        if word not in self.terminal:
+            self.insert([word])
+        return self.terminal[word]
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, most_nodes: int = 1_000_000) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, most_held: int = 1_000_000) -> DataFrame:
     """One row per input row: doc_id, n_pretokens, n_tokens, n_byte_tokens.
 
     Pre-tokens are the words of the whole text (runs other than space and U+0009-000D), each
-    with a space mark before it. Null, empty and wordless texts count 0. Each task has a trie of
-    bounded size of its own, so nothing is shuffled. Equal scores prefer byte tokens, then the
+    with a space mark before it. Null, empty and wordless texts count 0. A task scores the distinct
+    pre-tokens of some thousands of rows at a time that it does not know yet, so nothing is
+    shuffled and memory is bounded. The scores are a proxy (see load_pieces). Equal scores prefer byte tokens, then the
     longest last piece. An empty table gives no rows.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = UnigramTrie(*load_pieces(vocabulary), most_nodes)
-        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+        trie = UnigramTrie(*load_pieces(vocabulary), most_held)
+        for b in sliced(batches, 4096):
             out = []
-            texts = [x.split() if x else [] for x in utf8(b.column(1))]
-            # The batch's distinct pre-tokens go in sorted, so that shared prefixes follow each other.
-            for w in sorted(set().union(*texts).difference(trie.terminal)):
-                trie.tokens(w)
+            texts = utf8(b.column(1))
+            distinct: set[bytes] = set()
+            for x in texts:
+                distinct.update(x.split() if x else ())
+            trie.insert(sorted(distinct.difference(trie.terminal)))
             known = trie.terminal.get
-            for words in texts:
-                found = [known(w) or trie.tokens(w) for w in words]
-                out.append((len(words), sum(map(itemgetter(0), found)), sum(map(itemgetter(1), found))))
+            for x in texts:
+                found = [known(w) or trie.tokens(w) for w in x.split()] if x else []
+                out.append((len(found), sum(map(itemgetter(0), found)), sum(map(itemgetter(1), found))))
             cols = np.array(out, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(cols[:, k]) for k in range(3))], names=["doc_id", "n_pretokens", "n_tokens", "n_byte_tokens"])
 
