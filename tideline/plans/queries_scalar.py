@@ -110,12 +110,12 @@ def bm25_search(t: Tables) -> DataFrame:
 
 
 @query("""WITH tk AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS t, list_filter(string_split_regex(lower(coalesce(source, '')), '[^a-z0-9]+'), lambda x: x <> '') AS s FROM documents),
-    c AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(t) + len(s)) AS al FROM tk), h AS (SELECT doc_id, CAST(len(t) + len(s) AS DOUBLE) AS l, len(list_filter(t, lambda x: x = 'the')) + 4.0 * len(list_filter(s, lambda x: x = 'the')) AS a, len(list_filter(t, lambda x: x = 'web')) + 4.0 * len(list_filter(s, lambda x: x = 'web')) AS b FROM tk),
+    c AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(t) + len(s)) AS al FROM tk), h AS (SELECT doc_id, CAST(len(t) + len(s) AS DOUBLE) AS l, len(list_filter(t, lambda x: x = 'the')) + 4.0 * len(list_filter(s, lambda x: x = 'the')) AS a, len(list_filter(t, lambda x: x = 'src3')) + 4.0 * len(list_filter(s, lambda x: x = 'src3')) AS b FROM tk),
     d AS (SELECT CAST(count(*) FILTER (WHERE a > 0) AS DOUBLE) AS da, CAST(count(*) FILTER (WHERE b > 0) AS DOUBLE) AS db FROM h)
     SELECT doc_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / al)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / al)), 4) AS score FROM h, c, d WHERE a > 0 AND b > 0 ORDER BY score DESC, doc_id LIMIT 10""")
 def weighted_search(t: Tables) -> DataFrame:
     index = text.search_index(t.documents, "doc_id", ["source", "text"], t.path("documents"))
-    return index.search(["the", "web"], {"source": 4.0, "text": 1.0}).select("doc_id", F.round("score", 4).alias("score"))
+    return index.search(["the", "src3"], {"source": 4.0, "text": 1.0}).select("doc_id", F.round("score", 4).alias("score"))
 
 
 @query("""SELECT event_id, event_type = 'error' AS has_secret FROM events""")
