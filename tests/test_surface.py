@@ -91,6 +91,14 @@ def test_events_to_games_with_verified_summary(spark, tmp_path):
     assert got == {1: 100, 2: 200}
 
 
+def test_ten_player_rows(spark):
+    people = [{"teamID": 100 if k < 5 else 200, "role": "TOP", "summonerName": f" p{k} ", "championName": None if k == 3 else "C"} for k in range(10)]
+    games = spark.createDataFrame([(1, json.dumps({"participants": people}), 200), (2, json.dumps({"participants": people[:9]}), 100), (3, json.dumps({"participants": people}), None), (4, "bad", 100), (5, None, 100)], "game long, start string, winner int")
+    got = scans.players_from_games(games, "game").collect()
+    assert len(got) == 10 and {r["game"] for r in got} == {1} and sum(r["result"] for r in got) == 5
+    assert [(r["side"], r["position"], r["champion"], r["result"]) for r in got if r["player"] == "p3"] == [("Blue", "top", "Unknown", 0)]
+
+
 def test_sinks_and_staging(spark, tmp_path):
     df = spark.createDataFrame([(1, 2023, "a"), (2, 2024, "b")], "k long, oe_year int, v string")
     scans.write_partitions(df, str(tmp_path / "t"), ["oe_year"])

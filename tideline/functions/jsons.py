@@ -69,3 +69,26 @@ def row_digest(*cols: str) -> Column:
 def bounded_array(arr: Column, most: int, most_bytes: int) -> Column:
     """At most so many items, each of 1 to most_bytes bytes after trimming."""
     return (F.size(arr) <= most) & F.forall(arr, lambda x: F.octet_length(F.trim(x)).between(1, most_bytes))
+
+
+def decode_list(json: Column) -> Column:
+    """(count, values) of a JSON list, values as text and null for null; null where the text is no list."""
+    values = F.from_json(json, "array<string>")
+    return F.when(values.isNotNull() & F.ltrim(json).startswith("["), F.struct(F.size(values).cast("long").alias("count"), values.alias("values")))
+
+
+def at_path(json: Column, path: list[str]) -> Column:
+    """The value under nested keys as text; null where a key is missing."""
+    return F.get_json_object(json, "$" + "".join(f"['{k}']" for k in path))
+
+
+def merged(*maps: Column) -> Column:
+    """One map of all entries; of equal keys the last map's value stays. Null maps count as empty."""
+    out = None
+    for m in maps:
+        out = m if out is None else F.coalesce(F.map_concat(_without(out, m), m), out, m)
+    return out
+
+
+def _without(m: Column, other: Column) -> Column:
+    return F.map_filter(m, lambda k, _: ~F.array_contains(F.map_keys(other), k))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars as s, text
+from ..functions import jsons, scalars as s, text
 from ..functions.scalars import epoch_seconds, jaccard
 from ..operators import aggs, joins, metrics, sequential
 from . import api
@@ -245,3 +245,47 @@ def tier_index(t: Tables) -> DataFrame:
     rows = matches(t).select("league", "year", F.col("blue").alias("name")).join(p, "name").groupBy("league", "role", "year", "name", "games").agg(F.avg("rating").alias("value"))
     index = api.tier_rows(rows, ["league", "role", "year"], "value", "name")
     return api.tier_filter(index, {"league": ["ASIA"], "role": ["BUILDING", "MACHINERY"]}, "games", 8).select("role", "year", "name", "place", "bucket")
+
+
+@query("""SELECT c_custkey, CAST(json_array_length(j) AS BIGINT) AS n, list_aggregate(list_transform(range(CAST(json_array_length(j) AS BIGINT)), lambda i: coalesce(json_extract_string(j, '$[' || i || ']'), '-')), 'string_agg', '|') AS items, 'deep:' || c_mktsegment AS nested
+    FROM (SELECT *, CASE WHEN c_custkey % 5 = 0 THEN '[1,null,"x y"]' ELSE '["' || c_name || '",' || c_nationkey || ']' END AS j FROM customer)""")
+def json_list_decode(t: Tables) -> DataFrame:
+    j = F.when(F.col("c_custkey") % 5 == 0, F.lit('[1,null,"x y"]')).otherwise(F.concat(F.lit('["'), "c_name", F.lit('",'), F.col("c_nationkey").cast("string"), F.lit("]")))
+    doc = F.to_json(F.struct(F.struct(F.concat(F.lit("deep:"), "c_mktsegment").alias("b c")).alias("a")))
+    got = t.customer.select("c_custkey", jsons.decode_list(j).alias("d"), jsons.at_path(doc, ["a", "b c"]).alias("nested"))
+    return got.select("c_custkey", F.col("d.count").alias("n"), F.array_join("d.values", "|", "-").alias("items"), "nested")
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'own' ELSE n_name END AS name, 'r' || n_regionkey AS region, CASE WHEN n_nationkey % 3 = 0 THEN 3 ELSE 2 END::BIGINT AS keys FROM nation""")
+def map_merge(t: Tables) -> DataFrame:
+    base = F.create_map(F.lit("name"), F.col("n_name"), F.lit("region"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")))
+    own = F.when(F.col("n_nationkey") % 3 == 0, F.create_map(F.lit("name"), F.lit("own"), F.lit("extra"), F.lit("1")))
+    m = t.nation.select("n_nationkey", jsons.merged(base, own).alias("m"))
+    return m.select("n_nationkey", F.col("m")["name"].alias("name"), F.col("m")["region"].alias("region"), F.size("m").cast("long").alias("keys"))
+
+
+@query("""WITH o AS (SELECT l_orderkey, count(*) AS lines, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS returned, max(l_quantity) AS most FROM lineitem GROUP BY ALL)
+    SELECT l.l_orderkey, l.l_linenumber, CAST(lines AS BIGINT) AS lines, CAST(returned AS BIGINT) AS returned, round(l.l_quantity / most, 6) AS of_most FROM lineitem l JOIN o USING (l_orderkey)""")
+def group_to_member(t: Tables) -> DataFrame:
+    o = t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.max("l_quantity").alias("most"))
+    return t.lineitem.join(o, "l_orderkey").select("l_orderkey", "l_linenumber", "lines", "returned", F.round(F.col("l_quantity") / F.col("most"), 6).alias("of_most"))
+
+
+@query("""WITH m AS (SELECT l_orderkey, list(l_suppkey) AS s, any_value(o_orderpriority) AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey)
+    SELECT s_suppkey, CAST(count(l_orderkey) AS BIGINT) AS orders, CAST(count(DISTINCT p) AS BIGINT) AS priorities FROM supplier LEFT JOIN m ON list_contains(m.s, s_suppkey) GROUP BY s_suppkey""")
+def array_left_join(t: Tables) -> DataFrame:
+    # Membership in an array is equality with one of its elements, so the join has a key.
+    sets = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("s")).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey")
+    members = sets.select("l_orderkey", "o_orderpriority", F.explode("s").alias("s_suppkey"))
+    return t.supplier.select("s_suppkey").join(members, "s_suppkey", "left").groupBy("s_suppkey").agg(F.count("l_orderkey").alias("orders"), F.count_distinct("o_orderpriority").alias("priorities"))
+
+
+@query("""WITH n AS (SELECT least(o_custkey % 25, s) AS lo, greatest(o_custkey % 25, s) AS hi, o_orderkey, epoch_us(o_orderdate) AS t, o_custkey % 25 AS a, s, CASE WHEN o_orderstatus = 'F' THEN 1.0 WHEN o_orderstatus = 'O' THEN 0.0 END AS y FROM (SELECT *, o_orderkey % 24 AS s FROM orders) WHERE o_custkey % 25 <> s),
+    d AS (SELECT *, CASE WHEN a = lo THEN y ELSE 1 - y END AS lo_win FROM n), w AS (SELECT o_orderkey, avg(lo_win) OVER (PARTITION BY lo, hi ORDER BY t, o_orderkey ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS r, a = lo AS first FROM d)
+    SELECT o_orderkey, round(CASE WHEN first THEN r - 0.5 ELSE 0.5 - r END, 6) AS edge FROM w""")
+def pair_trailing8(t: Tables) -> DataFrame:
+    o = t.orders.select("o_orderkey", "o_orderdate", (F.col("o_custkey") % 25).alias("a"), (F.col("o_orderkey") % 24).alias("b"), F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.0).alias("y")).where("a <> b")
+    # The history is of the unordered pair; a side sees it from its own end.
+    o = o.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).withColumn("lo_win", F.when(F.col("a") == F.col("lo"), F.col("y")).otherwise(1 - F.col("y")))
+    r = F.avg("lo_win").over(Window.partitionBy("lo", "hi").orderBy("o_orderdate", "o_orderkey").rowsBetween(-8, -1))
+    return o.withColumn("r", r).select("o_orderkey", F.round(F.when(F.col("a") == F.col("lo"), F.col("r") - 0.5).otherwise(0.5 - F.col("r")), 6).alias("edge"))

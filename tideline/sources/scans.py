@@ -114,6 +114,28 @@ def games_from_events(events: DataFrame, game: str, seq: str, kind: str, team: s
     )
 
 
+PARTICIPANTS = "array<struct<teamID:int,role:string,summonerName:string,championName:string>>"
+
+
+def players_from_games(games: DataFrame, game: str, keep: int = 10) -> DataFrame:
+    """One row per player of complete games: side, position, name, champion and result.
+
+    games: (game, start, winner) as games_from_events and verified_end give them; start is JSON
+    with `participants`. Games without a winner or without exactly `keep` players on the two
+    sides have no rows.
+    """
+    held = games.where(F.col("winner").isin(100, 200)).select(game, "winner", F.filter(F.from_json(F.get_json_object("start", "$.participants"), PARTICIPANTS), lambda p: p["teamID"].isin(100, 200)).alias("_p"))
+    rows = held.where(F.size("_p") == keep).select(game, "winner", F.explode("_p").alias("_p"))
+    return rows.select(
+        game,
+        F.when(F.col("_p.teamID") == 100, "Blue").otherwise("Red").alias("side"),
+        F.lower("_p.role").alias("position"),
+        F.trim("_p.summonerName").alias("player"),
+        F.coalesce("_p.championName", F.lit("Unknown")).alias("champion"),
+        (F.col("_p.teamID") == F.col("winner")).cast("int").alias("result"),
+    )
+
+
 def verified_end(games: DataFrame, summary: DataFrame, game: str) -> DataFrame:
     """games with `winner`: from the end event, else from a summary that agrees with the events in every count."""
     s = summary.select(game, F.struct("*").alias("_s"))
