@@ -436,6 +436,13 @@ def test_packing(docs):
         assert max(Counter(r["source"] for r in held).values()) <= 3
 
 
+def test_packing_keeps_large_ids(spark):
+    ids = [None, None, 2**60 + 1, 2**60 + 3, -(2**62) - 1]
+    df = spark.createDataFrame([(i, f"some words {k}", "a") for k, i in enumerate(ids)], "doc_id long, text string, source string")
+    assert Counter(r["doc_id"] for r in packing.pack(df).collect()) == Counter(ids)
+    assert Counter(i for r in packing.packed_sequences(df).collect() for i in r["doc_ids"]) == Counter(ids)
+
+
 def test_best_fit_is_the_tightest_compatible_bin():
     rng = random.Random(2)
     bins, plain = packing.Bins(100, 2), []

@@ -100,21 +100,22 @@ def pieces(docs: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str
 
 def _placed(rows: pd.DataFrame, capacity: int, max_per_source: int, base: int) -> pd.DataFrame:
     """Rows of one group, largest first, with bin_id (null without words) and start."""
-    rows = rows.sort_values(["n_words", "doc_id", "cluster", "piece"], ascending=[False, True, True, True], kind="stable", na_position="first")
+    rows = rows.sort_values(["n_words", "_no_id", "doc_id", "cluster", "piece"], ascending=[False, False, True, True, True], kind="stable")
     sources = pd.factorize(rows["source"], use_na_sentinel=False)[0].tolist()
     clusters = pd.factorize(rows["cluster"])[0].tolist()
     bins = Bins(capacity, max_per_source)
     found = [bins.place(n, s, c) if n else (None, 0) for n, s, c in zip(rows["n_words"].tolist(), sources, clusters)]
-    out = rows.copy()
+    out = rows.assign(doc_id=rows["doc_id"].astype("Int64").mask(rows["_no_id"]))
     out["bin_id"] = pd.array([None if b is None else base + b for b, _ in found], dtype="Int64")
     out["start"] = np.array([s for _, s in found], np.int64)
     return out
 
 
 def _dealt(cut: DataFrame, group_rows: int) -> DataFrame:
-    """Pieces with a hash group each; the groups are packed apart."""
+    """Pieces with a hash group each; the groups are packed apart. Null ids are 0 and marked, as pandas would make all ids floats."""
     groups = max(1, -(-cut.count() // group_rows))
-    return cut.withColumn("_group", bucket_of("doc_id", "cluster", "piece", buckets=groups))
+    dealt = cut.withColumn("_group", bucket_of("doc_id", "cluster", "piece", buckets=groups)).withColumn("_no_id", F.col("doc_id").isNull())
+    return dealt.withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long")))
 
 
 def pack(docs: DataFrame, capacity: int = 2048, group_rows: int = 4096, max_per_source: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
