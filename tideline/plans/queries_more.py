@@ -135,7 +135,7 @@ def player_champions_page(t: Tables) -> DataFrame:
     mine = p.where("role = 'HOUSEHOLD'")
     center = mine.agg(F.median("rating").alias("med"), F.avg("rating").alias("mean"))
     best = p.groupBy("team").agg(F.max("rating").alias("best"))
-    out = mine.where("games >= 2").crossJoin(F.broadcast(center)).join(F.broadcast(best), "team")
+    out = mine.where("games >= 2").crossJoin(F.broadcast(center)).join(best, "team")
     d = F.abs(F.col("rating") - F.col("med"))
     return out.orderBy(d.desc(), "name").limit(20).select("name", F.round(d, 4).alias("from_median"), F.round(F.abs(F.col("rating") - F.col("mean")), 4).alias("from_mean"), "best")
 

@@ -140,7 +140,7 @@ def category_codes(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
     codes = t.customer.select("c_mktsegment").distinct().withColumn("code", (F.dense_rank().over(Window.orderBy("c_mktsegment")) - 1).cast("int"))
-    return t.customer.join(F.broadcast(codes), "c_mktsegment").select("c_custkey", "code")
+    return t.customer.join(codes, "c_mktsegment").select("c_custkey", "code")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS is_building, CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE 0 END AS is_machinery FROM customer""")
