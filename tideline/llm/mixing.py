@@ -9,6 +9,7 @@ takes only the first words of its block.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -217,10 +218,8 @@ def taken_words(mix: Mix) -> DataFrame:
 
 def _cut(text: str, starts: list[int], counts: list[int]) -> str:
     """The spans' words of a text, with the white space inside each span as it was."""
-    import re
-
-    at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-    return "\n".join(text[at[s][0] : at[s + n - 1][1]] for s, n in zip(starts, counts))
+    at = np.fromiter((p for m in re.finditer(r"[^\x20\x09-\x0D]+", text) for p in m.span()), np.int64).reshape(-1, 2)
+    return "\n".join(text[at[s, 0] : at[s + n - 1, 1]] for s, n in zip(starts, counts))
 
 
 def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
