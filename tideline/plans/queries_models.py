@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics
 from ..storage import scratch_path
 from ..streaming import events as stream
+from .queries_windows import MATCHES_SQL, _matches
 from .registry import Tables, query
 
 SCORED_SQL = "(SELECT d.doc_id, l.quality AS y, least(0.99, greatest(0.01, n_chars / 5000.0)) AS p FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
@@ -62,11 +63,14 @@ def ridge_fit(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(list(got.items()), "name string, coefficient double").withColumn("coefficient", F.round("coefficient", 4))
 
 
-@query()
+@query(f"""WITH RECURSIVE {MATCHES_SQL}, g AS (SELECT a, b, count(*)::DOUBLE AS n, sum(score) AS s FROM m WHERE score IS NOT NULL GROUP BY ALL), e AS (SELECT x, row_number() OVER (ORDER BY x) AS i FROM (SELECT a AS x FROM g UNION SELECT b FROM g)),
+    p AS MATERIALIZED (SELECT ea.i AS a, eb.i AS b, n, s FROM g JOIN e ea ON ea.x = g.a JOIN e eb ON eb.x = g.b),
+    f AS (SELECT 0 AS k, list_transform(range(0, count(*) + 1), lambda i: 0.0::DOUBLE) AS v, 1.0::DOUBLE AS moved FROM e
+    UNION ALL SELECT k + 1, list(CASE WHEN i = 0 THEN old - step ELSE greatest(-8, least(8, old - step)) END ORDER BY i), max(abs(step)) FROM (SELECT k, i, v[i + 1] AS old, (sum(d) + CASE WHEN i = 0 THEN 0.1::DOUBLE ELSE 1 END * v[i + 1]) / (sum(h) + CASE WHEN i = 0 THEN 0.1::DOUBLE ELSE 1 END) AS step
+    FROM (SELECT k, v, unnest([0, a, b]) AS i, unnest([d, d, -d]) AS d, unnest([h, 2 * h, 2 * h]) AS h FROM (SELECT k, v, a, b, n * q - s AS d, n * q * (1 - q) AS h FROM (SELECT k, v, a, b, n, s, 1 / (1 + exp(-(v[a + 1] - v[b + 1] + v[1]))) AS q FROM f, p WHERE k < 100 AND moved >= 1e-10))) GROUP BY k, v, i) GROUP BY k)
+    SELECT x AS entity, round(v[i + 1], 6) AS rating FROM e, (SELECT v FROM f ORDER BY k DESC LIMIT 1)""")
 def bradley_terry_fit(t: Tables) -> DataFrame:
-    from .queries_windows import _matches
-
-    return metrics.bradley_terry(_matches(t), "a", "b", "score")
+    return metrics.bradley_terry(_matches(t), "a", "b", "score").select("entity", F.round("rating", 6).alias("rating"))
 
 
 @query("""WITH p AS (SELECT c_nationkey AS a, c_mktsegment AS m, avg(c_acctbal) AS v FROM customer GROUP BY ALL) SELECT a, round(greatest(0, avg(v) - quantile_cont(v, 0.25)), 4) AS regret FROM p GROUP BY a""")
@@ -80,7 +84,8 @@ def poisson_race(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", F.round(metrics.poisson_race(F.col("n_nationkey") / 10 + 1.0, F.lit(2.0), 5), 9).alias("chance"))
 
 
-@query()
+@query("""WITH z AS (SELECT (c_acctbal - 4500) / 3000 AS z FROM customer), e AS (SELECT z, sign(z) * exp(-z * z / 2) * list_sum(list_transform(range(0, 100), lambda n: pow(abs(z) / sqrt(2), 2 * n + 1) / gamma(n + 1.5))) AS erf FROM z)
+    SELECT round(avg(3000 * (z * erf + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi()))), 6) AS crps FROM e""")
 def gaussian_crps(t: Tables) -> DataFrame:
     return t.customer.agg(F.round(F.avg(metrics.gaussian_crps(F.col("c_acctbal"), F.lit(4500.0), F.lit(3000.0))), 6).alias("crps"))
 

@@ -78,10 +78,13 @@ def expanding_scope_medians(t: Tables) -> DataFrame:
     return got.select("o_orderkey", F.round("prior_o_orderpriority", 4).alias("prior_o_orderpriority"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    f AS (SELECT event_id, user_id, v, k, 0.0::DOUBLE AS mu, 120.0::DOUBLE AS sigma, 0.0::DOUBLE AS vol FROM e WHERE k = 1
+    UNION ALL SELECT e.event_id, e.user_id, e.v, e.k, CASE WHEN f.v IS NULL THEN mu ELSE mu + 0.1::DOUBLE * (sigma / 120) * (f.v - mu) END, CASE WHEN f.v IS NULL THEN sigma ELSE greatest(40.0::DOUBLE, sigma * 0.995::DOUBLE) END, CASE WHEN f.v IS NULL THEN vol ELSE 0.9::DOUBLE * vol + 0.1::DOUBLE * abs(f.v - mu) END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+    SELECT event_id, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(vol, 6) AS vol FROM f""")
 def volatility_fold(t: Tables) -> DataFrame:
     e = t.events.select("event_id", "user_id", epoch_seconds("ts").alias("t"), "value")
-    return sequential.volatility_fold(e, "user_id", ["t", "event_id"], "value").select("event_id", "mu", "sigma", "vol")
+    return sequential.volatility_fold(e, "user_id", ["t", "event_id"], "value").select("event_id", *[F.round(c, 6).alias(c) for c in ("mu", "sigma", "vol")])
 
 
 @query("""WITH m AS (SELECT n_nationkey AS k, mask, CAST(mask * (n_nationkey + 1) % 17 AS DOUBLE) AS v FROM nation, range(32) r(mask)), p AS (SELECT unnest(range(5)) AS player),
@@ -172,7 +175,11 @@ def coverage_interval(t: Tables) -> DataFrame:
     return a.select(metrics.coverage_interval(F.col("h"), F.col("n")).alias("c")).select(F.round("c.low", 6).alias("low"), F.round("c.high", 6).alias("high"))
 
 
-@query()
+@query(f"""WITH RECURSIVE x AS MATERIALIZED (SELECT ln(p / (1 - p)) AS x, y::DOUBLE AS y FROM {SCORED_SQL} WHERE y IS NOT NULL AND p IS NOT NULL),
+    f AS (SELECT 0 AS k, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 1.0::DOUBLE AS moved
+    UNION ALL SELECT k + 1, a - sa, b - sb, greatest(abs(sa), abs(sb)) FROM (SELECT k, a, b, greatest(-1, least(1, (g1 * h3 - g2 * h2) / (h1 * h3 - h2 * h2))) AS sa, greatest(-1, least(1, (h1 * g2 - h2 * g1) / (h1 * h3 - h2 * h2))) AS sb
+    FROM (SELECT k, a, b, sum(q - y) + 0.01 * a AS g1, sum((q - y) * x) + 0.01 * (b - 1) AS g2, sum(q * (1 - q)) + 0.01 AS h1, sum(q * (1 - q) * x) AS h2, sum(q * (1 - q) * x * x) + 0.01 AS h3 FROM (SELECT k, a, b, x, y, 1 / (1 + exp(-(a + b * x))) AS q FROM f, x WHERE k < 40 AND moved >= 1e-9) GROUP BY k, a, b)))
+    SELECT 'fitted' AS status, round(a, 6) AS intercept, round(b, 6) AS slope FROM f ORDER BY k DESC LIMIT 1""")
 def affine_calibration(t: Tables) -> DataFrame:
     got = metrics.affine_logit_calibration(_scored(t), "y", "p", least=50)
     return t.spark.createDataFrame([(got["status"], round(got["intercept"], 6), round(got["slope"], 6))], "status string, intercept double, slope double")

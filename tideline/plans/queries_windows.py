@@ -12,6 +12,10 @@ from .registry import Tables, query
 T = "(epoch_us(ts) / 1000000.0)"
 
 
+def _rounded(df: DataFrame, digits: int) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else c for c, kind in df.dtypes])
+
+
 def _events(t: Tables) -> DataFrame:
     return t.events.withColumn("t", epoch_seconds("ts"))
 
@@ -61,44 +65,81 @@ def series_map_index(t: Tables) -> DataFrame:
 
 def _matches(t: Tables) -> DataFrame:
     """Orders as matches of the customer's nation and the nation of the first line's supplier."""
-    first = t.lineitem.groupBy("l_orderkey").agg(F.min_by("l_suppkey", "l_linenumber").alias("s"))
+    first = t.lineitem.groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_suppkey"))["l_suppkey"].alias("s"))
     o = t.orders.join(t.customer.select("c_custkey", F.col("c_nationkey").alias("a")), F.col("o_custkey") == F.col("c_custkey"))
     o = o.join(first, F.col("o_orderkey") == F.col("l_orderkey")).join(t.supplier.select("s_suppkey", F.col("s_nationkey").alias("b")), F.col("s") == F.col("s_suppkey"))
     score = F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.0)
-    return o.where("a <> b").select("o_orderkey", epoch_seconds("o_orderdate").alias("t"), "a", "b", score.alias("score"), (F.col("o_totalprice") / 1e5).alias("margin"), (F.col("o_orderpriority") == "1-URGENT").alias("inter"))
+    return o.where("a <> b").select("o_orderkey", epoch_seconds("o_orderdate").alias("t"), "a", "b", score.alias("score"), ((F.col("o_totalprice") - 150000) / 1e3).alias("margin"), (F.col("o_orderpriority") == "1-URGENT").alias("inter"), (F.col("o_custkey") % 3).cast("string").alias("la"), F.when(F.col("s") % 5 != 0, (F.col("s") % 3).cast("string")).alias("lb"))
 
 
-@query()
-def elo_fold(t: Tables) -> DataFrame:
-    return sequential.elo_before(_matches(t), "t", "o_orderkey", "a", "b", "score")
+#: The matches of _matches, numbered in order; the folds below are recursions over that number.
+MATCHES_SQL = """m0 AS (SELECT o_orderkey, epoch_us(o_orderdate) / 1000000.0 AS t, c_nationkey AS a, s_nationkey AS b, CASE o_orderstatus WHEN 'F' THEN 1.0::DOUBLE WHEN 'O' THEN 0.0::DOUBLE END AS score, (o_totalprice - 150000) / 1e3 AS margin, o_orderpriority = '1-URGENT' AS inter, CAST(o_custkey % 3 AS VARCHAR) AS la, CASE WHEN s % 5 <> 0 THEN CAST(s % 3 AS VARCHAR) END AS lb
+    FROM orders JOIN customer ON c_custkey = o_custkey JOIN (SELECT l_orderkey, min({'n': l_linenumber, 's': l_suppkey}).s AS s FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = s WHERE c_nationkey <> s_nationkey),
+    m AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY t, o_orderkey) AS k FROM m0)"""
 
 
-@query()
-def elo_fold_blocks(t: Tables) -> DataFrame:
-    return sequential.elo_before(_matches(t), "t", "o_orderkey", "a", "b", "score", blocks=True)
+@query(f"""WITH RECURSIVE {MATCHES_SQL}, f AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS o_orderkey, 0.0::DOUBLE AS a_before, 0.0::DOUBLE AS b_before, list_transform(range(0, 25), lambda i: 1500.0::DOUBLE) AS s
+    UNION ALL SELECT k, o_orderkey, ra, rb, CASE WHEN d IS NULL THEN s ELSE list_transform(s, lambda x, i: CASE i WHEN a + 1 THEN x + d WHEN b + 1 THEN x - d ELSE x END) END FROM (SELECT m.k, m.o_orderkey, m.a, m.b, f.s, f.s[m.a + 1] AS ra, f.s[m.b + 1] AS rb, 24.0::DOUBLE * (m.score - 1 / (1 + pow(10.0::DOUBLE, (f.s[m.b + 1] - f.s[m.a + 1]) / 400))) AS d FROM f JOIN m ON m.k = f.k + 1))
+    SELECT o_orderkey, round(a_before, 4) AS a_before, round(b_before, 4) AS b_before FROM f WHERE k > 0""")
+def elo_fold(t: Tables) -> DataFrame:
+    return _rounded(sequential.elo_before(_matches(t), "t", "o_orderkey", "a", "b", "score"), 4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {MATCHES_SQL}, bl AS MATERIALIZED (SELECT row_number() OVER (ORDER BY t) AS k, ms FROM (SELECT t, list({{'id': o_orderkey, 'a': a, 'b': b, 'score': score}}) AS ms FROM m GROUP BY t)),
+    f AS (SELECT 0::BIGINT AS k, list_transform(range(0, 25), lambda i: 1500.0::DOUBLE) AS s UNION ALL SELECT k, list_transform(s, lambda r, i: r + coalesce(list_sum(list_transform(ds, lambda x: CASE i WHEN x.a + 1 THEN x.d WHEN x.b + 1 THEN -x.d END)), 0))
+    FROM (SELECT bl.k, f.s, list_transform(bl.ms, lambda x: {{'a': x.a, 'b': x.b, 'd': 24.0::DOUBLE * (x.score - 1 / (1 + pow(10.0::DOUBLE, (s[x.b + 1] - s[x.a + 1]) / 400)))}}) AS ds FROM f JOIN bl ON bl.k = f.k + 1))
+    SELECT x.id AS o_orderkey, round(s[x.a + 1], 4) AS a_before, round(s[x.b + 1], 4) AS b_before FROM (SELECT f.s, unnest(bl.ms) AS x FROM bl JOIN f ON f.k = bl.k - 1)""")
+def elo_fold_blocks(t: Tables) -> DataFrame:
+    return _rounded(sequential.elo_before(_matches(t), "t", "o_orderkey", "a", "b", "score", blocks=True), 4)
+
+
+@query(f"""WITH RECURSIVE {MATCHES_SQL}, f AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS o_orderkey, 0.0::DOUBLE AS a_mu, 0.0::DOUBLE AS b_mu, 0.0::DOUBLE AS a_sigma, 0.0::DOUBLE AS b_sigma, 0.0::DOUBLE AS p,
+    list_transform(range(0, 25), lambda i: 1500.0::DOUBLE) AS r, list_transform(range(0, 25), lambda i: 0.0::DOUBLE) AS w, list_transform(range(0, 25), lambda i: 80.0::DOUBLE) AS sd, list_transform(range(0, 25), lambda i: NULL::DOUBLE) AS seen, list_transform(range(0, 25), lambda i: NULL::VARCHAR) AS lu, list_transform(range(0, 25), lambda i: NULL::DOUBLE) AS h1, list_transform(range(0, 25), lambda i: NULL::DOUBLE) AS h2
+    UNION ALL SELECT k, o_orderkey, ma, mb, sa, sb, 0.5 + (p - 0.5) / (1 + (sa * sa + sb * sb) / 14400),
+    list_transform(r, lambda e, i: CASE i WHEN a + 1 THEN e + kr * d WHEN b + 1 THEN e - kr * d ELSE e END),
+    list_transform(w, lambda e, i: CASE i WHEN a + 1 THEN e + kw * d WHEN b + 1 THEN e - kw * d ELSE e END),
+    list_transform(sd, lambda e, i: CASE i WHEN a + 1 THEN CASE WHEN score IS NULL THEN sa ELSE greatest(25, sa * 0.98::DOUBLE) END WHEN b + 1 THEN CASE WHEN score IS NULL THEN sb ELSE greatest(25, sb * 0.98::DOUBLE) END ELSE e END),
+    list_transform(seen, lambda e, i: CASE i WHEN a + 1 THEN CASE WHEN score IS NULL THEN e ELSE t END WHEN b + 1 THEN CASE WHEN score IS NULL THEN e ELSE t END ELSE e END),
+    list_transform(lu, lambda e, i: CASE i WHEN a + 1 THEN coalesce(la, e) WHEN b + 1 THEN coalesce(lb, e) ELSE e END),
+    list_transform(h1, lambda e, i: CASE i WHEN a + 1 THEN CASE WHEN score IS NULL THEN e ELSE score - q END WHEN b + 1 THEN CASE WHEN score IS NULL THEN e ELSE q - score END ELSE e END),
+    list_transform(h2, lambda e, i: CASE i WHEN a + 1 THEN CASE WHEN score IS NULL THEN e ELSE ha END WHEN b + 1 THEN CASE WHEN score IS NULL THEN e ELSE hb END ELSE e END)
+    FROM (SELECT *, coalesce(score - p, 0) AS d FROM (SELECT *, 1 / (1 + pow(10.0::DOUBLE, (mb - ma) / 400)) AS p, 1 / (1 + pow(10.0::DOUBLE, (bb - ba) / 400)) AS q, CASE WHEN inter THEN 0 ELSE 20 * (1 + tanh(margin / 200)) END AS kr, CASE WHEN inter THEN 12 * (1 + tanh(margin / 200)) ELSE 0 END AS kw
+    FROM (SELECT *, ba + 50 * coalesce(list_avg([ha, ha2]), 0) AS ma, bb + 50 * coalesce(list_avg([hb, hb2]), 0) AS mb, CASE WHEN la <> lu[a + 1] THEN least(150, ia + 15) ELSE ia END AS sa, CASE WHEN lb <> lu[b + 1] THEN least(150, ib + 15) ELSE ib END AS sb
+    FROM (SELECT m.*, f.r, f.w, f.sd, f.seen, f.lu, f.h1, f.h2, f.r[m.a + 1] + f.w[m.a + 1] AS ba, f.h1[m.a + 1] AS ha, f.h2[m.a + 1] AS ha2, least(150, f.sd[m.a + 1] + 0.8::DOUBLE * greatest(0, floor(coalesce(m.t - f.seen[m.a + 1], 0) / 86400) / 30)) AS ia, f.r[m.b + 1] + f.w[m.b + 1] AS bb, f.h1[m.b + 1] AS hb, f.h2[m.b + 1] AS hb2, least(150, f.sd[m.b + 1] + 0.8::DOUBLE * greatest(0, floor(coalesce(m.t - f.seen[m.b + 1], 0) / 86400) / 30)) AS ib FROM f JOIN m ON m.k = f.k + 1)))))
+    SELECT o_orderkey, round(a_mu, 4) AS a_mu, round(b_mu, 4) AS b_mu, round(a_sigma, 4) AS a_sigma, round(b_sigma, 4) AS b_sigma, round(p, 4) AS p FROM f WHERE k > 0""")
 def dual_elo_fold(t: Tables) -> DataFrame:
-    return sequential.dual_rating(_matches(t), "t", "o_orderkey", "a", "b", "score", "margin", "inter")
+    got = sequential.dual_rating(_matches(t), "t", "o_orderkey", "a", "b", "score", "margin", "inter", "la", "lb", sequential.DualElo(momentum_games=2, momentum_scale=50.0))
+    return _rounded(got.drop("a_base", "b_base"), 4)
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey, list(DISTINCT l_suppkey::BIGINT) FILTER (WHERE l_linenumber % 2 = 1) AS pa, list(DISTINCT l_suppkey::BIGINT) FILTER (WHERE l_linenumber % 2 = 0) AS pb FROM lineitem GROUP BY ALL),
+    m AS MATERIALIZED (SELECT o_orderkey, pa, pb, CASE o_orderstatus WHEN 'F' THEN 1.0::DOUBLE WHEN 'O' THEN 0.0::DOUBLE END AS score, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS k FROM orders JOIN l ON l_orderkey = o_orderkey WHERE len(pa) > 0 AND len(pb) > 0),
+    f AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS o_orderkey, 0.0::DOUBLE AS a_before, 0.0::DOUBLE AS b_before, list_transform(range(0, max(s_suppkey)::BIGINT + 1), lambda i: 1500.0::DOUBLE) AS s FROM supplier
+    UNION ALL SELECT k, o_orderkey, ra, rb, CASE WHEN score IS NULL THEN s ELSE list_transform(s, lambda x, i: x + 20 * (score - 1 / (1 + pow(10.0::DOUBLE, (rb - ra) / 400))) * (list_contains(pa, i - 1)::INT - list_contains(pb, i - 1)::INT)) END
+    FROM (SELECT m.*, f.s, list_avg(list_transform(m.pa, lambda p: f.s[p + 1])) AS ra, list_avg(list_transform(m.pb, lambda p: f.s[p + 1])) AS rb FROM f JOIN m ON m.k = f.k + 1))
+    SELECT o_orderkey, round(a_before, 4) AS a_before, round(b_before, 4) AS b_before FROM f WHERE k > 0""")
 def lineup_elo_fold(t: Tables) -> DataFrame:
     sides = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.when(F.col("l_linenumber") % 2 == 1, F.col("l_suppkey")))).alias("pa"), F.array_sort(F.collect_set(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey")))).alias("pb"))
     m = t.orders.join(sides.where("size(pa) > 0 and size(pb) > 0"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return sequential.lineup_elo(m.select("o_orderkey", epoch_seconds("o_orderdate").alias("t"), "pa", "pb", F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.0).alias("score")), "t", "o_orderkey", "pa", "pb", "score")
+    return _rounded(sequential.lineup_elo(m.select("o_orderkey", epoch_seconds("o_orderdate").alias("t"), "pa", "pb", F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.0).alias("score")), "t", "o_orderkey", "pa", "pb", "score"), 4)
 
 
-@query()
+@query(f"""WITH RECURSIVE u0 AS (SELECT user_id, {T} + (event_id % 5) * 86400.0 AS available, value AS v FROM events WHERE event_type = 'purchase'), u AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY available, v) AS k FROM u0),
+    f AS (SELECT user_id, available, k, v AS level FROM u WHERE k = 1 UNION ALL SELECT u.user_id, u.available, u.k, 0.9::DOUBLE * level + (1 - 0.9::DOUBLE) * u.v FROM f JOIN u ON u.user_id = f.user_id AND u.k = f.k + 1),
+    last AS (SELECT user_id, available, max(k) AS n, arg_max(level, k) AS level FROM f GROUP BY ALL)
+    SELECT event_id, round(l.level, 6) AS level, coalesce(l.n, 0) AS n FROM (SELECT event_id, user_id, {T} AS t FROM events WHERE event_type = 'view') e ASOF LEFT JOIN last l ON e.user_id = l.user_id AND e.t > l.available""")
 def availability_queue(t: Tables) -> DataFrame:
     e = _events(t)
     updates = e.where("event_type = 'purchase'").select("user_id", "t", (F.col("t") + F.pmod("event_id", F.lit(5)) * 86400.0).alias("available_at"), "value")
     forecasts = e.where("event_type = 'view'").select("event_id", "user_id", "t")
-    return sequential.availability_fold(forecasts, updates, "user_id", "t", "available_at", "value").select("event_id", "level", "n")
+    return sequential.availability_fold(forecasts, updates, "user_id", "t", "available_at", "value").select("event_id", F.round("level", 6).alias("level"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_type, coalesce(value, 0) AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    f AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 0::BIGINT AS applied, 0::BIGINT AS skipped, 100.0::DOUBLE AS gold FROM e
+    UNION ALL SELECT f.user_id, e.k, applied + (event_type IN ('purchase', 'click', 'error', 'signup'))::BIGINT, skipped + (event_type NOT IN ('purchase', 'click', 'error', 'signup'))::BIGINT,
+    CASE event_type WHEN 'purchase' THEN gold + x WHEN 'click' THEN gold * x WHEN 'error' THEN least(gold, x) WHEN 'signup' THEN x ELSE gold END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+    SELECT user_id, applied, skipped, false AS limit_reached, gold, 0.0::DOUBLE AS shield FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""")
 def mechanics_fold(t: Tables) -> DataFrame:
     ev = _events(t).select("user_id", "event_id", "t", F.col("event_type").alias("type"), F.lit("gold").alias("target"), F.col("value").alias("amount"))
     return sequential.event_state(ev, "user_id", ["t", "event_id"], {"purchase": "add", "click": "scale", "error": "cap", "signup": "set"}, {"gold": 100.0, "shield": 0.0})
