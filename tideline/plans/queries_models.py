@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import metrics
+from ..operators import calibration, metrics
 from ..storage import scratch_path
 from ..streaming import events as stream
 from .queries_windows import MATCHES_SQL, _matches
@@ -73,6 +73,14 @@ def bradley_terry_fit(t: Tables) -> DataFrame:
     return metrics.bradley_terry(_matches(t), "a", "b", "score").select("entity", F.round("rating", 6).alias("rating"))
 
 
+@query()
+def calibration_selection(t: Tables) -> DataFrame:
+    z = _scored(t).select(F.log(F.col("p") / (1 - F.col("p"))).alias("z"), "y", (F.col("doc_id") % 60).alias("series"), "doc_id")
+    got = calibration.select_calibration(z, "z", "y", "series", "doc_id")
+    chosen = got.chosen.family if got.chosen else None
+    return t.spark.createDataFrame([(f, round(v, 6), f == chosen) for f, v in got.losses.items()], "family string, loss double, chosen boolean")
+
+
 @query("""WITH p AS (SELECT c_nationkey AS a, c_mktsegment AS m, avg(c_acctbal) AS v FROM customer GROUP BY ALL) SELECT a, round(greatest(0, avg(v) - quantile_cont(v, 0.25)), 4) AS regret FROM p GROUP BY a""")
 def response_regret(t: Tables) -> DataFrame:
     p = t.customer.groupBy(F.col("c_nationkey").alias("a"), "c_mktsegment").agg(F.avg("c_acctbal").alias("v"))
