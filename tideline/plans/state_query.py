@@ -26,19 +26,22 @@ def answer_states(states: DataFrame, identities: DataFrame, facts: DataFrame, it
     reason; only an answered state has stats: its base (null stats: 0, but for only_base) plus
     the flat amounts of its items. Effects, items that are not known and amounts that are not flat
     are blockers by name, in order, and make the answer partial. A name of several keys is not exact.
+
+    All tables may be large, and Spark takes a frame that explodes its rows for as small as its
+    source; merge hints keep every side off the driver.
     """
     exact = identities.where("name is not null").groupBy(F.lower(F.trim("name")).alias("_name")).agg(F.count_distinct("key").alias("_keys"), F.min("key").alias("key")).where("_keys = 1").drop("_keys")
     asked = states.withColumn("_name", F.lower(F.trim("name")))
     base = facts.select(F.col("key"), F.col("level"), F.lit(True).alias("_fact"), *[F.col(s).cast("double").alias(f"_{s}") for s in stats])
-    found = asked.join(exact, "_name", "left").join(base, ["key", "level"], "left")
+    found = asked.join(exact.hint("merge"), "_name", "left").join(base.hint("merge"), ["key", "level"], "left")
 
     held = states.select("state_id", F.explode("items").alias("item")).groupBy("state_id", "item").agg(F.count(F.lit(1)).alias("_copies"))
-    known = held.join(items, "item", "left")
+    known = held.join(items.hint("merge"), "item", "left")
     usable = F.col("flat") & F.col("stat").isin(*stats)
     sums = [F.sum(F.when(usable & (F.col("stat") == s), F.col("amount") * F.col("_copies"))).alias(f"_add_{s}") for s in stats]
     blocked = F.when(F.col("stat").isNull(), F.concat(F.lit("item:"), F.col("item").cast("string"))).when(~F.coalesce(usable, F.lit(False)), F.concat(F.lit("rule:"), F.col("item").cast("string"), F.lit(":"), F.col("stat")))
     parts = known.groupBy("state_id").agg(*sums, F.count(F.when(usable, 1)).alias("_parts"), F.collect_set(blocked).alias("_blocked"))
-    row = found.join(parts, "state_id", "left")
+    row = found.join(parts.hint("merge"), "state_id", "left")
 
     def verdict(status: str, reason: str) -> Column:
         return F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
