@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tideline.operators import joins
 from tideline.plans.state_query import answer_states
 
 
@@ -19,3 +20,11 @@ def test_state_questions_broadcast_no_table(spark):
     got = answer_states(states, identities, facts, items, ["hp"], "1")
     assert "Broadcast" not in _plan(got)
     assert [(r["status"], r["hp"]) for r in got.orderBy("state_id").collect()] == [("answered", 23.0), ("invalid_scenario", None)]
+
+
+def test_pairs_of_one_frequent_set_are_spread(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 100 == 7, F.array(F.lit("c"), F.lit("b"))).when(F.col("id") % 100 == 8, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("s"))
+    got = joins.set_similarities(df.where("id % 50 = 0"), df, "id", "s")
+    rows = got.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total")).collect()
+    assert sum(r["n"] for r in rows) == 60 * 3000 and max(r["n"] for r in rows) < 60 * 3000 / 2
+    assert abs(sum(r["total"] for r in rows) - 60 * (2940 + 30 / 3)) < 1e-6
