@@ -28,3 +28,11 @@ def test_pairs_of_one_frequent_set_are_spread(spark):
     rows = got.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total")).collect()
     assert sum(r["n"] for r in rows) == 60 * 3000 and max(r["n"] for r in rows) < 60 * 3000 / 2
     assert abs(sum(r["total"] for r in rows) - 60 * (2940 + 30 / 3)) < 1e-6
+
+
+def test_near_pairs_keep_every_best(spark):
+    df = spark.range(400).select("id", F.array(F.col("id") % 7, F.col("id") % 5 + 10, F.col("id") % 3 + 20).alias("s"))
+    every = joins.set_similarities(df.where("id % 50 = 0"), df, "id", "s")
+    near = joins.set_similarities(df.where("id % 50 = 0"), df, "id", "s", near=1e-5)
+    best = lambda e: {r["right_id"]: tuple(r["b"]) for r in e.groupBy("right_id").agg(F.max(F.struct("score", -F.col("left_id"))).alias("b")).collect()}
+    assert best(near) == best(every) and len(best(near)) == 400 and near.count() < every.count() / 2

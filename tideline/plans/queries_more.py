@@ -126,9 +126,13 @@ def similar_candidates(t: Tables) -> DataFrame:
     p = p.select(F.col("k").alias("id"), F.array_sort("s").alias("s"))
     picked = p.where("id % 50 = 0")
     # Candidates of one set have one best reference, and of references of one set only the first counts.
-    firsts = picked.groupBy("s").agg(F.min("id").alias("id"))
-    edges = joins.set_similarities(firsts, p, "id", "s").select(F.col("left_id").alias("ref"), F.col("right_id").alias("candidate"), F.round("score", 6).alias("score"))
-    return joins.viable_candidates(edges, picked.select("id"), "ref", "candidate", "score", 0.3)
+    first = lambda df: df.groupBy("s").agg(F.min("id").alias("id"))
+    candidates = p.where("id % 50 <> 0")
+    firsts = first(candidates)
+    edges = joins.set_similarities(first(picked), firsts, "id", "s", near=1e-5).select(F.col("left_id").alias("ref"), F.col("right_id").alias("candidate"), F.round("score", 6).alias("score"))
+    best = joins.viable_candidates(edges, picked.select("id"), "ref", "candidate", "score", 0.3)
+    classes = firsts.join(best, F.col("id") == F.col("candidate")).select("s", "ref", "score")
+    return candidates.select(F.col("id").alias("candidate"), "s").join(classes, "s").select("candidate", "ref", "score")
 
 
 @query(f"""WITH p AS {PLAYERS_SQL}, c AS (SELECT median(rating) AS med, avg(rating) AS mean FROM p WHERE role = 'HOUSEHOLD'), k AS (SELECT team, max(rating) AS best FROM p GROUP BY team)
