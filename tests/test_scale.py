@@ -7,7 +7,9 @@ import random
 from pyspark.sql import functions as F
 
 from tideline.operators import joins, sequential
+from tideline.plans import catalogue
 from tideline.plans.state_query import answer_states
+from tideline.streaming import events as stream
 
 
 def _plan(df) -> str:
@@ -55,3 +57,18 @@ def test_elo_blocks_add_the_sum_of_a_block(spark):
         state = [s + d for s, d in zip(state, total)]
     got = sequential.elo_before(df, "t", "k", "a", "b", "score", blocks=True).collect()
     assert {r["k"]: (r["a_before"], r["b_before"]) for r in got} == want  # to the bit: long runs of large blocks amplify the last one
+
+
+def test_monotonic_takes_the_frames_of_a_batch_together(spark, tmp_path):
+    n = 30_000  # one key, more than a frame of 10 000 rows, later numbers first
+    df = spark.range(n).select(F.lit(1).alias("k"), ((F.lit(n - 1) - F.col("id"))).alias("seq"), F.lit("x").alias("v"))
+    df.union(df.limit(10)).repartition(3).write.parquet(str(tmp_path / "t.parquet"))
+    src = stream.file_stream(spark, str(tmp_path / "t.parquet"), df.schema)
+    got = stream.run_to_table(stream.monotonic(src, "k", "seq", ["v"]), "frames", "append", str(tmp_path / "cp"))
+    assert got.count() == n and got.distinct().count() == n
+
+
+def test_streams_read_a_file_or_a_folder(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    rows.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    assert catalogue.QUERIES["stream_monotonic"](spark, str(tmp_path)).count() == rows.count()

@@ -99,8 +99,7 @@ def gaussian_crps(t: Tables) -> DataFrame:
 
 
 def _stream(t: Tables) -> DataFrame:
-    schema = t.events.schema
-    return stream.file_stream(t.spark, t.sf_dir, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream.table_stream(t.spark, t.path("events"), t.events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _run(t: Tables, df: DataFrame, mode: str, name: str) -> DataFrame:

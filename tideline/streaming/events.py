@@ -15,6 +15,11 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, glob: str =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", glob).parquet(path)
 
 
+def table_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A stream over one Parquet table, a file or a folder of files. The path goes in as a pattern, since a plain one must be a folder."""
+    return file_stream(spark, f"{path[:-1]}[{path[-1]}]", schema)
+
+
 def _folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders under path whose writing was completed."""
     jvm = spark.sparkContext._jvm
@@ -72,17 +77,23 @@ def sessions(stream: DataFrame, time: str, gap: str, key: str, delay: str = "1 h
 
 
 def monotonic(stream: DataFrame, key: str, seq: str, cols: list[str]) -> DataFrame:
-    """Rows whose sequence number exceeds all before of their key; others are repeats and go."""
+    """Rows whose sequence number exceeds all of their key in earlier batches, each number once; others are repeats and go.
+
+    A batch has no order of its own, and a key's rows come in several frames, so no frame of a
+    batch is measured by another: all are by the batches before, and repeats by the numbers seen.
+    """
     names = [key, seq, *cols]
     schema = stream.select(*names).schema
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else -1
+        before = last = state.get[0] if state.exists else -1
+        seen: set = set()
         for f in frames:
             f = f[names].sort_values(seq, kind="stable").drop_duplicates(seq)
-            f = f[f[seq] > last]
+            f = f[(f[seq] > before) & ~f[seq].isin(seen)]
             if len(f):
-                last = int(f[seq].max())
+                seen.update(f[seq].tolist())
+                last = max(last, int(f[seq].max()))
                 yield f
         state.update((last,))
 
