@@ -72,3 +72,14 @@ def test_streams_read_a_file_or_a_folder(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     rows.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     assert catalogue.QUERIES["stream_monotonic"](spark, str(tmp_path)).count() == rows.count()
+
+
+def test_matches_page_begins_before_its_day(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    for name in ("customer", "nation", "region"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    day = F.when(F.col("o_orderkey") % 2 == 0, F.lit("1997-06-15")).otherwise(F.lit("1997-06-14")).cast(orders.schema["o_orderdate"].dataType)
+    orders.withColumn("o_orderdate", day).write.parquet(str(tmp_path / "orders.parquet"))
+    rows = catalogue.QUERIES["matches_page"](spark, str(tmp_path)).collect()
+    assert len(rows) == 20 and {r["played_at"] for r in rows} == {"1997-06-14"}

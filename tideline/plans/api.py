@@ -86,8 +86,11 @@ def team_profiles(players: DataFrame, roster: int = 5) -> DataFrame:
     return players.groupBy("team").agg(F.sum("games").alias("games"), F.sum("wins").alias("wins")).join(best, "team")
 
 
-def matches(df: DataFrame, leagues=None, years=None, team: str | None = None, start: str | None = None, end: str | None = None, before: tuple[str, int] | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
-    """Newest first, then by game_id; times are half-open, `before` is (played_at, game_id) of the last row of the page before."""
+def matches(df: DataFrame, leagues=None, years=None, team: str | None = None, start: str | None = None, end: str | None = None, before: tuple[str, int | None] | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+    """Newest first, then by game_id; times are half-open, `before` is (played_at, game_id) of the last row of the page before.
+
+    A null game_id stands after all games of its time: the page begins strictly before that time.
+    """
     out = df.where(any_of("league", leagues) & any_of("year", years))
     if team is not None:
         out = out.where(F.lower("team") == team.strip().lower())
@@ -96,7 +99,8 @@ def matches(df: DataFrame, leagues=None, years=None, team: str | None = None, st
     if end is not None:
         out = out.where(F.col("played_at") < end)
     if before is not None:
-        out = out.where((F.col("played_at") < before[0]) | ((F.col("played_at") == before[0]) & (F.col("game_id") > before[1])))
+        earlier = F.col("played_at") < before[0]
+        out = out.where(earlier if before[1] is None else earlier | ((F.col("played_at") == before[0]) & (F.col("game_id") > before[1])))
     return page(out, [F.desc("played_at"), F.asc("game_id")], limit, offset)
 
 
