@@ -34,6 +34,14 @@ def test_pairs_of_one_frequent_set_are_spread(spark):
     assert abs(sum(r["total"] for r in rows) - 60 * (2940 + 30 / 3)) < 1e-6
 
 
+def test_similarity_matrix_has_a_row_of_every_customer(spark, tmp_path):
+    orders = [(k, c, p) for k, (c, p) in enumerate([(1, "a"), (1, "b"), (7, "b"), (50, "c"), (50, "b"), (50, "b"), (99, "a")])]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r["left_id"], r["right_id"]): r["score"] for r in catalogue.QUERIES["jaccard_similarity_matrix"](spark, str(tmp_path)).collect()}
+    sets = {1: {"a", "b"}, 7: {"b"}, 50: {"b", "c"}, 99: {"a"}}
+    assert got == {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets}
+
+
 def test_near_pairs_keep_every_best(spark):
     df = spark.range(400).select("id", F.array(F.col("id") % 7, F.col("id") % 5 + 10, F.col("id") % 3 + 20).alias("s"))
     every = joins.set_similarities(df.where("id % 50 = 0"), df, "id", "s")
